@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows in one Arrow batch of whole texts; keeps a batch of long documents within a worker's memory.
 TEXT_BATCH_ROWS = 1000
+TEXT_BATCH_BYTES = 32 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,9 +34,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     Cuts the lineage durably: a lost executor costs only the tasks in flight, and sampling-dependent or
     expensive steps run once. Columnar files are several times smaller than ``checkpoint()`` blocks.
     """
-    path = f"{shared_dir(df.sparkSession)}/tables/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")  # the table replaces this job's shuffle files, so they can go at once
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_batches(spark: SparkSession) -> None:
@@ -42,6 +50,7 @@ def text_batches(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > TEXT_BATCH_ROWS or int(spark.conf.get(key)) <= 0:
         spark.conf.set(key, str(TEXT_BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TEXT_BATCH_BYTES))
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
