@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, html_text, neighbours, packing, quality, simhash
+from . import bpe, chat, fingerprints, html_text, licenses, neighbours, packing, quality, simhash
 from .common import table
+from .oracles import ORACLE_SQL
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,4 +48,10 @@ def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
 
 
-QUERIES = {"op7_html": op7_html, "op8_neighbours": op8_neighbours, "op2_quality": op2_quality, "op6_packing": op6_packing, "op1_byte_bpe": op1_byte_bpe, "op4_chat_format": op4_chat_format, "op5_fingerprints": op5_fingerprints, "op10_simhash": op10_simhash}
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = licenses.document_paths(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    out = licenses.scan(files.select("path", "text"))
+    return out.select(F.regexp_extract("path", r"(?:LICENSE|doc)-(-?\d+)", 1).cast("long").alias("doc_id"), "own_license", "own_score", "license", "license_from")
+
+
+QUERIES = {"op9_licenses": op9_licenses, "op7_html": op7_html, "op8_neighbours": op8_neighbours, "op2_quality": op2_quality, "op6_packing": op6_packing, "op1_byte_bpe": op1_byte_bpe, "op4_chat_format": op4_chat_format, "op5_fingerprints": op5_fingerprints, "op10_simhash": op10_simhash}
