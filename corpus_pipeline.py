@@ -1 +1,56 @@
-STAGES = []
+"""The corpus pipeline: quality, near copies, repeated passages, packing.
+
+``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and returns the next stage's
+documents, the last one the packed pieces. ``run`` applies them to the table ``documents``, each result
+written to the shared folder and read again.
+"""
+
+from __future__ import annotations
+
+from ledgermesh.llm import packing, quality, simhash, suffix_dedup
+from ledgermesh.llm.common import materialize, table
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality ranking accepts; it learns from labels that are not held out."""
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).where("quality_predicted = 1").select(docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of near copies (five-word shingles, similarity 0.8)."""
+    groups = simhash.similar_groups(docs.select("doc_id", "text"))
+    gone = groups.where("doc_id <> component_id").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, passages of 100 bytes or more that stood earlier cut from their texts."""
+    cut = suffix_dedup.without_repeats(docs.select("doc_id", "text"))
+    out = docs.drop("text", "n_chars").join(cut, "doc_id")
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of at most 2048 tokens."""
+    return packing.pack_documents(docs.select("doc_id", "text"))
+
+
+STAGES = [
+    ("quality classifier", quality_filter),
+    ("simhash near-dedup", near_copies),
+    ("suffix-array dedup", repeated_passages),
+    ("packing", packed),
+]
+
+#: Learning, fingerprints, suffix arrays and tokenising are beyond SQL; tests compare with brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs

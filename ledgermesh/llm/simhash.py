@@ -174,3 +174,221 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, radius: int = RADIU
     least = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
     by_fp = joined.join(least, "root").select("fp", "component_id")
     return found.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+
+
+# Near copies by shingle similarity: wide fingerprints, ball hashing on slices of them, exact verification.
+
+#: Bits of the first word in which a pair may differ before it is compared further (3.6 standard deviations
+#: above what a pair of similarity 0.8 differs in; unrelated pairs differ in 32 on average).
+FIRST_WORD_BITS = 20
+#: Rows of a run that are compared all with all; in longer ones each is compared with this many of its nearest.
+NEAREST = 16
+
+
+def slices(n_docs: int, similarity: float, recall: float = 0.99) -> tuple[int, int]:
+    """(bits of a slice, number of slices) for a corpus of this size.
+
+    A slice grows with the corpus, so that few unrelated documents meet; there are as many slices as it
+    takes for a pair of that similarity to come within two bits in one of them with probability ``recall``.
+    """
+    import math
+
+    cosine = 2 * similarity / (1 + similarity)
+    differ = math.acos(min(1.0, cosine)) / math.pi
+    bits = min(40, max(16, math.ceil(math.log2(max(2, n_docs))) + 2))
+    near = sum(math.comb(bits, k) * differ**k * (1 - differ) ** (bits - k) for k in range(3))
+    return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - min(near, 1 - 1e-9))))
+
+
+def shingle_hashes(text: bytes, shingle_words: int):
+    """Distinct hashes of the word shingles, sorted; a shorter text is one shingle, a blank one has none."""
+    import numpy as np
+    import xxhash
+
+    words = text.translate(_LOWER).split()
+    if len(words) <= shingle_words:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)] if words else [], dtype=np.uint64)
+    joined, ends, at = b" ".join(words), [], -1
+    for w in words:
+        at += len(w) + 1
+        ends.append(at)
+    starts = [0, *[e + 1 for e in ends[: len(words) - shingle_words]]]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, ends[shingle_words - 1 :], strict=True)), dtype=np.uint64, count=len(starts)))
+
+
+def _wide(h, words: int):
+    """SimHash of ``words`` * 64 bits over distinct shingle hashes, each remixed for each word."""
+    import numpy as np
+
+    out = np.zeros(words, np.uint64)
+    for k in range(words):
+        x = h + np.uint64((0x9E3779B97F4A7C15 * (k + 1)) & (1 << 64) - 1)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        total = np.zeros(64, np.int64)
+        for i in range(0, len(x), 1 << 14):
+            total += np.unpackbits(x[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[k] = np.packbits(total * 2 > len(x), bitorder="little").view("<u8")[0]
+    return out
+
+
+def wide_fingerprints(docs: DataFrame, words: int, shingle_words: int) -> DataFrame:
+    """``docs(doc_id, text)`` -> ``(doc_id, fp array<long>)``."""
+    text_batches(docs.sparkSession)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        import numpy as np
+
+        fps = [_wide(shingle_hashes((t or "").encode(), shingle_words), words).view(np.int64) for t in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.list_(pa.int64()))], names=["doc_id", "fp"])
+
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, fp array<long>")
+
+
+def _slice_variants(bits: int, count: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        flip = np.array([0, *(1 << i for i in range(bits))], dtype=np.int64)
+        weight = 1 << np.arange(bits, dtype=np.int64)
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            fps = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
+            for i in range(0, len(ids), 2048):
+                part = np.ascontiguousarray(fps[i : i + 2048])
+                spread = np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little")
+                for t in range(count):
+                    own = spread[:, t * bits : (t + 1) * bits] @ weight
+                    keys = ((own[:, None] ^ flip[None, :]) + (t << 48)).ravel()
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(ids[i : i + 2048], bits + 1)), pa.array(np.repeat(part[:, 0], bits + 1))], names=["key", "id", "word"])
+
+    return run
+
+
+def _run_pairs(key, ids, word):
+    """Pairs (smaller id, larger id) within runs of equal keys whose first words are near; whole runs only."""
+    import numpy as np
+
+    edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+    length, starts = np.diff(edge), edge[:-1]
+    a, b = [], []
+
+    def keep(x, y):
+        ok = np.bitwise_count(word[x] ^ word[y]) <= FIRST_WORD_BITS
+        a.append(ids[x[ok]])
+        b.append(ids[y[ok]])
+
+    for n in np.unique(length[(length > 1) & (length <= NEAREST)]).tolist():
+        at = starts[length == n]
+        for shift in range(1, n):
+            x = (at[:, None] + np.arange(n - shift)[None, :]).ravel()
+            keep(x, x + shift)
+    for s, n in zip(starts[length > NEAREST].tolist(), length[length > NEAREST].tolist(), strict=True):
+        own = np.arange(s, s + n)
+        for i in range(0, n, 512):
+            x = own[i : i + 512]
+            d = np.bitwise_count(word[x][:, None] ^ word[own][None, :])
+            if n > NEAREST + 1:
+                near = np.argpartition(d, NEAREST, axis=1)[:, : NEAREST + 1]
+            else:
+                near = np.broadcast_to(np.arange(n), d.shape)
+            keep(np.repeat(x, near.shape[1]), s + near.ravel())
+    if not a:
+        return None
+    x, y = np.concatenate(a), np.concatenate(b)
+    pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)])[:, x != y], axis=1)
+    return pairs if pairs.size else None
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import numpy as np
+
+    held, size = [], 0
+
+    def flush(final: bool):
+        nonlocal held, size
+        k, i, w = (np.concatenate(x) for x in zip(*held, strict=True))
+        cut = len(k) if final else int(np.searchsorted(k, k[-1]))
+        held, size = [(k[cut:], i[cut:], w[cut:])], 0
+        return _run_pairs(k[:cut], i[:cut], w[:cut].view(np.uint64)) if cut else None
+
+    def rows(pairs):
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(tuple(batch.column(j).to_numpy() for j in range(3)))
+            size += batch.num_rows
+            if size >= 300_000 and (found := flush(False)) is not None:
+                yield rows(found)
+    if held and (found := flush(True)) is not None:
+        yield rows(found)
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+    """The pairs ``(a, b)`` whose shingle sets have that Jaccard similarity; texts travel by document."""
+    texts = docs.select("doc_id", "text")
+    left = texts.join(pairs.withColumnRenamed("a", "doc_id"), "doc_id").select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"), F.col("b").alias("doc_id"))
+    both = left.join(texts, "doc_id").select("a", F.col("doc_id").alias("b"), "text_a", "text")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        import numpy as np
+
+        ok = np.zeros(batch.num_rows, bool)
+        last, held = object(), None
+        for i, (a, b) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+            y = shingle_hashes((b or "").encode(), shingle_words) if b != last else held
+            last, held = b, y
+            x = shingle_hashes((a or "").encode(), shingle_words)
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            ok[i] = common >= similarity * (len(x) + len(y) - common)
+        keep = np.flatnonzero(ok)
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep))], names=["a", "b"])
+
+    return map_arrow(both, run, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, recall: float = 0.99) -> DataFrame:
+    """``docs(doc_id, text)`` with unique ids -> ``(doc_id, component_id)`` for documents in groups of near copies.
+
+    Links are pairs whose sets of word shingles have that Jaccard similarity, found by ball hashing on
+    slices of a wide SimHash and verified on the texts; a group's id is its smallest doc_id. Each document
+    is first compared with its nearest candidate; candidates that this joins already are not compared
+    again, so large families cost comparisons in proportion to their members. Equal wide fingerprints (all
+    blank texts, for one) count as copies. Documents in no group and null ids are absent.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
+    n = rows.count()
+    bits, count = slices(n, similarity, recall)
+    words = -(-bits * count // 64)
+    fps = materialize(wide_fingerprints(rows, words, shingle_words), "wide")
+    same = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("id")), "wide-distinct")
+    # emission multiplies rows: deal them out by number, not by their few bytes
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // 20_000)
+    keys = same.select("id", "fp").repartition(parts, "id").mapInArrow(_slice_variants(bits, count), "key long, id long, word long")
+    found = materialize(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_candidates, "a long, b long").distinct(), "pairs")
+    wide = same.select("id", "fp")
+    differ = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    limit = _most_bits(words * 64, similarity)
+    near = found.join(wide.select(F.col("id").alias("a"), F.col("fp").alias("fa")), "a").join(wide.select(F.col("id").alias("b"), F.col("fp").alias("fb")), "b").select("a", "b", differ.alias("d"))
+    pairs = materialize(near.where(F.col("d") <= limit), "near")
+    nearest = pairs.groupBy("b").agg(F.min(F.struct("d", "a")).alias("m")).select("m.a", "b")
+    first = materialize(_verified(nearest, rows, shingle_words, similarity), "links")
+    joined = connected_components(first)
+    ca = joined.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    cb = joined.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    rest = pairs.join(nearest, ["a", "b"], "left_anti").join(ca, "a", "left").join(cb, "b", "left")
+    rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    links_ = first.unionByName(_verified(rest, rows, shingle_words, similarity))
+    copies = fps.join(same, "fp").where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
+    return connected_components(links_.unionByName(copies)).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+
+
+def _most_bits(width: int, similarity: float) -> int:
+    """Bits in which a pair of that similarity differs, plus three and a half standard deviations."""
+    import math
+
+    p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    return math.ceil(width * p + 3.5 * math.sqrt(width * p * (1 - p)))
