@@ -10,9 +10,11 @@ files, so a hot line or directory is a single row before any join.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Short texts that name or grant a licence.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
@@ -45,28 +47,32 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(text, r"[^a-z0-9.]+|\.(?![a-z0-9])", " "), " +"), lambda t: t != "")
 
 
-def _weights(units: DataFrame, idf: DataFrame) -> DataFrame:
-    """``units(unit, name, token, tf)`` -> with ``w`` of length one for each unit."""
-    made = units.join(idf, "token").withColumn("w", F.col("tf") * F.col("idf"))
+def _weights(terms: DataFrame, idf: DataFrame) -> DataFrame:
+    """``terms(unit, token, tf, ...)`` -> with ``w``, of length one over each unit."""
+    made = terms.join(idf, "token").withColumn("w", F.col("tf") * F.col("idf"))
     norm = made.groupBy("unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return made.join(norm, "unit").withColumn("w", F.col("w") / F.col("norm"))
 
 
 def match_units(units: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """``units(unit)`` of distinct lower-case texts -> ``(unit, license, score)`` where the best cosine reaches ``threshold``.
+    """``units(unit, text)`` of distinct lower-case texts -> ``(unit, license, score)`` where the best cosine reaches ``threshold``.
 
-    IDF is ln((1 + N) / (1 + df)) + 1 over all units and templates. Ties go to the smaller name.
+    ``unit`` is a short key of the text, so words and weights do not carry whole texts along. IDF is
+    ln((1 + N) / (1 + df)) + 1 over all units and templates. Ties go to the smaller name.
     """
     spark = units.sparkSession
-    kinds = spark.createDataFrame(sorted((templates or TEMPLATES).items()), "name string, unit string").select("name", F.lower("unit").alias("unit"))
-    texts = units.select("unit").withColumn("name", F.lit(None).cast("string")).unionByName(kinds)
-    terms = texts.select("name", "unit", F.explode(tokens(F.col("unit"))).alias("token")).groupBy("name", "unit", "token").agg(F.count("*").alias("tf"))
-    total = texts.agg(F.count("*").alias("total"))
-    df = terms.groupBy("token").agg(F.count("*").alias("df"))
+    listed = F.array(*(F.struct(F.lit(k).alias("unit"), F.lit(v.lower()).alias("text")) for k, v in sorted((templates or TEMPLATES).items())))
+    kinds = spark.range(1).select(F.inline(listed))
+    word = F.explode(tokens(F.col("text"))).alias("token")
+    count = lambda texts: texts.select("unit", word).groupBy("unit", "token").agg(F.count("*").cast("double").alias("tf"))
+    terms = materialize(count(units), "license-words")
+    of_kinds = count(kinds)
+    total = units.select("unit").unionByName(kinds.select("unit")).agg(F.count("*").alias("total"))
+    df = terms.select("token").unionByName(of_kinds.select("token")).groupBy("token").agg(F.count("*").alias("df"))
     idf = df.crossJoin(total).select("token", (F.log((1.0 + F.col("total")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))  # total is one row
-    of_templates = _weights(terms.where("name IS NOT NULL"), idf).select("token", F.col("name").alias("template"), F.col("w").alias("tw"))
     # as many rows as the templates have words
-    dots = _weights(terms.where("name IS NULL"), idf).join(F.broadcast(of_templates), "token").groupBy("unit", "template").agg(F.round(F.sum(F.col("w") * F.col("tw")), 6).alias("score"))
+    weights = F.broadcast(_weights(of_kinds, idf).select("token", F.col("unit").alias("template"), F.col("w").alias("tw")))
+    dots = _weights(terms, idf).join(weights, "token").groupBy("unit", "template").agg(F.round(F.sum(F.col("w") * F.col("tw")), 6).alias("score"))
     license_name = F.regexp_replace("template", r" \(.*\)$", "")
     best = dots.groupBy("unit").agg(F.min(F.struct((-F.col("score")).alias("negative"), license_name.alias("license"))).alias("b"))
     return best.select("unit", F.col("b.license").alias("license"), (-F.col("b.negative")).alias("score")).where(F.col("score") >= threshold)
@@ -98,8 +104,10 @@ def scan(files: DataFrame, templates: dict[str, str] | None = None, threshold: f
     marked = rows.where(_marked(F.col("text"))).withColumn("whole", is_file)
     units = F.when(F.col("whole"), F.array(F.trim("text"))).otherwise(F.array().cast("array<string>"))
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: _marked(x))
-    found = marked.select("path", "whole", F.explode(F.array_distinct(F.concat(lines, units))).alias("unit")).distinct()
-    scored = match_units(found.select("unit").distinct(), templates, threshold)
+    said = marked.select("path", "whole", F.explode(F.array_distinct(F.concat(lines, units))).alias("said")).select("path", "whole", F.md5("said").alias("unit"), "said")
+    found = said.select("path", "whole", "unit").distinct()
+    texts = materialize(said.groupBy("unit").agg(F.min("said").alias("text")), "license-texts")
+    scored = match_units(texts, templates, threshold)
     best = F.min(F.struct((-F.col("score")).alias("negative"), F.col("license")))
     own = found.join(scored, "unit").groupBy("path", "whole").agg(best.alias("b")).select("path", "whole", F.col("b.license").alias("own_license"), (-F.col("b.negative")).alias("own_score"))
     granted = own.where("whole AND path IS NOT NULL").groupBy(directory(F.col("path")).alias("holder")).agg(F.min(F.struct((-F.col("own_score")).alias("negative"), F.col("own_license").alias("license"))).alias("g"))
