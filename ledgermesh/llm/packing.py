@@ -12,8 +12,10 @@ allows it.
 from __future__ import annotations
 
 import functools
+import sys
 import unicodedata
 import zlib
+from array import array
 
 import public_tokenizers
 import pyarrow as pa
@@ -26,8 +28,9 @@ TOKENIZER = "word_bpe_49k.json"
 SEQUENCE = 2048
 END_ID = 1
 GROUP_DOCS = 2048
-#: Words whose ids a worker keeps; when full, it starts anew.
-CACHE_WORDS = 300_000
+#: Words of a generation whose ids a worker keeps; when full, the generation before it goes and the words
+#: still met move on.
+CACHE_WORDS = 400_000
 #: Characters below this take the fast path; others are left to the tokenizer as a whole.
 _SIMPLE = "ɐ"
 
@@ -47,6 +50,7 @@ class WordIds:
         self.tokenizer.no_truncation()
         self.model = self.tokenizer.model
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
         self.odd = regex.compile("[\x1c-\x1f]").search
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -73,21 +77,23 @@ class WordIds:
         if self.odd(text):  # Python splits at these, the tokenizer does not
             return self.whole(text)
         if len(self.words) > CACHE_WORDS:
-            self.words = {}
+            self.words, self.older = {}, self.words
         words, parts = self.words, text.split()
         try:
             return b"".join(map(words.__getitem__, parts))
         except KeyError:
+            older = self.older
             for w in parts:
                 if w not in words:
-                    words[w] = self.word(w)
+                    words[w] = older.get(w) or self.word(w)
             return b"".join(map(words.__getitem__, parts))
 
 
 def _pack(ids: list[int]) -> bytes:
-    import numpy as np
-
-    return np.array(ids, dtype="<u4").tobytes()
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
 
 
 @functools.lru_cache(maxsize=2)
