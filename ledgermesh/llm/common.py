@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows in one Arrow batch of whole texts; keeps a batch of long documents within a worker's memory.
 TEXT_BATCH_ROWS = 1000
-TEXT_BATCH_BYTES = 32 << 20
+TEXT_BATCH_BYTES = 8 << 20
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -53,6 +53,19 @@ def text_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TEXT_BATCH_BYTES))
 
 
+def release_memory() -> None:
+    """Gives freed memory of this worker back to the system; workers wait for further tasks with what they hold."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """``mapInArrow`` with a function of one batch."""
 
@@ -62,6 +75,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
                 out = fn(batch)
                 if out is not None and out.num_rows:
                     yield out
+        release_memory()
 
     return df.mapInArrow(run, schema)
 

@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, text_batches, utf8_buffers
+from .common import map_arrow, materialize, release_memory, text_batches, utf8_buffers
 
 LENGTH, GRAM = 100, 32
 WINDOW = LENGTH - GRAM + 1
 #: Bytes around an anchor: all strings of LENGTH bytes that hold it.
 SPAN = LENGTH + WINDOW - 1
 SEGMENT_BYTES = 2 << 20
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)
 
 
@@ -49,7 +49,11 @@ def _slide(x, width: int, fold):
 
 
 def anchor_positions(raw, offsets):
-    """Positions of the anchors of every string of LENGTH bytes inside one document, and the hashes of their grams."""
+    """Anchors of all strings of LENGTH bytes inside one document: (position, gram hash, bytes left, bytes right).
+
+    A string's anchor is the leftmost of its grams of smallest hash. The bytes from ``position - left`` to
+    ``position + right`` are just the strings that an anchor stands for.
+    """
     import numpy as np
 
     sizes = np.diff(offsets)
@@ -79,9 +83,32 @@ def anchor_positions(raw, offsets):
         found.append(chosen + s)
         keys.append(h[chosen])
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return (np.zeros(0, np.int64),) * 4
     at, first = np.unique(np.concatenate(found), return_index=True)  # segments overlap
-    return at, np.concatenate(keys)[first]
+    h = np.concatenate(keys)[first]
+    doc = np.searchsorted(offsets, at, side="right") - 1
+    low = np.maximum(at - (WINDOW - 1), offsets[doc])  # first and last string that may have this anchor
+    high = np.minimum(at, offsets[doc + 1] - LENGTH)
+    for sign in (-1, 1):
+        todo = np.arange(len(at))
+        step = 0
+        while len(todo):  # the next chosen gram on that side that takes strings away
+            step += 1
+            near = todo + sign * step
+            inside = (near >= 0) & (near < len(at))
+            todo, near = todo[inside], near[inside]
+            inside = np.abs(at[near] - at[todo]) < WINDOW
+            todo, near = todo[inside], near[inside]
+            if sign < 0:
+                stops = h[near] <= h[todo]
+                low[todo[stops]] = np.maximum(low[todo[stops]], at[near[stops]] + 1)
+            else:
+                stops = h[near] < h[todo]
+                high[todo[stops]] = np.minimum(high[todo[stops]], at[near[stops]] - WINDOW)
+            todo = todo[~stops]
+    own = low <= high
+    at, h, low, high = at[own], h[own], low[own], high[own]
+    return at, h, at - low, high + LENGTH - at
 
 
 def surroundings_hash(raw, at, left, right):
@@ -120,12 +147,10 @@ def _anchors(batch: pa.RecordBatch) -> pa.RecordBatch | None:
     import numpy as np
 
     raw, offsets = utf8_buffers(batch.column(1))
-    at, key = anchor_positions(raw, offsets)
+    at, key, left, right = anchor_positions(raw, offsets)
     if not len(at):
         return None
     doc = np.searchsorted(offsets, at, side="right") - 1
-    left = np.minimum(at - offsets[doc], WINDOW - 1)
-    right = np.minimum(offsets[doc + 1] - at, LENGTH)
     ctx = surroundings_hash(raw, at, left, right)
     rid = batch.column(0).to_numpy()[doc]
     start = at - left - offsets[doc]
@@ -180,53 +205,64 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending, sent = (None, key[-1]) if several[-1] else ((key[-1], rid[-1], place[-1]), None)
 
 
-def suffix_array(text):
-    """Suffix array of the bytes and its inverse, by Larsson-Sadakane refinement.
+def _order(high, low, low_bits: int):
+    """Stable order of pairs of numbers below 2 ** 20 and 2 ** low_bits: sorted packed with their place where that fits 63 bits."""
+    import numpy as np
+
+    bits = max(1, len(high) - 1).bit_length()
+    if 20 + low_bits + bits <= 63 and (not len(high) or int(high.max()) < 1 << 20):
+        packed = (high << (low_bits + bits)) | (low << bits) | np.arange(len(high))
+        packed.sort()
+        return packed & ((1 << bits) - 1)
+    return np.lexsort([low, high])
+
+
+def suffix_array(text, depth: int | None = None):
+    """Suffix array of the bytes and the group of each suffix, by Larsson-Sadakane refinement.
 
-    Groups of suffixes equal in their first h bytes are sorted by the rank of what follows those h bytes;
-    h doubles, and only groups that are still open are touched again.
+    Groups of suffixes equal in their first h bytes are sorted by the group of what follows those h bytes;
+    h doubles, and only groups that are still open are touched again. With ``depth`` this stops once that
+    many bytes are sorted: suffixes that are equal so far then share a group.
     """
     import numpy as np
 
     n = len(text)
-    first = _words(text).byteswap() if n else np.zeros(0, np.uint64)
-    # zeros stand after the end: a suffix shorter than its word sorts before longer ones of equal bytes
-    sa = np.argsort(first, kind="stable")[::1]
-    tail = sa > n - 8
-    if tail.any():
-        sa = np.lexsort([np.minimum(n - np.arange(n), 8), first])
-    short = np.minimum(n - sa, 8)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    h = 5
+    first = (_words(text).byteswap() >> np.uint64(24)).astype(np.int64)  # five bytes, zeros after the end
+    sa = _order(first >> 20, first & ((1 << 20) - 1), 20)
     k = first[sa]
-    new = np.concatenate([[True], (k[1:] != k[:-1]) | (short[1:] != short[:-1])]) if n else np.zeros(0, bool)
-    head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    rank = np.empty(n, np.int64)
-    rank[sa] = head
-    open_ = np.flatnonzero(~(new & np.concatenate([new[1:], [True]]))) if n else np.zeros(0, np.int64)
-    h = 8
-    while len(open_):
+    new = np.concatenate([[True], k[1:] != k[:-1]])
+    places = np.arange(n)
+    group = np.empty(n, np.int64)
+    group[sa] = np.maximum.accumulate(np.where(new, places, 0))
+    open_ = np.flatnonzero(~(new & np.concatenate([new[1:], [True]])))
+    while len(open_) and (depth is None or h < depth):
         at = sa[open_]
         after = at + h
-        follow = np.where(after < n, rank[np.minimum(after, n - 1)], -1)
-        group = rank[at]
-        order = np.argsort(group * (n + 1) + follow + 1, kind="stable")
-        at, follow, group = at[order], follow[order], group[order]
+        # beyond the end: the shorter suffix first
+        follow = np.where(after < n, group[np.minimum(after, n - 1)] + h, n + h - 1 - after)
+        own = group[at]
+        order = _order(own, follow, max(1, n + h).bit_length())
+        at, follow, own = at[order], follow[order], own[order]
         sa[open_] = at
-        new = np.concatenate([[True], (group[1:] != group[:-1]) | (follow[1:] != follow[:-1])])
-        head = np.maximum.accumulate(np.where(new, open_, 0))
-        rank[at] = head
+        new = np.concatenate([[True], (own[1:] != own[:-1]) | (follow[1:] != follow[:-1])])
+        group[at] = np.maximum.accumulate(np.where(new, open_, 0))
         open_ = open_[~(new & np.concatenate([new[1:], [True]]))]
         h *= 2
-    return sa, rank
+    return sa, group
 
 
 LANE = 64
 
 
-def common_prefixes(text, sa, rank, limit: int):
+def common_prefixes(text, sa, group, limit: int):
     """Common prefix of each suffix with the one before it in ``sa``, up to ``limit``, by Kasai's recurrence.
 
     The recurrence (a suffix shares at least one byte less than the suffix one place to its left did) runs
-    down many lanes of the text at once.
+    down many lanes of the text at once. Suffixes of one group share ``limit`` bytes or more; their order
+    within the group says nothing of their neighbours' order, so the recurrence starts anew after them.
     """
     import numpy as np
 
@@ -237,6 +273,8 @@ def common_prefixes(text, sa, rank, limit: int):
     before = np.empty(n, np.int64)
     before[sa[1:]] = sa[:-1]
     before[sa[0]] = -1
+    place = np.empty(n, np.int64)
+    place[sa] = np.arange(n)
     padded = np.concatenate([text, np.zeros(limit + 16, np.uint8)])
     w = np.ndarray((len(padded) - 7,), dtype="<u8", buffer=padded, strides=(1,))
     lanes = np.arange(0, n, LANE)
@@ -247,16 +285,17 @@ def common_prefixes(text, sa, rank, limit: int):
         if i[-1] >= n:
             lanes, h, i = lanes[:-1], h[:-1], i[:-1]
         j = before[i]
-        h = np.maximum(h - 1, 0)
-        h[j < 0] = 0
-        go = np.flatnonzero((j >= 0) & (h < limit))
+        tied = (j >= 0) & (group[i] == group[j])
+        h = np.where(tied, limit, np.where(j < 0, 0, np.maximum(h - 1, 0)))
+        go = np.flatnonzero(~tied & (j >= 0) & (h < limit))
         while len(go):
             x = w[i[go] + h[go]] ^ w[j[go] + h[go]]
             same = x == 0
             h[go] += np.where(same, 8, np.bitwise_count((x & (~x + one)) - one).astype(np.int64) >> 3)
             go = go[same & (h[go] < limit)]
         h = np.minimum(h, np.minimum(limit, n - np.maximum(i, j)))
-        out[rank[i]] = h
+        out[place[i]] = h
+        h = np.where(tied, 0, h)
     return out
 
 
@@ -270,8 +309,8 @@ class Shard:
         self.text = np.frombuffer(b"".join(texts), dtype=np.uint8)
         sizes = np.array([len(t) for t in texts])
         begin = np.cumsum(sizes) - sizes
-        sa, rank = suffix_array(self.text)
-        lcp = common_prefixes(self.text, sa, rank, LENGTH)
+        sa, group = suffix_array(self.text, LENGTH)
+        lcp = common_prefixes(self.text, sa, group, LENGTH)
         owner = np.repeat(np.arange(len(texts)), sizes)
         inside = np.arange(len(self.text)) - begin[owner]
         whole = inside + LENGTH <= sizes[owner]
@@ -391,6 +430,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield rows(found)
     if held and (found := flush(True)):
         yield rows(found)
+    release_memory()
 
 
 def _surroundings(batch: pa.RecordBatch) -> pa.RecordBatch:

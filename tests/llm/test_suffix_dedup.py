@@ -66,10 +66,17 @@ def test_suffix_array_and_prefixes():
     r = random.Random(6)
     for t in [b"", b"a", b"aaaaaaaaaaaaaaaaaaaaaaaa", b"\x00\x00\x00", b"abababababababab\x00", *(bytes(r.choice(b"ab\x00") for _ in range(r.randrange(400))) for _ in range(60))]:
         text = np.frombuffer(t, np.uint8)
-        sa, rank = sd.suffix_array(text)
+        sa, group = sd.suffix_array(text)
         want = sorted(range(len(t)), key=lambda i: t[i:])
-        assert sa.tolist() == want and all(rank[p] == i for i, p in enumerate(want))
-        lcp = sd.common_prefixes(text, sa, rank, 20).tolist()
+        assert sa.tolist() == want and all(group[p] == i for i, p in enumerate(want))
+        for depth in (20, 30):
+            cut, groups = sd.suffix_array(text, depth)
+            assert [t[i : i + depth] for i in cut] == [t[i : i + depth] for i in want]
+            own = sd.common_prefixes(text, cut, groups, 20).tolist()
+            for k in range(1, len(t)):
+                a, b = t[cut[k - 1] :][:20], t[cut[k] :][:20]
+                assert own[k] == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        lcp = sd.common_prefixes(text, sa, group, 20).tolist()
         for k in range(1, len(t)):
             a, b = t[want[k - 1] :], t[want[k] :]
             n = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
@@ -107,3 +114,21 @@ def test_large_key_is_merged_across_shards(monkeypatch):
     for i, a, b in zip(*(x.tolist() for x in found), strict=True):
         got[i, a - 7 : b - 7] = True
     assert (got == want).all()
+
+
+def test_segments_do_not_change_anchors(monkeypatch):
+    texts = [(t or "").encode() for _, t in corpus(5)]
+    raw = np.frombuffer(b"".join(texts), np.uint8)
+    offsets = np.cumsum([0, *map(len, texts)])
+    whole = sd.anchor_positions(raw, offsets)
+    monkeypatch.setattr(sd, "SEGMENT_BYTES", 513)
+    for a, b in zip(whole, sd.anchor_positions(raw, offsets), strict=True):
+        assert (a == b).all()
+    at, _, left, right = whole
+    covered = np.zeros(len(raw), int)  # every string of 100 bytes inside a document has just one anchor
+    for p, lo, hi in zip(at.tolist(), left.tolist(), right.tolist(), strict=True):
+        covered[p - lo : p + hi - 99] += 1
+    want = np.zeros(len(raw), int)
+    for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        want[s : max(s, e - 99)] = 1
+    assert (covered == want).all()
