@@ -177,7 +177,7 @@ BUILDERS: dict[str, Callable[[Work], DataFrame]] = {
     "missed_pairs": lambda w: evaluate.missed_pairs(w.pairs, w.gt, w.side(True), w.side(False)),
     "missed_categories": lambda w: evaluate.missed_categories(evaluate.missed_sample(evaluate.missed_pairs(w.pairs, w.gt, w.side(True), w.side(False)))),
     "trim_weights": lambda w: rules.trim_weights(w.pairs, w.gt),
-    "trim_topk": lambda w: rules.top_k(rules.trim_scores(w.lookup_pairs, rules.trim_weights(w.lookup_pairs, w.gt)), 20).drop("source"),
+    "trim_topk": lambda w: rules.top_k(rules.trim_scores(w.lookup_pairs, rules.trim_weights(w.lookup_pairs, w.gt)), 20).drop("source").withColumn("rk", F.col("rk").cast("long")),
     "trim_curve": lambda w: rules.trim_curve(rules.trim_scores(w.lookup_pairs, rules.trim_weights(w.lookup_pairs, w.gt)), w.gt, w.reference),
     **{f"rule_R{i}": _rule(f"R{i}") for i in range(1, 8)},
     "rule_one_owner": lambda w: rules.predict(w.pairs, "R4", one_owner=True),
