@@ -35,6 +35,8 @@ _SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",
 _FENCES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "option": ("select",)}
 _ASIDE = re.compile(r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|sidebar|footer|masthead|banner|ads?|advert|adverts|advertisement|promo|sponsor|sponsored|cookies?|consent|gdpr|notice|notices|alert|comments?|disqus|respond|reactions|share|sharing|social|related|recommended|newsletter|subscribe|signup|popup|modal|overlay|toolbar|pagination|skip-link|search|contentinfo|complementary|dialog)(?:$|[\s_-])", re.I)
 
+_HEADER = re.compile(r"(?:^|[\s_-])(?:header|topbar|logo|branding)(?:$|[\s_-])", re.I)
+
 
 @dataclass(slots=True)
 class Element:
@@ -141,8 +143,11 @@ def hash_subtrees(element: Element) -> list[Element]:
     return out
 
 
-def _set_aside(e: Element) -> bool:
-    return e.tag in _DROPPED or e.hidden or bool(e.marks and _ASIDE.search(e.marks))
+def _set_aside(e: Element, of_page: bool = False) -> bool:
+    """Whether an element is no part of the text; ``of_page``: outside an article, where headers are the site's."""
+    if e.tag in _DROPPED or e.hidden or of_page and e.tag == "header":
+        return True
+    return bool(e.marks and (_ASIDE.search(e.marks) or of_page and _HEADER.search(e.marks)))
 
 
 def main_elements(root: Element) -> list[Element]:
@@ -172,6 +177,7 @@ def text_blocks(element: Element, template: frozenset[int]) -> list[str]:
             blocks.append(text)
         held.clear()
 
+    of_page = element.tag in ("body", "#root")
     todo: list = [element]
     while todo:
         e = todo.pop()
@@ -179,7 +185,7 @@ def text_blocks(element: Element, template: frozenset[int]) -> list[str]:
             flush()
         elif isinstance(e, str):
             held.append(e)
-        elif e is not element and (_set_aside(e) or e.digest in template):
+        elif e is not element and (_set_aside(e, of_page) or e.digest in template):
             if e.tag in _BLOCK:
                 flush()
         elif e.tag in ("br", "hr", "wbr", "img"):

@@ -19,6 +19,8 @@ def test_odd_pages():
     assert h.extract("<body><div>a</div><div>b") == "a\n\nb"
     assert h.extract("<article>" + "<div>" * 5000 + "deep") == "deep"
     assert h.extract("<main><p>m</p></main><article class='comment'>c</article>") == "m"
+    assert h.extract("<body><header>site</header><div class='site-header'>top</div><p>t</p><article hidden>x</article></body>") == "t"
+    assert h.extract("<article><header><h1>t</h1></header><p>u</p><aside>v</aside><section class='related-posts'>w</section></article>") == "t\n\nu"
     assert h.extract("a < b <p>1 &lt; 2") == "a < b\n\n1 < 2"
 
 
