@@ -75,3 +75,18 @@ def mean_of(models: list[PipelineModel], rows: DataFrame, names: list[str]) -> D
 def area_under_curve(scored: DataFrame, truth_column: str = "y") -> float:
     data = scored.withColumn("label", F.col(truth_column).cast("double"))
     return BinaryClassificationEvaluator(rawPredictionCol="p", labelCol="label").evaluate(data)
+
+
+def save(models: list[PipelineModel], path: str) -> None:
+    """Each fold's model under ``path/fold=k``; a model carries its feature list."""
+    for k, m in enumerate(models):
+        m.write().overwrite().save(f"{path}/fold={k}")
+
+
+def load(path: str, folds: int = FOLDS) -> tuple[list[PipelineModel], list[str]]:
+    """The fold models and the features they were fitted on, which must be the same for all."""
+    models = [PipelineModel.load(f"{path}/fold={k}") for k in range(folds)]
+    names = {tuple(m.stages[0].getInputCols()) for m in models}
+    if len(names) != 1:
+        raise ValueError("the fold models were fitted on different features")
+    return models, list(names.pop())

@@ -87,7 +87,7 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
     return ranked(scored, "score").where(F.col("rk") <= k)
 
 
-def trim_curve(scored: DataFrame, truth: DataFrame, reference: DataFrame, ks=(10, 20, 30, 50, 75, 100, 150, 200)) -> DataFrame:
+def trim_curve(scored: DataFrame, truth: DataFrame, reference: DataFrame, ks=(20, 30, 40, 50, 60, 80, 100, 150)) -> DataFrame:
     """A row for each K: pairs kept, candidates for each reference record, recall and what it loses."""
     placed = labelled(ranked(scored, "score"), truth).select("y", "rk")
     grid = placed.sparkSession.createDataFrame([(k,) for k in ks], "k int")

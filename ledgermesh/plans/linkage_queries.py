@@ -166,6 +166,9 @@ BUILDERS: dict[str, Callable[[Work], DataFrame]] = {
     **{f"block_{b}": _block(b) for b in NATIVE},
     "block_stats": lambda w: blocking.block_stats(w.keys()),
     "candidates_mask": lambda w: w.pairs,
+    "candidates_any_country": lambda w: blocking.candidates(blocking.long_keys(w.keyed, NATIVE, use_country=False)),
+    "candidates_none": lambda w: evaluate.candidate_counts(w.pairs, w.reference).where("n = 0").select("entity_id", "country"),
+    "keys_of_sample": lambda w: blocking.sampled(w.keyed, 0.15).select("entity_id", *_joined("k_compact")),
     "candidates_grouped": lambda w: blocking.grouped(w.reference, w.pairs),
     "gt_pairs": lambda w: w.gt,
     "ground_truth_facts": lambda w: evaluate.ground_truth_facts(w.gt, w.side(True), w.side(False)),
