@@ -42,6 +42,6 @@ def test_every_query_is_registered(spark):
     assert QUERIES["candidates_mask"](spark, SF).count() > 0
 
 
-@pytest.mark.parametrize("name", ["missed_categories", "decide_grid", "cascade_siblings", "features_all", "example_pairs"])
+@pytest.mark.parametrize("name", ["missed_categories", "cascade_siblings", "features_all", "example_pairs"])
 def test_queries_without_sql_run(work, name):
     assert BUILDERS[name](work).count() > 0
