@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .evaluate import f05, labelled
+from .evaluate import score_groups
 from .rules import best_owner, ranked
 
 
@@ -40,20 +40,11 @@ def grid_scores(predictions: DataFrame, truth: DataFrame, reference: DataFrame,
     """Macro F0.5 of every setting, from one ranked table crossed with the grid."""
     table = [(i, *g) for i, g in enumerate(grid)]
     settings = predictions.sparkSession.createDataFrame(table, "setting int, one_owner boolean, t double, t_best double")
-    placed = labelled(ranked(predictions, "p"), truth).crossJoin(F.broadcast(settings))
+    placed = ranked(predictions, "p").crossJoin(F.broadcast(settings))  # a few dozen rows
     chosen = placed.where((F.col("p") >= F.col("t")) | ((F.col("rk") == 1) & (F.col("p") >= F.col("t_best"))))
     owner = F.row_number().over(Window.partitionBy("setting", "cand_id").orderBy(F.desc("p"), "s1_id"))
-    chosen = chosen.withColumn("place", owner).where(~F.col("one_owner") | (F.col("place") == 1))
-    made = chosen.groupBy("setting", "s1_id").agg(F.count("*").alias("np"), F.count_if("y").alias("tp"))
-    true_ = truth.groupBy("s1_id").agg(F.count("*").alias("nt"))
-    # records without any prediction score 1 or 0 in every setting, so they enter by their number alone
-    base = reference.select(F.col("entity_id").alias("s1_id")).join(true_, "s1_id", "left").select("s1_id", F.coalesce("nt", F.lit(0)).alias("nt"))
-    totals = base.agg(F.count("*").alias("n_s1"), F.count_if(F.col("nt") == 0).alias("n_single"))
-    each = made.join(base, "s1_id").withColumn("f", f05(F.col("tp"), F.col("np"), F.col("nt")))
-    sums = each.groupBy("setting").agg(F.sum("f").alias("f"), F.count_if(F.col("nt") == 0).alias("wrong"), F.sum("np").alias("pairs"))
-    out = settings.join(sums, "setting", "left").crossJoin(totals)
-    macro = (F.coalesce("f", F.lit(0.0)) + F.col("n_single") - F.coalesce("wrong", F.lit(0))) / F.col("n_s1")
-    return out.select("setting", "one_owner", "t", "t_best", F.coalesce("pairs", F.lit(0)).alias("pairs"), F.round(macro, 6).alias("macro_f05"))
+    chosen = chosen.withColumn("place", owner).where(~F.col("one_owner") | (F.col("place") == 1)).select("setting", "s1_id", "cand_id")
+    return score_groups(chosen, settings, "setting", truth, reference).select("setting", "one_owner", "t", "t_best", "pairs", "macro_f05")
 
 
 def tune(predictions: DataFrame, truth: DataFrame, reference: DataFrame) -> tuple[bool, float, float]:

@@ -146,11 +146,27 @@ def f05(tp: Column, n_pred: Column, n_true: Column) -> Column:
     return F.when((n_true == 0) & (n_pred == 0), 1.0).when((n_true == 0) | (n_pred == 0) | (tp == 0), 0.0).otherwise(1.25 * p * r / F.nullif(0.25 * p + r, F.lit(0.0)))
 
 
-def score(predicted: DataFrame, truth: DataFrame, reference: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """One row: macro F0.5 over all reference records, pair precision and recall, share predicted empty."""
-    rows = per_reference(predicted, truth, reference)
-    ratio = lambda a, b: F.round(F.sum(a) / F.nullif(F.sum(b).cast("double"), F.lit(0.0)), 6)
-    return rows.agg(
-        F.round(F.avg(f05(F.col("tp"), F.col("np"), F.col("nt"))), 6).alias("macro_f05"), ratio("tp", "np").alias("pair_precision"), ratio("tp", "nt").alias("pair_recall"),
-        F.round(F.avg(F.when(F.col("np") == 0, 1.0).otherwise(0.0)), 6).alias("predicted_empty"),
+def score_groups(predicted: DataFrame, groups: DataFrame, key: str, truth: DataFrame, reference: DataFrame) -> DataFrame:
+    """Scores of many predictions at once: ``predicted(key, s1_id, cand_id)``, a row out for each of ``groups(key)``.
+
+    One pass over the pairs serves all groups. Records without any prediction score 1 or 0 in every group,
+    so they enter by their number alone.
+    """
+    nt = truth.groupBy("s1_id").agg(F.count("*").alias("nt"))
+    base = reference.select(F.col("entity_id").alias("s1_id")).join(nt, "s1_id", "left").select("s1_id", F.coalesce("nt", F.lit(0)).alias("nt"))
+    totals = base.agg(F.count("*").alias("n_s1"), F.count_if(F.col("nt") == 0).alias("n_single"), F.sum("nt").alias("n_true"))
+    per = labelled(predicted, truth).groupBy(key, "s1_id").agg(F.count("*").alias("np"), F.count_if("y").alias("tp")).join(base, "s1_id")
+    per = per.withColumn("f", f05(F.col("tp"), F.col("np"), F.col("nt")))
+    sums = per.groupBy(key).agg(F.sum("f").alias("f"), F.count_if(F.col("nt") == 0).alias("wrong"), F.count("*").alias("answered"), F.sum("np").alias("pairs"), F.sum("tp").alias("tp"))
+    out = groups.join(sums, key, "left").fillna(0, ["f", "wrong", "answered", "pairs", "tp"]).crossJoin(totals)  # totals is one row
+    ratio = lambda x, y: F.round(x / F.nullif(y.cast("double"), F.lit(0.0)), 6)
+    return out.select(
+        *groups.columns, "pairs", ratio(F.col("f") + F.col("n_single") - F.col("wrong"), F.col("n_s1")).alias("macro_f05"), ratio(F.col("tp"), F.col("pairs")).alias("pair_precision"),
+        ratio(F.col("tp"), F.col("n_true")).alias("pair_recall"), ratio(F.col("n_s1") - F.col("answered"), F.col("n_s1")).alias("predicted_empty"),
     )
+
+
+def score(predicted: DataFrame, truth: DataFrame, reference: DataFrame) -> DataFrame:
+    """One row: macro F0.5 over all reference records, pair precision and recall, share predicted empty."""
+    one = predicted.sparkSession.range(1).select(F.lit(0).alias("k"))
+    return score_groups(predicted.withColumn("k", F.lit(0)), one, "k", truth, reference).drop("k", "pairs")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import BITS
-from .evaluate import labelled, percent, score
+from .evaluate import labelled, percent, score_groups
 
 
 def has(*blockers: str) -> Column:
@@ -48,12 +48,14 @@ def best_owner(pairs: DataFrame, first: Column) -> DataFrame:
 
 
 def rule_scores(pairs: DataFrame, truth: DataFrame, reference: DataFrame, one_owner: bool = False) -> DataFrame:
-    """A row for each rule with its score."""
-    out = None
-    for name in rules():
-        row = score(predict(pairs, name, one_owner), truth, reference).withColumn("rule", F.lit(name))
-        out = row if out is None else out.unionByName(row)
-    return out
+    """A row for each rule with its score; one pass over the pairs decides all rules."""
+    taken = F.filter(F.array(*(F.when(e, F.lit(name)) for name, e in rules().items())), lambda r: r.isNotNull())
+    chosen = pairs.select("s1_id", "cand_id", F.bit_count("mask").alias("nb"), F.explode(taken).alias("rule"))
+    if one_owner:
+        place = F.row_number().over(Window.partitionBy("rule", "cand_id").orderBy(F.desc("nb"), "s1_id"))
+        chosen = chosen.withColumn("place", place).where("place = 1")
+    names = pairs.sparkSession.createDataFrame([(r,) for r in rules()], "rule string")
+    return score_groups(chosen.select("rule", "s1_id", "cand_id"), names, "rule", truth, reference).drop("pairs")
 
 
 def trim_weights(pairs: DataFrame, truth: DataFrame) -> DataFrame:
