@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, text_batches
+from .common import map_arrow, materialize, release_memory, text_batches
 from .components import connected_components, spanning_stars
 
 #: Bits of the three blocks; each is dropped in turn.
@@ -124,6 +124,7 @@ def _verify(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        release_memory()
         key, fp, size = [], [], 0
 
         def flush(final: bool):
@@ -143,12 +144,13 @@ def _verify(radius: int):
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "b"])
         if key and (found := flush(True)):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "b"])
+        release_memory()
 
     return run
 
 
-def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``fps(fp)`` distinct -> links ``(a, b)`` that connect just the fingerprints at ``radius`` or fewer bits."""
+def links(fps: DataFrame, radius: int = RADIUS, parts: int = 1) -> DataFrame:
+    """``fps(fp)`` distinct, emitted in ``parts`` tasks at least -> links ``(a, b)`` that connect just the fingerprints at ``radius`` or fewer bits."""
     if not 0 <= radius <= RADIUS:
         raise ValueError("the emitted balls cover a radius of 0 to 3")
 
@@ -156,7 +158,7 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         for batch in batches:
             yield from _variants(batch)
 
-    keys = fps.select("fp").mapInArrow(emit, "key long, fp long")
+    keys = fps.select("fp").repartition(max(parts, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "fp").mapInArrow(emit, "key long, fp long")
     met = keys.repartition("key").sortWithinPartitions("key")
     return met.mapInArrow(_verify(radius), "a long, b long")
 
@@ -169,7 +171,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, radius: int = RADIU
     """
     found = materialize(fingerprints(docs, shingle_words), "simhash")
     first = found.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    nodes = connected_components(links(first, radius))
+    nodes = connected_components(links(first, radius, found.count() // 20_000))
     joined = first.join(nodes, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("component", "fp"))
     least = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
     by_fp = joined.join(least, "root").select("fp", "component_id")
@@ -181,8 +183,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, radius: int = RADIU
 #: Bits of the first word in which a pair may differ before it is compared further (3.6 standard deviations
 #: above what a pair of similarity 0.8 differs in; unrelated pairs differ in 32 on average).
 FIRST_WORD_BITS = 20
-#: Rows of a run that are compared all with all; in longer ones each is compared with this many of its nearest.
-NEAREST = 16
+#: Rows of a run that are compared all with all. In longer ones the pairs are those of a minimum spanning tree
+#: by distance, which joins what any threshold of that distance would join, and each row's nearest few.
+RUN_ALL, NEAREST = 8, 2
 
 
 def slices(n_docs: int, similarity: float, recall: float = 0.99) -> tuple[int, int]:
@@ -235,19 +238,22 @@ def _wide(h, words: int):
 
 
 def wide_fingerprints(docs: DataFrame, words: int, shingle_words: int) -> DataFrame:
-    """``docs(doc_id, text)`` -> ``(doc_id, fp array<long>)``."""
+    """``docs(doc_id, text)`` -> ``(doc_id, n, fp array<long>)``; n is the number of distinct shingles."""
     text_batches(docs.sparkSession)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         import numpy as np
 
-        fps = [_wide(shingle_hashes((t or "").encode(), shingle_words), words).view(np.int64) for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.list_(pa.int64()))], names=["doc_id", "fp"])
+        sets = [shingle_hashes((t or "").encode(), shingle_words) for t in batch.column(1).to_pylist()]
+        fps = [_wide(h, words).view(np.int64) for h in sets]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array(fps, pa.list_(pa.int64()))], names=["doc_id", "n", "fp"])
 
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, fp array<long>")
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n long, fp array<long>")
 
 
 def _slice_variants(bits: int, count: int):
+    """Ball hashing on slices: rows (id, fp) -> (key, id, first word), a row for each slice and flipped bit."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
@@ -267,64 +273,89 @@ def _slice_variants(bits: int, count: int):
     return run
 
 
+def _distinct_pairs(pairs):
+    import numpy as np
+
+    if not pairs:
+        return None
+    x, y = (np.concatenate(p) for p in zip(*pairs, strict=True))
+    found = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)])[:, x != y], axis=1)
+    return found if found.size else None
+
+
+def spanning_tree(word):
+    """Edges (i, j) of a minimum spanning tree of the words by Hamming distance (Prim), in order of growth."""
+    import numpy as np
+
+    n = len(word)
+    best = np.bitwise_count(word ^ word[0]).astype(np.int16)
+    source = np.zeros(n, np.int64)
+    best[0] = 255
+    a, b = np.zeros(n - 1, np.int64), np.zeros(n - 1, np.int64)
+    for k in range(n - 1):
+        j = int(best.argmin())
+        a[k], b[k] = source[j], j
+        d = np.bitwise_count(word ^ word[j])
+        closer = (d < best) & (best < 255)
+        best[closer] = d[closer]
+        source[closer] = j
+        best[j] = 255
+    return a, b
+
+
 def _run_pairs(key, ids, word):
-    """Pairs (smaller id, larger id) within runs of equal keys whose first words are near; whole runs only."""
+    """Pairs (smaller id, larger id) of near first words within runs of equal keys."""
     import numpy as np
 
     edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
     length, starts = np.diff(edge), edge[:-1]
-    a, b = [], []
+    pairs = []
 
     def keep(x, y):
         ok = np.bitwise_count(word[x] ^ word[y]) <= FIRST_WORD_BITS
-        a.append(ids[x[ok]])
-        b.append(ids[y[ok]])
+        pairs.append((ids[x[ok]], ids[y[ok]]))
 
-    for n in np.unique(length[(length > 1) & (length <= NEAREST)]).tolist():
+    for n in np.unique(length[(length > 1) & (length <= RUN_ALL)]).tolist():
         at = starts[length == n]
         for shift in range(1, n):
             x = (at[:, None] + np.arange(n - shift)[None, :]).ravel()
             keep(x, x + shift)
-    for s, n in zip(starts[length > NEAREST].tolist(), length[length > NEAREST].tolist(), strict=True):
+    for s, n in zip(starts[length > RUN_ALL].tolist(), length[length > RUN_ALL].tolist(), strict=True):
         own = np.arange(s, s + n)
+        a, b = spanning_tree(word[own])
+        keep(s + a, s + b)
         for i in range(0, n, 512):
             x = own[i : i + 512]
-            d = np.bitwise_count(word[x][:, None] ^ word[own][None, :])
-            if n > NEAREST + 1:
-                near = np.argpartition(d, NEAREST, axis=1)[:, : NEAREST + 1]
-            else:
-                near = np.broadcast_to(np.arange(n), d.shape)
-            keep(np.repeat(x, near.shape[1]), s + near.ravel())
-    if not a:
-        return None
-    x, y = np.concatenate(a), np.concatenate(b)
-    pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)])[:, x != y], axis=1)
-    return pairs if pairs.size else None
+            near = np.argpartition(np.bitwise_count(word[x][:, None] ^ word[own][None, :]), NEAREST, axis=1)[:, : NEAREST + 1]
+            keep(np.repeat(x, NEAREST + 1), s + near.ravel())
+    return _distinct_pairs(pairs)
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, id, word) sorted by key -> pairs (a, b), whole runs at a time."""
     import numpy as np
 
+    release_memory()
     held, size = [], 0
 
     def flush(final: bool):
         nonlocal held, size
         k, i, w = (np.concatenate(x) for x in zip(*held, strict=True))
-        cut = len(k) if final else int(np.searchsorted(k, k[-1]))
-        held, size = [(k[cut:], i[cut:], w[cut:])], 0
-        return _run_pairs(k[:cut], i[:cut], w[:cut].view(np.uint64)) if cut else None
-
-    def rows(pairs):
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+        end = len(k) if final else int(np.searchsorted(k, k[-1]))
+        held, size = [(k[end:], i[end:], w[end:])], 0
+        pairs = _run_pairs(k[:end], i[:end], w[:end].view(np.uint64)) if end else None
+        if pairs is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
     for batch in batches:
         if batch.num_rows:
-            held.append(tuple(batch.column(j).to_numpy() for j in range(3)))
+            held.append(tuple(c.to_numpy() for c in batch.columns))
             size += batch.num_rows
-            if size >= 300_000 and (found := flush(False)) is not None:
-                yield rows(found)
-    if held and (found := flush(True)) is not None:
-        yield rows(found)
+            if size >= 300_000:
+                yield from flush(False)
+    if held:
+        yield from flush(True)
+    release_memory()
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
@@ -350,13 +381,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, shingle_words: int, similarity:
     return map_arrow(both, run, "a long, b long")
 
 
-def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, recall: float = 0.99) -> DataFrame:
+def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, recall: float = 0.999) -> DataFrame:
     """``docs(doc_id, text)`` with unique ids -> ``(doc_id, component_id)`` for documents in groups of near copies.
 
     Links are pairs whose sets of word shingles have that Jaccard similarity, found by ball hashing on
     slices of a wide SimHash and verified on the texts; a group's id is its smallest doc_id. Each document
-    is first compared with its nearest candidate; candidates that this joins already are not compared
-    again, so large families cost comparisons in proportion to their members. Equal wide fingerprints (all
+    is first compared with its nearest candidate, then with those that this has not joined to it, so large
+    families cost comparisons in proportion to their members. Equal wide fingerprints (all
     blank texts, for one) count as copies. Documents in no group and null ids are absent.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
@@ -364,26 +395,30 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle_words: int
     bits, count = slices(n, similarity, recall)
     words = -(-bits * count // 64)
     fps = materialize(wide_fingerprints(rows, words, shingle_words), "wide")
-    same = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("id")), "wide-distinct")
+    same = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("id"), F.min("n").alias("n")), "wide-distinct")
     # emission multiplies rows: deal them out by number, not by their few bytes
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // 20_000)
     keys = same.select("id", "fp").repartition(parts, "id").mapInArrow(_slice_variants(bits, count), "key long, id long, word long")
-    found = materialize(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_candidates, "a long, b long").distinct(), "pairs")
-    wide = same.select("id", "fp")
-    differ = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    limit = _most_bits(words * 64, similarity)
-    near = found.join(wide.select(F.col("id").alias("a"), F.col("fp").alias("fa")), "a").join(wide.select(F.col("id").alias("b"), F.col("fp").alias("fb")), "b").select("a", "b", differ.alias("d"))
-    pairs = materialize(near.where(F.col("d") <= limit), "near")
+    met = keys.repartition("key").sortWithinPartitions("key").mapInArrow(_candidates, "a long, b long").distinct()
+    pairs = materialize(_within(met, same, _most_bits(words * 64, similarity), similarity), "near")
     nearest = pairs.groupBy("b").agg(F.min(F.struct("d", "a")).alias("m")).select("m.a", "b")
     first = materialize(_verified(nearest, rows, shingle_words, similarity), "links")
-    joined = connected_components(first)
+    joined = materialize(connected_components(first), "groups")
     ca = joined.select(F.col("node").alias("a"), F.col("component").alias("ca"))
     cb = joined.select(F.col("node").alias("b"), F.col("component").alias("cb"))
     rest = pairs.join(nearest, ["a", "b"], "left_anti").join(ca, "a", "left").join(cb, "b", "left")
     rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    links_ = first.unionByName(_verified(rest, rows, shingle_words, similarity))
-    copies = fps.join(same, "fp").where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
-    return connected_components(links_.unionByName(copies)).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+    copies = fps.join(same.select("fp", "id"), "fp").where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
+    found = first.unionByName(_verified(rest, rows, shingle_words, similarity)).unionByName(copies)
+    return connected_components(found).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+
+
+def _within(pairs: DataFrame, wide: DataFrame, limit: int, similarity: float) -> DataFrame:
+    """``(a, b, d)``: pairs whose wide fingerprints differ in ``limit`` bits at most and whose set sizes allow the similarity."""
+    differ = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    side = lambda k: wide.select(F.col("id").alias(k), F.col("fp").alias(f"f{k}"), F.col("n").alias(f"n{k}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") >= F.greatest("na", "nb") * similarity)
+    return both.select("a", "b", differ.alias("d")).where(F.col("d") <= limit)
 
 
 def _most_bits(width: int, similarity: float) -> int:
