@@ -77,3 +77,15 @@ def markdown_table(rows: DataFrame, most: int = 1000) -> str:
     lines = ["| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns)]
     lines += ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows.limit(most).collect()]
     return "\n".join(lines)
+
+
+def register_views(**frames: DataFrame) -> None:
+    """Names for SQL: ``register_views(s1=reference, cand=pairs)``, then ``spark.sql(text, args={...})``."""
+    for name, rows in frames.items():
+        rows.createOrReplaceTempView(name)
+
+
+def save_table(rows: DataFrame, name: str, buckets: int = 0, key: str = "s1_id") -> None:
+    """A catalogue table in the warehouse; bucketed by ``key``, later joins on it need no shuffle."""
+    writer = rows.write.mode("overwrite").format("parquet").option("compression", "zstd")
+    (writer.bucketBy(buckets, key).sortBy(key) if buckets else writer).saveAsTable(name)

@@ -163,3 +163,16 @@ def test_stream_of_vendor_records(spark, tmp_path):
     q = stream_matches(stream, both.where("source = 1"), blocking.block_sizes(both).drop("n"), none, none, lambda rows, _: got.extend((r.s1_id, r.cand_id) for r in rows.collect()), f"{tmp_path}/state")
     q.awaitTermination(120)
     assert got == [("S1-1", "S2-1")]
+
+
+def test_views_with_parameters_and_saved_tables(spark):
+    rows = spark.createDataFrame([("S1-1", "US"), ("S1-2", "IN")], "s1_id string, country string")
+    tables.register_views(ref=rows)
+    assert [r.s1_id for r in spark.sql("SELECT s1_id FROM ref WHERE country = :c", args={"c": "IN"}).collect()] == ["S1-2"]
+    tables.save_table(rows, "ledgermesh_saved", 4)
+    try:
+        assert spark.table("ledgermesh_saved").count() == 2
+        plan = spark.table("ledgermesh_saved").groupBy("s1_id").count()._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan
+    finally:
+        spark.sql("DROP TABLE ledgermesh_saved")
