@@ -23,6 +23,8 @@ from .common import map_arrow, materialize, text_batches
 
 #: A subtree is template if it recurs on this many different pages of a host and on this share of them.
 MIN_PAGES, SHARE = 10, 0.5
+#: Parts that the pages of a host are dealt to when they meet their template, so that a hot host is no one task.
+SALTS = 64
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</?([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -249,7 +251,9 @@ def main_texts(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHAR
     """
     text_batches(pages.sparkSession)
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html")).withColumn("host", host_of(F.col("url")))
-    joined = rows.join(templates(rows, min_pages, share), "host", "left").select("page_id", "url", "html", "template")
+    found = templates(rows, min_pages, share).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url", F.length("html")), F.lit(SALTS)).cast("int"))
+    joined = dealt.join(found, ["host", "salt"], "left").select("page_id", "url", "html", "template")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [extract(p or "", frozenset(h & (1 << 64) - 1 for h in t or ())) for p, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
