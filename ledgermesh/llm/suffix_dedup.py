@@ -26,8 +26,10 @@ LENGTH, GRAM = 100, 32
 WINDOW = LENGTH - GRAM + 1
 #: Bytes around an anchor: all strings of LENGTH bytes that hold it.
 SPAN = LENGTH + WINDOW - 1
-SEGMENT_BYTES = 2 << 20
-SHARD_BYTES = 1 << 20
+SEGMENT_BYTES = 1 << 19
+SHARD_BYTES = 1 << 19
+#: Different surroundings of one anchor beyond which its strings are not gathered in a task but grouped by hash.
+HOT_SURROUNDINGS = 20_000
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)
 
 
@@ -404,6 +406,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Surroundings sorted by key -> removed intervals, a few shards at a time."""
     import numpy as np
 
+    release_memory()
     held: list[pa.RecordBatch] = []
     size = 0
 
@@ -426,7 +429,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if batch.num_rows:
             held.append(batch)
             size += batch.nbytes
-            if size >= 4 * SHARD_BYTES and (found := flush(False)):
+            if size >= 8 * SHARD_BYTES and (found := flush(False)):
                 yield rows(found)
     if held and (found := flush(True)):
         yield rows(found)
@@ -463,6 +466,33 @@ def numbered(docs: DataFrame) -> DataFrame:
     return materialize(rows.orderBy("doc_id", "text").withColumn("rid", F.monotonically_increasing_id()), "numbered")
 
 
+def _around(texts: DataFrame, firsts: DataFrame) -> DataFrame:
+    """``(key, rid, start, bytes)``: the surroundings of anchors, cut from their texts."""
+    by_row = firsts.groupBy("rid").agg(F.collect_list(F.struct("place", "key")).alias("found"))
+    return map_arrow(texts.join(by_row, "rid"), _surroundings, "key long, rid long, start long, bytes binary")
+
+
+def _strings(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """A row for each string of LENGTH bytes: 128 bits of its hash, and where it starts."""
+    import xxhash
+
+    rows = []
+    for rid, start, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+        rows += [(xxhash.xxh3_128_digest(text[i : i + LENGTH]), rid, start + i) for i in range(len(text) - LENGTH + 1)]
+    return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.binary(), pa.int64(), pa.int64()))], names=["hash", "rid", "a"])
+
+
+def _repeats_by_hash(around: DataFrame) -> DataFrame:
+    """``(rid, a, b)`` of strings that stood earlier, for anchors too frequent to meet in one task.
+
+    First places combine map-side, and the join back to them is split where one string is hot.
+    """
+    strings = materialize(map_arrow(around, _strings, "hash binary, rid long, a long"), "strings")
+    first = strings.groupBy("hash").agg(F.min(F.struct("rid", "a")).alias("first"))
+    later = strings.join(first, "hash").where(F.struct("rid", "a") != F.col("first"))
+    return later.select("rid", "a", (F.col("a") + LENGTH).alias("b"))
+
+
 def removed_spans(rows: DataFrame) -> DataFrame:
     """``rows(rid, text)`` -> ``(rid, spans array<struct<a, b>>)`` of bytes to remove, for rows that have any; spans may overlap."""
     text_batches(rows.sparkSession)
@@ -470,12 +500,17 @@ def removed_spans(rows: DataFrame) -> DataFrame:
     anchors = map_arrow(texts.where(F.octet_length("text") >= LENGTH), _anchors, ANCHORS)
     sorted_ = anchors.repartition("key").sortWithinPartitions("key", "ctx", "rid", "place")
     marks = materialize(sorted_.mapInArrow(_marks, MARKS), "marks")
-    firsts = marks.where("NOT whole").groupBy("rid").agg(F.collect_list(F.struct("place", "key")).alias("found"))
-    around = map_arrow(texts.join(firsts, "rid"), _surroundings, "key long, rid long, start long, bytes binary")
-    compared = around.repartition("key").sortWithinPartitions("key", "rid", "start").mapInArrow(_compare, "rid long, a long, b long")
+    firsts = marks.where("NOT whole").select("rid", "place", "key")
+    hot = materialize(firsts.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_SURROUNDINGS).select("key"), "hot")
+    by_hash = None
+    if not hot.isEmpty():
+        by_hash = _repeats_by_hash(_around(texts, firsts.join(hot, "key", "left_semi")))
+        firsts = firsts.join(hot, "key", "left_anti")
+    compared = _around(texts, firsts).repartition("key").sortWithinPartitions("key", "rid", "start").mapInArrow(_compare, "rid long, a long, b long")
     start = F.shiftright("place", 8)
     whole = marks.where("whole").select("rid", start.alias("a"), (start + F.col("place").bitwiseAND(255)).alias("b"))
-    spans = compared.unionByName(whole).groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans"))
+    found = compared.unionByName(whole) if by_hash is None else compared.unionByName(whole).unionByName(by_hash)
+    spans = found.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans"))
     return materialize(spans, "spans")
 
 

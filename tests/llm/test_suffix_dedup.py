@@ -47,9 +47,8 @@ def corpus(seed, n=70):
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_matches_brute_force(spark, seed, monkeypatch):
     docs = corpus(seed)
-    if seed == 3:  # tiny segments and shards
-        monkeypatch.setattr(sd, "SEGMENT_BYTES", 700)
-        monkeypatch.setattr(sd, "SHARD_BYTES", 900)
+    if seed == 3:  # frequent anchors take the way by hashes
+        monkeypatch.setattr(sd, "HOT_SURROUNDINGS", 3)
     df = spark.createDataFrame(docs[::-1], "doc_id long, text string").repartition(3).withColumn("spans", F.lit(1)).withColumn("rid", F.lit("x"))
     assert sorted(tuple(r) for r in sd.removal_digests(df).collect()) == brute(docs)
 
