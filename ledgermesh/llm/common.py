@@ -1,63 +1,44 @@
-"""Shared helpers: table access, durable intermediate tables, Arrow batch handling."""
+"""Shared helpers: table access, Arrow batch handling, memory of workers."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in one Arrow batch of whole texts; keeps a batch of long documents within a worker's memory.
-TEXT_BATCH_ROWS = 1000
-TEXT_BATCH_BYTES = 8 << 20
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+from ..sources.staging import materialize, shared_dir
 
+__all__ = ["map_arrow", "materialize", "release_memory", "shared_dir", "table", "text_batches", "utf8_buffers", "worker_cache"]
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a temporary one only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="ledgermesh-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
+#: Bytes in one Arrow batch; keeps a batch of long documents within a worker's memory.
+TEXT_BATCH_BYTES = 4 << 20
+#: What drops the caches that workers keep for an operator.
+_CACHES: list[Callable[[], None]] = []
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
 
-    Cuts the lineage durably: a lost executor costs only the tasks in flight, and sampling-dependent or
-    expensive steps run once. Columnar files are several times smaller than ``checkpoint()`` blocks.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")  # the table replaces this job's shuffle files, so they can go at once
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session for columns that hold whole documents."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > TEXT_BATCH_ROWS or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, str(TEXT_BATCH_ROWS))
+    """Bound the Arrow batches of this session by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TEXT_BATCH_BYTES))
 
 
-def release_memory() -> None:
+def worker_cache(drop: Callable[[], None]) -> None:
+    """Registers how to drop a cache that outlives a task, so that other operators do not carry it along."""
+    _CACHES.append(drop)
+
+
+def release_memory(keep_caches: bool = False) -> None:
     """Gives freed memory of this worker back to the system; workers wait for further tasks with what they hold."""
     import ctypes
     import gc
 
+    if not keep_caches:
+        for drop in _CACHES:
+            drop()
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
@@ -66,16 +47,17 @@ def release_memory() -> None:
         pass  # another C library
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, keep_caches: bool = False) -> DataFrame:
     """``mapInArrow`` with a function of one batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory(keep_caches)
         for batch in batches:
             if batch.num_rows:
                 out = fn(batch)
                 if out is not None and out.num_rows:
                     yield out
-        release_memory()
+        release_memory(keep_caches)
 
     return df.mapInArrow(run, schema)
 

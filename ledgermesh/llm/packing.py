@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, text_batches
+from .common import map_arrow, text_batches, worker_cache
 
 TOKENIZER = "word_bpe_49k.json"
 SEQUENCE = 2048
@@ -30,7 +30,7 @@ END_ID = 1
 GROUP_DOCS = 2048
 #: Words of a generation whose ids a worker keeps; when full, the generation before it goes and the words
 #: still met move on.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 #: Characters below this take the fast path; others are left to the tokenizer as a whole.
 _SIMPLE = "ɐ"
 
@@ -52,6 +52,7 @@ class WordIds:
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        self.stops = {c: self.whole(c) for c in ".,"}
         self.odd = regex.compile("[\x1c-\x1f]").search
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in printable]
@@ -67,8 +68,11 @@ class WordIds:
             word = "".join(map(str.lower, unicodedata.normalize("NFC", word)))
         else:
             word = word.lower()
+        if word[-1] in ".," and word[:-1].isalpha():  # the usual case: a word and a stop
+            stem = word[:-1]
+            return (self.words.get(stem) or self.older.get(stem) or self.word(stem)) + self.stops[word[-1]]
         ids = []
-        for part in self.split(word):
+        for part in (word,) if word.isalpha() else self.split(word):
             part = part if part.isascii() and part.isprintable() else "".join(map(self.shown.__getitem__, part.encode()))
             ids += [t.id for t in self.model.tokenize(part)]
         return _pack(ids)
@@ -101,6 +105,9 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+worker_cache(lambda: word_ids.cache_clear())
+
+
 def token_ids(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, ids binary)``: unsigned ids with the end id, 16 bits each if all fit, else 32.
 
@@ -115,7 +122,7 @@ def token_ids(docs: DataFrame, path: str | None = None) -> DataFrame:
         ids = [_narrow(coder.ids(t or "") + end) for t in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, ids binary")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, ids binary", keep_caches=True)
 
 
 def _narrow(ids: bytes) -> bytes:
