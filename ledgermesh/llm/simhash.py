@@ -186,6 +186,9 @@ FIRST_WORD_BITS = 20
 #: Rows of a run that are compared all with all. In longer ones the pairs are those of a minimum spanning tree
 #: by distance, which joins what any threshold of that distance would join, and each row's nearest few.
 RUN_ALL, NEAREST = 8, 2
+#: 64-bit words of a wide fingerprint at least: with 512 bits, pairs below a similarity of about 0.68 never reach
+#: the comparison of texts.
+WIDE_WORDS = 8
 
 
 def slices(n_docs: int, similarity: float, recall: float = 0.99) -> tuple[int, int]:
@@ -381,7 +384,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, shingle_words: int, similarity:
     return map_arrow(both, run, "a long, b long")
 
 
-def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, recall: float = 0.999) -> DataFrame:
+def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, recall: float = 0.99) -> DataFrame:
     """``docs(doc_id, text)`` with unique ids -> ``(doc_id, component_id)`` for documents in groups of near copies.
 
     Links are pairs whose sets of word shingles have that Jaccard similarity, found by ball hashing on
@@ -393,7 +396,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle_words: int
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
     n = rows.count()
     bits, count = slices(n, similarity, recall)
-    words = -(-bits * count // 64)
+    words = max(WIDE_WORDS, -(-bits * count // 64))
     fps = materialize(wide_fingerprints(rows, words, shingle_words), "wide")
     same = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("id"), F.min("n").alias("n")), "wide-distinct")
     # emission multiplies rows: deal them out by number, not by their few bytes
