@@ -184,8 +184,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, radius: int = RADIU
 #: above what a pair of similarity 0.8 differs in; unrelated pairs differ in 32 on average).
 FIRST_WORD_BITS = 20
 #: Rows of a run that are compared all with all. In longer ones the pairs are those of a minimum spanning tree
-#: by distance, which joins what any threshold of that distance would join, and each row's nearest few.
+#: by distance, which joins what any threshold of that distance would join, and each row's nearest few; rows with
+#: further pairs are noted, and those pairs follow once it is known which components are still apart.
 RUN_ALL, NEAREST = 8, 2
+#: Partners of a row, nearest first, up to which each later round compares it; the last one compares all that are left.
+ROUNDS = (16, 256, None)
 #: 64-bit words of a wide fingerprint at least: with 512 bits, pairs below a similarity of about 0.68 never reach
 #: the comparison of texts.
 WIDE_WORDS = 8
@@ -306,8 +309,11 @@ def spanning_tree(word):
     return a, b
 
 
-def _run_pairs(key, ids, word):
-    """Pairs (smaller id, larger id) of near first words within runs of equal keys."""
+def _run_pairs(key, ids, word, skipped=None):
+    """Pairs (smaller id, larger id) of near first words within runs of equal keys.
+
+    To the list ``skipped`` go (keys, ids) of rows that have further pairs of near first words.
+    """
     import numpy as np
 
     edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
@@ -326,16 +332,24 @@ def _run_pairs(key, ids, word):
     for s, n in zip(starts[length > RUN_ALL].tolist(), length[length > RUN_ALL].tolist(), strict=True):
         own = np.arange(s, s + n)
         a, b = spanning_tree(word[own])
-        keep(s + a, s + b)
+        x, y, within = [a], [b], np.zeros(n, np.int64)
         for i in range(0, n, 512):
-            x = own[i : i + 512]
-            near = np.argpartition(np.bitwise_count(word[x][:, None] ^ word[own][None, :]), NEAREST, axis=1)[:, : NEAREST + 1]
-            keep(np.repeat(x, NEAREST + 1), s + near.ravel())
+            d = np.bitwise_count(word[own[i : i + 512]][:, None] ^ word[own][None, :])
+            within[i : i + 512] = (d <= FIRST_WORD_BITS).sum(axis=1) - 1
+            x.append(np.repeat(np.arange(i, i + len(d)), NEAREST + 1))
+            y.append(np.argpartition(d, NEAREST, axis=1)[:, : NEAREST + 1].ravel())
+        x, y = np.concatenate(x), np.concatenate(y)
+        keep(s + x, s + y)
+        if skipped is not None and within.any():
+            ok = (x != y) & (np.bitwise_count(word[s + x] ^ word[s + y]) <= FIRST_WORD_BITS)
+            low, high = np.divmod(np.unique((np.minimum(x, y) * n + np.maximum(x, y))[ok]), n)
+            more = own[within > np.bincount(low, minlength=n) + np.bincount(high, minlength=n)]
+            skipped.append((key[more], ids[more]))
     return _distinct_pairs(pairs)
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, id, word) sorted by key -> pairs (a, b), whole runs at a time."""
+    """Rows (key, id, word) sorted by key -> pairs (a, b), whole runs at a time; (key, id, true) of rows with further pairs."""
     import numpy as np
 
     release_memory()
@@ -346,9 +360,10 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k, i, w = (np.concatenate(x) for x in zip(*held, strict=True))
         end = len(k) if final else int(np.searchsorted(k, k[-1]))
         held, size = [(k[end:], i[end:], w[end:])], 0
-        pairs = _run_pairs(k[:end], i[:end], w[:end].view(np.uint64)) if end else None
-        if pairs is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+        more = []
+        pairs = _run_pairs(k[:end], i[:end], w[:end].view(np.uint64), more) if end else None
+        for (a, b), skipped in [(x, True) for x in more] + ([(pairs, False)] if pairs is not None else []):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), skipped))], names=["a", "b", "skipped"])
 
     for batch in batches:
         if batch.num_rows:
@@ -361,6 +376,91 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release_memory()
 
 
+def _apart(low: int, high: int | None, limit: int, similarity: float):
+    """Rows (key, id, component, n, fp) sorted by key -> pairs (a, b) of a run in different components.
+
+    Of each row's partners in its run, in order of the whole fingerprints' distance, those from ``low`` up to
+    ``high``. A row (id, id) says that partners in other components follow.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        release_memory()
+        held, size = [], 0
+
+        def of_run(ids, comp, n, fps):
+            for i in range(0, len(ids), 256):
+                mine = slice(i, i + 256)
+                d = np.zeros((len(ids[mine]), len(ids)), np.int16)
+                for w in range(fps.shape[1]):
+                    d += np.bitwise_count(fps[mine, w][:, None] ^ fps[:, w][None, :])
+                fits = np.minimum(n[mine][:, None], n[None, :]) >= similarity * np.maximum(n[mine][:, None], n[None, :])
+                x, y = np.nonzero((d <= limit) & fits & (ids[mine][:, None] != ids[None, :]))
+                order = np.lexsort((ids[y], d[x, y], x))
+                x, y = x[order], y[order]
+                rank = np.arange(len(x)) - np.searchsorted(x, x)
+                x += i
+                other = comp[x] != comp[y]
+                late = other & (rank >= high) if high else np.zeros(len(x), bool)
+                now = other & (rank >= low) & ~late
+                a, b = np.minimum(ids[x], ids[y])[now], np.maximum(ids[x], ids[y])[now]
+                if late.any():
+                    a, b = np.append(a, ids[x[late][0]]), np.append(b, ids[x[late][0]])
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        def flush(final: bool):
+            nonlocal held, size
+            key, ids, comp, n, fps = (np.concatenate(x) for x in zip(*held, strict=True))
+            end = len(key) if final else int(np.searchsorted(key, key[-1]))
+            held, size = [tuple(x[end:] for x in (key, ids, comp, n, fps))], 0
+            edge = np.flatnonzero(np.concatenate(([True], key[1:end] != key[: end - 1], [True]))) if end else []
+            for s, e in zip(edge[:-1], edge[1:], strict=True):
+                yield from of_run(ids[s:e], comp[s:e], n[s:e], fps[s:e])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append((*(batch.column(i).to_numpy() for i in range(4)), batch.column(4).flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)))
+                size += batch.num_rows
+                if size >= 50_000:
+                    yield from flush(False)
+        if held:
+            yield from flush(True)
+        release_memory()
+
+    return run
+
+
+def _with_skipped(links: DataFrame, skipped: DataFrame, tested: DataFrame, wide: DataFrame, rows: DataFrame, shingle_words: int, similarity: float, limit: int) -> DataFrame:
+    """``links(a, b)`` and those among the skipped pairs of long runs that join further components.
+
+    ``skipped(key, id)`` has the rows of such pairs, ``tested(a, b)`` the pairs whose texts were compared or
+    joined already. Each round compares the nearest partners that are still in different components, and
+    the last one all of them, so no pair that met under a key is left out.
+    """
+    low = 0
+    for high in ROUNDS:
+        if skipped.isEmpty():
+            break
+        comp = connected_components(links).select(F.col("node").alias("id"), "component")
+        placed = materialize(skipped.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id")), "skipped")
+        open_ = placed.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p < q").select("key")
+        placed = materialize(placed.join(open_, "key", "left_semi").select("key", "id", "component"), "skipped-open")
+        skipped = placed.select("key", "id")
+        if placed.isEmpty():
+            break
+        runs = placed.join(wide, "id").select("key", "id", "component", "n", "fp").repartition("key").sortWithinPartitions("key")
+        found = materialize(runs.mapInArrow(_apart(low, high, limit, similarity), "a long, b long").distinct(), "apart")
+        pairs = materialize(found.where("a <> b").join(tested, ["a", "b"], "left_anti"), "apart-new")
+        links = materialize(links.unionByName(_verified(pairs, rows, shingle_words, similarity)), "links")
+        if found.where("a = b").isEmpty():
+            break
+        tested = tested.unionByName(pairs)
+        low = high
+    return links
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
     """The pairs ``(a, b)`` whose shingle sets have that Jaccard similarity; texts travel by document."""
     texts = docs.select("doc_id", "text")
@@ -389,8 +489,9 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle_words: int
 
     Links are pairs whose sets of word shingles have that Jaccard similarity, found by ball hashing on
     slices of a wide SimHash and verified on the texts; a group's id is its smallest doc_id. Each document
-    is first compared with its nearest candidate, then with those that this has not joined to it, so large
-    families cost comparisons in proportion to their members. Equal wide fingerprints (all
+    is first compared with its nearest candidate, then with those that this has not joined to it, at last with
+    all it meets in long runs and is still apart from. Families that join cost comparisons in proportion to
+    their members; only documents close to many, but similar to none, are compared with each. Equal wide fingerprints (all
     blank texts, for one) count as copies. Documents in no group and null ids are absent.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
@@ -402,8 +503,9 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle_words: int
     # emission multiplies rows: deal them out by number, not by their few bytes
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // 20_000)
     keys = same.select("id", "fp").repartition(parts, "id").mapInArrow(_slice_variants(bits, count), "key long, id long, word long")
-    met = keys.repartition("key").sortWithinPartitions("key").mapInArrow(_candidates, "a long, b long").distinct()
-    pairs = materialize(_within(met, same, _most_bits(words * 64, similarity), similarity), "near")
+    met = materialize(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_candidates, "a long, b long, skipped boolean").distinct(), "met")
+    limit = _most_bits(words * 64, similarity)
+    pairs = materialize(_within(met.where("NOT skipped").select("a", "b"), same, limit, similarity), "near")
     nearest = pairs.groupBy("b").agg(F.min(F.struct("d", "a")).alias("m")).select("m.a", "b")
     first = materialize(_verified(nearest, rows, shingle_words, similarity), "links")
     joined = materialize(connected_components(first), "groups")
@@ -412,7 +514,9 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle_words: int
     rest = pairs.join(nearest, ["a", "b"], "left_anti").join(ca, "a", "left").join(cb, "b", "left")
     rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     copies = fps.join(same.select("fp", "id"), "fp").where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
-    found = first.unionByName(_verified(rest, rows, shingle_words, similarity)).unionByName(copies)
+    near = materialize(first.unionByName(_verified(rest, rows, shingle_words, similarity)), "links")
+    skipped = met.where("skipped").select(F.col("a").alias("key"), F.col("b").alias("id"))
+    found = _with_skipped(near, skipped, pairs.select("a", "b"), same, rows, shingle_words, similarity, limit).unionByName(copies)
     return connected_components(found).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
 
 

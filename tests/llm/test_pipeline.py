@@ -2,6 +2,7 @@ import random
 
 import corpus_pipeline as cp
 from ledgermesh.llm import simhash
+from ledgermesh.llm.components import spanning_stars
 from pyspark.sql import functions as F
 
 
@@ -114,3 +115,39 @@ def test_runs_keep_all_groups_of_the_distance():
         assert groups(got, most) == groups(close, most)
     few = simhash._run_pairs(key[:5] * 0, ids[:5], word[:5] * np.uint64(0))
     assert len(few[0]) == 10
+
+
+def test_large_family_around_the_threshold_matches_brute_force(spark):
+    import numpy as np
+
+    r = random.Random(7)
+    words = [f"w{i}" for i in range(304)]
+    docs = []
+    for i in range(1000):
+        own = [f"o{i}x{k}" for k in range(r.randint(20, 45))]
+        a, n = r.randint(0, 60), r.randint(220, 244)
+        docs.append((i, " ".join([*words[a : a + n], *own])))
+    hashes = [simhash.shingle_hashes(t.encode(), 5) for _, t in docs]
+    at = {h: k for k, h in enumerate(sorted(set(np.concatenate(hashes).tolist())))}
+    has = np.zeros((len(docs), len(at)), np.float32)
+    for i, h in enumerate(hashes):
+        has[i, [at[x] for x in h.tolist()]] = 1
+    both, size = has @ has.T, has.sum(1)
+    a, b = np.nonzero(np.triu(both >= 0.8 * (size[:, None] + size[None, :] - both), 1))
+    root, member = spanning_stars(a, b)
+    want = dict(zip(member.tolist(), root.tolist(), strict=True))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in simhash.similar_groups(df).collect()}
+    wrong = [i for i, _ in docs if got.get(i, i) != want.get(i, i)]
+    assert len(want) > 500 and len(wrong) <= 10  # a pair just at 0.8 may never meet under a key
+
+
+def test_runs_tell_which_rows_have_further_pairs():
+    import numpy as np
+
+    word = np.array([0] * 12 + [(1 << 63) - 1] * 2, np.uint64) ^ np.arange(14, dtype=np.uint64)
+    skipped = []
+    pairs = simhash._run_pairs(np.zeros(14, np.int64), np.arange(14), word, skipped)
+    given = set(zip(*pairs.tolist(), strict=True))
+    missing = {i for i in range(12) for j in range(12) if i != j and (min(i, j), max(i, j)) not in given}
+    assert missing and {int(i) for _, ids in skipped for i in ids} == missing
