@@ -20,16 +20,24 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near copies (five-word shingles, similarity 0.8)."""
-    groups = simhash.similar_groups(docs.select("doc_id", "text"))
-    gone = groups.where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One document, that of the smallest id, of each group of near copies (five-word shingles, similarity 0.8).
+
+    Rows that repeat a doc_id, or have none (these come first), are documents of their own: of rows that
+    repeat each other one is left, and rows that share only the doc_id stay.
+    """
+    rows = suffix_dedup.numbered(docs)
+    groups = simhash.similar_groups(rows.select(F.col("rid").alias("doc_id"), "text"))
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("rid"))
+    return rows.join(gone, "rid", "left_anti").select(docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, passages of 100 bytes or more that stood earlier cut from their texts."""
-    cut = suffix_dedup.without_repeats(docs.select("doc_id", "text"))
-    out = docs.drop("text", "n_chars").join(cut, "doc_id")
+    """All documents, passages of 100 bytes or more that stood earlier cut from their texts.
+
+    A row for each input row: of rows that repeat a text the first keeps it, whether they share a doc_id or
+    have none.
+    """
+    out = suffix_dedup.without_repeats(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 

@@ -454,16 +454,18 @@ def _surroundings(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text)`` -> with ``rid``, a unique number that orders the rows as doc_id does.
+    """``docs(doc_id, text, ...)`` -> all its columns and ``rid``, a unique number that orders the rows as doc_id does.
 
     It is doc_id itself where that is unique and never null. Otherwise rows are sorted by doc_id (nulls
-    first) and text and numbered: a row that repeats another is then a document of its own, after it.
+    first), text and the other columns and numbered: a row that repeats another is then a document of its
+    own, after it.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
     doubtful = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL")
     if doubtful.isEmpty():
         return rows.withColumn("rid", F.col("doc_id"))
-    return materialize(rows.orderBy("doc_id", "text").withColumn("rid", F.monotonically_increasing_id()), "numbered")
+    others = [c for c in rows.columns if c not in ("doc_id", "text")]
+    return materialize(rows.orderBy("doc_id", "text", *others).withColumn("rid", F.monotonically_increasing_id()), "numbered")
 
 
 def _around(texts: DataFrame, firsts: DataFrame) -> DataFrame:
@@ -537,7 +539,7 @@ def kept(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def removal_digests(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)``, a row for each input row."""
-    rows = numbered(docs)
+    rows = numbered(docs.select("doc_id", "text")).fillna("", "text")
     spans = removed_spans(rows)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -566,16 +568,23 @@ def inner(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text)`` with unique, non-null doc_id -> the same columns, repeated passages cut from the texts."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    spans = removed_spans(rows.select(F.col("doc_id").alias("rid"), "text"))
+    """``docs(doc_id, text, ...)`` -> the same columns, repeated passages cut from the texts, a row for each input row.
+
+    Rows that repeat a doc_id, or have none, are documents of their own in the order of ``numbered``: the
+    first keeps its text, later ones lose what they repeat. Null texts become empty.
+    """
+    rows = numbered(docs).fillna("", "text")
+    spans = removed_spans(rows)
+    at = docs.columns.index("text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        for text, found in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
             raw = text.encode()
             out.append(kept(raw, inner(raw, join_spans(found))).decode())
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "text"])
+        columns = batch.columns[:-1]
+        columns[at] = pa.array(out, pa.string())
+        return pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    joined = rows.join(spans, F.col("rid") == F.col("doc_id"), "left").select("doc_id", "text", "spans")
-    return map_arrow(joined, run, "doc_id long, text string")
+    joined = rows.join(spans, "rid", "left").select(*docs.columns, "spans")
+    return map_arrow(joined, run, rows.select(docs.columns).schema)

@@ -151,3 +151,17 @@ def test_runs_tell_which_rows_have_further_pairs():
     given = set(zip(*pairs.tolist(), strict=True))
     missing = {i for i in range(12) for j in range(12) if i != j and (min(i, j), max(i, j)) not in given}
     assert missing and {int(i) for _, ids in skipped for i in ids} == missing
+
+
+def test_repeated_rows_and_null_ids(spark):
+    r = random.Random(5)
+    text = lambda: " ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(40))
+    a, b, c, d = (text() for _ in range(4))
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, a, "en", "s", 0), (1, a, "en", "s", 0), (1, b, None, "s", 0), (None, c, "en", None, 0), (None, c, "en", None, 0), (2, c, "en", "s", 0), (3, None, None, None, None), (None, "short", "en", "s", 0), (4, d, "en", "s", 0)]
+    df = spark.createDataFrame(rows, columns)
+    key = lambda x: str(tuple(x))
+    near = [tuple(x) for x in cp.near_copies(spark, df, "").collect()]
+    assert sorted(near, key=key) == sorted([rows[i] for i in (0, 2, 3, 6, 7, 8)], key=key)
+    cut = [tuple(x)[:2] for x in cp.repeated_passages(spark, df, "").collect()]
+    assert sorted(cut, key=key) == sorted([(1, a), (1, ""), (1, b), (None, c), (None, ""), (2, ""), (3, ""), (None, "short"), (4, d)], key=key)
