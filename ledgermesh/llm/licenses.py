@@ -17,19 +17,66 @@ from .common import materialize
 
 #: Short texts that name or grant a licence.
 TEMPLATES = {
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "AGPL-3.0 (short)": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "AGPL-3.0 (name)": "Licensed under the AGPL 3.0 license.",
+    "AGPL-3.0 (spdx)": "SPDX-License-Identifier: AGPL-3.0",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
     "Apache-2.0 (short)": "Licensed under the Apache License, Version 2.0.",
+    "Apache-2.0 (spdx)": "SPDX-License-Identifier: Apache-2.0",
+    "BSD-2-Clause": "BSD 2-Clause License",
+    "BSD-2-Clause (short)": "Licensed under the BSD 2-Clause License.",
+    "BSD-2-Clause (spdx)": "SPDX-License-Identifier: BSD-2-Clause",
+    "BSD-3-Clause (name)": "BSD 3-Clause License",
+    "BSD-3-Clause (short)": "Licensed under the BSD 3-Clause License.",
+    "BSD-3-Clause (spdx)": "SPDX-License-Identifier: BSD-3-Clause",
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
+    "CC-BY-4.0": "Licensed under CC BY 4.0.",
+    "CC-BY-4.0 (long)": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-4.0 (spdx)": "SPDX-License-Identifier: CC-BY-4.0",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-NC-4.0 (long)": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-NC-4.0 (spdx)": "SPDX-License-Identifier: CC-BY-NC-4.0",
+    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-SA-4.0 (long)": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-SA-4.0 (spdx)": "SPDX-License-Identifier: CC-BY-SA-4.0",
+    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "CC0-1.0 (short)": "Licensed under CC0 1.0 Universal.",
+    "CC0-1.0 (spdx)": "SPDX-License-Identifier: CC0-1.0",
+    "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "GPL-2.0 (short)": "This work is licensed under the GNU General Public License, version 2.",
+    "GPL-2.0 (name)": "Licensed under the GPL 2.0 license.",
+    "GPL-2.0 (spdx)": "SPDX-License-Identifier: GPL-2.0",
     "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "GPL-3.0 (short)": "This work is licensed under the GNU General Public License, version 3.",
+    "GPL-3.0 (name)": "Licensed under the GPL 3.0 license.",
+    "GPL-3.0 (spdx)": "SPDX-License-Identifier: GPL-3.0",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "ISC (short)": "Licensed under the ISC License.",
+    "ISC (spdx)": "SPDX-License-Identifier: ISC",
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-2.1 (program)": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-2.1 (short)": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-2.1 (name)": "Licensed under the LGPL 2.1 license.",
+    "LGPL-2.1 (spdx)": "SPDX-License-Identifier: LGPL-2.1",
+    "LGPL-3.0": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "LGPL-3.0 (program)": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "LGPL-3.0 (short)": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "LGPL-3.0 (name)": "Licensed under the LGPL 3.0 license.",
+    "LGPL-3.0 (spdx)": "SPDX-License-Identifier: LGPL-3.0",
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
     "MIT (short)": "Released under the MIT License.",
+    "MIT (spdx)": "SPDX-License-Identifier: MIT",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "MPL-2.0 (short)": "Licensed under the Mozilla Public License, Version 2.0.",
+    "MPL-2.0 (spdx)": "SPDX-License-Identifier: MPL-2.0",
     "Proprietary": "All rights reserved.",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "Unlicense (short)": "Released under the Unlicense.",
+    "Unlicense (spdx)": "SPDX-License-Identifier: Unlicense",
 }
 #: Words one of which every line that is looked at must hold.
-MARKERS = ("licens", "licenc", "copyright", "rights reserved", "spdx", "permission is hereby", "redistribution")
+MARKERS = ("licens", "licenc", "copyright", "rights reserved", "spdx", "permission is hereby", "permission to use", "redistribution", "public domain")
 THRESHOLD = 0.6
 #: Base names of licence files, lower case, up to the first dot or dash.
 LICENSE_FILES = ("license", "licence", "copying", "notice")

@@ -17,3 +17,21 @@ def test_headers_files_and_inheritance(spark):
             ("a/dup.py", None, "MIT", "dir:a"), ("a/dup.py", None, "MIT", "dir:a"), (None, None, None, None), (None, None, None, None),
         ], key=str)
     assert li.scan(df.limit(0)).collect() == []
+
+
+def test_neighbouring_licences_are_told_apart(spark):
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    rows = [
+        ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."), ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("CC0-1.0", "// Licensed under CC0 1.0."),
+        ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."), ("CC-BY-4.0", "# This work is licensed under a Creative Commons Attribution 4.0 International License."),
+        ("GPL-2.0", gpl.format("General", "2")), ("GPL-3.0", gpl.format("General", "3")), ("LGPL-2.1", gpl.format("Lesser General", "2.1")), ("LGPL-3.0", gpl.format("Lesser General", "3")), ("AGPL-3.0", gpl.format("Affero General", "3")),
+        ("MPL-2.0", "Licensed under the Mozilla Public License, Version 2.0."), ("Apache-2.0", "Licensed under the Apache License, Version 2.0."), ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"), ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+        ("ISC", "Released under the ISC License."), ("MIT", "Released under the MIT License."), ("BSD-2-Clause", "Released under the BSD 2-Clause License."), ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
+        ("Unlicense", "This is free and unencumbered software released into the public domain."), ("ISC", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted."),
+    ]
+    df = spark.createDataFrame([(f"d{i}/x.py", t) for i, (_, t) in enumerate(rows)], "path string, text string")
+    got = {r.path: (r.own_license, r.own_score) for r in li.scan(df).collect()}
+    wrong = [(want, got[f"d{i}/x.py"], text[:60]) for i, (want, text) in enumerate(rows) if got[f"d{i}/x.py"][0] != want]
+    assert wrong == []
+    alone = [got for _, t in rows[:4] for got in [li.scan(spark.createDataFrame([("x", t)], "path string, text string")).first().own_license]]
+    assert alone == [want for want, _ in rows[:4]]
