@@ -4,12 +4,14 @@ A text is cut into chunks that overlap, each chunk is pre-tokenised on its own,
 stitched where their pre-token boundaries resynchronise: from the first boundary on which both agree
 inside the overlap, the left chunk's pre-tokens stop and the right chunk's take over. A pattern match
 depends only on where it starts and on the characters that follow, so two scans that share a boundary
-agree from there on, save for matches that touch the end of the left chunk; those are not trusted. The
-pieces between stitches are then encoded in parallel, and decoding concatenates the tokens' raw bytes.
-
-Texts of one chunk need no stitching and never leave their task. Chunks of longer ones are rows of their
-own, dealt out evenly, so scanning and encoding a huge document are spread over many tasks; one task at a
-time holds no more than one document, as any row does.
+agree from there on, save for matches that touch the end of the left chunk; those are not trusted. Where
+two chunks share no boundary, the left scan goes on through the right chunk until it meets one that a
+later chunk has, too. The pieces between stitches are then encoded apart, and decoding concatenates the
+tokens' raw bytes.
+
+Every text goes this way. Chunks of texts of up to ``SPREAD_CHARS`` stay in their task; those of longer
+ones are rows of their own, dealt out evenly, so scanning and encoding a huge document are spread over
+many tasks, and one task at a time holds no more than one document, as any row does.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import public_tokenizers
 import pyarrow as pa
@@ -27,8 +29,9 @@ from pyspark.sql import functions as F
 from .common import map_arrow, text_batches
 
 RANKS = "byte_bpe_50k.tiktoken"
-CHUNK_CHARS = 1 << 16
-OVERLAP_CHARS = 1 << 10
+CHUNK_CHARS, OVERLAP_CHARS = 1 << 10, 1 << 7
+#: Characters of a text up to which its chunks stay in one task, and of a chunk that is dealt to another.
+SPREAD_CHARS = 1 << 16
 
 
 @functools.lru_cache(maxsize=4)
@@ -73,80 +76,112 @@ def edges(text: str, start: int, pattern: str, overlap: int) -> tuple[list[int],
     return [start + e for e in fit if e <= overlap], [start + e for e in fit if len(text) - overlap < e <= limit]
 
 
-def stitch(heads: list[list[int]], tails: list[list[int]]) -> list[int | None]:
-    """Where each two neighbouring chunks resynchronise: the first boundary that both have.
+def stitch(heads: list[list[int]], tails: list[list[int]], rescan: Callable[[int, int], list[int]]) -> list[int]:
+    """Where neighbouring chunks resynchronise: the first boundary that both have.
 
-    Where two chunks share none (one pre-token fills the overlap), the right one is not known to be in
-    step, so neither are its later boundaries: from there on the text is one piece.
+    Where two chunks share none (one pre-token fills the overlap), the right one is not known to be in step.
+    ``rescan(a, k)``, the last boundaries of chunk k when scanned from the known boundary ``a``, then takes
+    the place of its own ones. It is asked after 1, 2, 4, ... such chunks, so all scans together stay linear.
     """
-    cuts: list[int | None] = []
-    for tail, head in zip(tails, heads[1:], strict=False):
-        known = set(tail)
-        cuts.append(next((e for e in head if e in known), None) if not cuts or cuts[-1] is not None else None)
+    cuts, at, lost = [], 0, 0
+    for k, head in enumerate(heads[1:]):
+        if not lost:
+            known = set(tails[k])
+        elif lost & (lost - 1) == 0:
+            known = set(rescan(at, k))
+        else:
+            known = set()
+        found = next((e for e in head if e in known), None)
+        lost = lost + 1 if found is None else 0
+        if found is not None:
+            cuts.append(found)
+            at = found
     return cuts
 
 
 def pretoken_pieces(text: str, pattern: str, size: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> list[tuple[int, int]]:
     """Spans of ``text`` that can be encoded apart: chunk scans stitched where they resynchronise."""
-    made = [edges(text[a:b], a, pattern, overlap) for a, b in chunks(len(text), size, overlap)]
-    at = [0, *(c for c in stitch([h for h, _ in made], [t for _, t in made]) if c is not None), len(text)]
+    spans = chunks(len(text), size, overlap)
+    if len(spans) == 1:
+        return [(0, len(text))] if text else []
+    made = [edges(text[a:b], a, pattern, overlap) for a, b in spans]
+    cuts = stitch([h for h, _ in made], [t for _, t in made], lambda a, k: edges(text[a : spans[k][1]], a, pattern, overlap)[1])
+    at = [0, *cuts, len(text)]
     return [(a, b) for a, b in zip(at, at[1:], strict=False) if b > a]
 
 
+def encode_text(text: str, enc, pattern: str, size: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> list[int]:
+    """Ids of a text, its pieces encoded one by one."""
+    ids: list[int] = []
+    for a, b in pretoken_pieces(text, pattern, size, overlap):
+        ids += enc.encode_ordinary(text[a:b])
+    return ids
+
+
 def digest(ids: list[int], decoded: bytes) -> tuple[int, str, str]:
     return len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, size: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, size: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS, spread: int = SPREAD_CHARS) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, ids array<int>)``, a row for each input row.
 
-    Null texts count as empty and have no ids; repeated rows and a null doc_id are kept.
+    Null texts count as empty and have no ids; repeated rows and a null doc_id are kept; other columns are
+    ignored; an empty table gives no rows. Texts may be of any length that a row holds.
     """
-    if size <= 2 * overlap:
+    if min(size, spread) <= 2 * overlap:
         raise ValueError("a chunk must be longer than two overlaps")
     path = path or public_tokenizers.path(RANKS)
     text_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    short = rows.where(F.length("text") <= size)
+    inside = rows.where(F.length("text") <= spread)
 
     def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
         enc = encoding(path, pattern)
-        ids = [enc.encode_ordinary(t) for t in batch.column(1).to_pylist()]
+        ids = [encode_text(t, enc, pattern, size, overlap) for t in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    direct = map_arrow(short, whole, "doc_id long, ids array<int>")
-    return direct.unionByName(_encode_long(rows.where(F.length("text") > size), path, pattern, size, overlap))
+    direct = map_arrow(inside, whole, "doc_id long, ids array<int>")
+    return direct.unionByName(_encode_spread(rows.where(F.length("text") > spread), path, pattern, size, overlap, spread))
 
 
-def _encode_long(rows: DataFrame, path: str, pattern: str, size: int, overlap: int) -> DataFrame:
+def _encode_spread(rows: DataFrame, path: str, pattern: str, size: int, overlap: int, spread: int) -> DataFrame:
     """Long texts: chunks scanned in parallel, stitched by document, then the pieces encoded in parallel."""
-    n = F.length("text")
-    step = size - overlap
-    spans = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((n - size) / step).cast("int"))), lambda i: i)
-    numbered = rows.groupBy("doc_id", "text").agg(F.count("*").alias("copies")).withColumn("row", F.xxhash64("text")).withColumn("i", F.explode(spans))
-    parts = numbered.select("doc_id", "row", "copies", n.alias("n"), "i", F.expr(f"substring(text, i * {step} + 1, {size})").alias("chunk")).repartition("doc_id", "row", "i")
+    step = spread - overlap
+    copies = rows.groupBy("doc_id", "text").agg(F.count("*").alias("copies"))
+    numbered = copies.select("doc_id", F.xxhash64("text").alias("row"), "copies", "text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, row, n, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for i, (a, b) in enumerate(chunks(len(text), spread, overlap)):
+                    keys = [pa.array([x], pa.int64()) for x in (doc_id, row, n, len(text), i)]
+                    yield pa.RecordBatch.from_arrays([*keys, pa.array([text[a:b]])], names=["doc_id", "row", "copies", "n", "i", "chunk"])
+
+    parts = numbered.mapInArrow(cut, "doc_id long, row long, copies long, n long, i long, chunk string").repartition("doc_id", "row", "i")
 
     def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
         made = [edges(text, i * step, pattern, overlap) for i, text in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
         heads, tails = ([m[j] for m in made] for j in (0, 1))
         return pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(heads, pa.list_(pa.int64())), pa.array(tails, pa.list_(pa.int64())), batch.column(5)], names=["doc_id", "row", "copies", "n", "i", "heads", "tails", "chunk"])
 
-    scanned = map_arrow(parts, scan, "doc_id long, row long, copies long, n int, i int, heads array<long>, tails array<long>, chunk string")
+    scanned = map_arrow(parts, scan, "doc_id long, row long, copies long, n long, i long, heads array<long>, tails array<long>, chunk string")
 
     def join(chunk_rows: pa.Table) -> pa.Table:
         """The pieces of one document: from each stitch to the next, taken from the chunks that cover them."""
         found = chunk_rows.sort_by("i")
         heads, tails, texts = (found.column(c).to_pylist() for c in ("heads", "tails", "chunk"))
-        cuts = [*(c for c in stitch(heads, tails) if c is not None), found.column("n")[0].as_py()]
-        pieces, held, at, k = [], "", 0, 0
-        for cut in cuts:
-            while at < cut:
-                while k * step + len(texts[k]) <= at:
-                    k += 1
-                stop = min(cut, k * step + len(texts[k]))
-                held, at = held + texts[k][at - k * step : stop - k * step], stop
-            pieces.append(held)
-            held = ""
+
+        def between(a: int, b: int) -> str:
+            k, out = a // step, []
+            while a < b:
+                stop = min(b, k * step + len(texts[k]))
+                out.append(texts[k][a - k * step : stop - k * step])
+                a, k = stop, k + 1
+            return "".join(out)
+
+        cuts = stitch(heads, tails, lambda a, k: edges(between(a, k * step + len(texts[k])), a, pattern, overlap)[1])
+        at = [0, *cuts, found.column("n")[0].as_py()]
+        pieces = [between(a, b) for a, b in zip(at, at[1:], strict=False)]
         keys = [pa.array([found.column(c)[0].as_py()] * len(pieces), pa.int64()) for c in ("doc_id", "row", "copies")]
         return pa.table([*keys, pa.array(range(len(pieces)), pa.int32()), pa.array(pieces)], names=["doc_id", "row", "copies", "k", "piece"])
 
@@ -154,7 +189,7 @@ def _encode_long(rows: DataFrame, path: str, pattern: str, size: int, overlap: i
 
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
         enc = encoding(path, pattern)
-        ids = [enc.encode_ordinary(t) for t in batch.column(4).to_pylist()]
+        ids = [encode_text(t, enc, pattern, size, overlap) for t in batch.column(4).to_pylist()]
         return pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "row", "copies", "k", "ids"])
 
     done = map_arrow(pieces, encode, "doc_id long, row long, copies long, k int, ids array<int>")

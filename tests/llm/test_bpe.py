@@ -29,7 +29,7 @@ def test_documents_round_trip(spark):
     rows = [(i, t) for i, t in enumerate(texts())]
     rows += [rows[-1], rows[-1], (None, "lost"), (3, "other " * 400)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("ids", F.lit(1)).withColumn("row", F.lit("x"))
-    coded = bpe.encode_documents(df, size=300, overlap=60)
+    coded = bpe.encode_documents(df, size=300, overlap=60, spread=700)
     got = sorted(((d, list(i or [])) for d, i in coded.collect()), key=str)
     assert got == sorted(((d, enc.encode_ordinary(t or "")) for d, t in rows), key=str)
     back = sorted(((d, bytes(b)) for d, b in bpe.decode(coded).collect()), key=str)
@@ -41,3 +41,23 @@ def test_documents_round_trip(spark):
 
 def test_empty_table(spark):
     assert bpe.digests(bpe.encode_documents(spark.createDataFrame([], "doc_id long, text string"))).collect() == []
+
+
+def test_chunks_resynchronise_after_a_long_run():
+    text = "words before " * 50 + "z" * 2000 + " and words after it" * 200
+    enc = bpe.encoding(P.path(bpe.RANKS), P.PATTERN)
+    pieces = bpe.pretoken_pieces(text, P.PATTERN, 300, 60)
+    assert sum(a > 2700 for a, _ in pieces) > 5 and max(b - a for a, b in pieces) < 5000
+    assert [i for a, b in pieces for i in enc.encode_ordinary(text[a:b])] == enc.encode_ordinary(text)
+
+
+def test_short_texts_are_stitched_by_the_defaults():
+    text = "Plain words, 12 of them, and more. " * 60
+    assert len(bpe.pretoken_pieces(text, P.PATTERN)) == len(bpe.chunks(len(text), bpe.CHUNK_CHARS, bpe.OVERLAP_CHARS)) > 1
+
+
+def test_very_long_text_over_many_tasks(spark):
+    enc = bpe.encoding(P.path(bpe.RANKS), P.PATTERN)
+    text = "some words, then others; " * 20_000 + "q" * 100_000 + " tail" * 9_000
+    got = bpe.encode_documents(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert list(got.ids) == enc.encode_ordinary(text)
