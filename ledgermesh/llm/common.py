@@ -6,10 +6,11 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.staging import materialize, shared_dir
 
-__all__ = ["map_arrow", "materialize", "release_memory", "shared_dir", "table", "text_batches", "utf8_buffers", "worker_cache"]
+__all__ = ["map_arrow", "materialize", "numbered", "release_memory", "shared_dir", "table", "text_batches", "utf8_buffers", "worker_cache"]
 
 #: Bytes in one Arrow batch; keeps a batch of long documents within a worker's memory.
 TEXT_BATCH_BYTES = 4 << 20
@@ -73,3 +74,18 @@ def utf8_buffers(column: pa.Array):
     data = column.buffers()[2]
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return raw[offsets[0] : offsets[-1]] if len(offsets) else raw, offsets - offsets[0]
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs(doc_id, text, ...)`` -> all its columns and ``rid``, a unique number that orders the rows as doc_id does.
+
+    It is doc_id itself where that is unique and never null. Otherwise rows are sorted by doc_id (nulls
+    first), text and the other columns and numbered: a row that repeats another is then a document of its
+    own, after it.
+    """
+    rows = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
+    doubtful = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL")
+    if doubtful.isEmpty():
+        return rows.withColumn("rid", F.col("doc_id"))
+    others = [c for c in rows.columns if c not in ("doc_id", "text")]
+    return materialize(rows.orderBy("doc_id", "text", *others).withColumn("rid", F.monotonically_increasing_id()), "numbered")

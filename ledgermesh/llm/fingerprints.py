@@ -3,8 +3,9 @@
 The canonical form is NFKC, lower case, white space runs folded to one space, trimmed. Its digest is 128
 bits wide (two chained xxhash64). Documents that share a digest are then compared byte for byte: where a
 digest holds more than one canonical text, each text gets its own suffix, so equal fingerprints mean equal
-canonical texts. Nulls count as empty texts; rows with a null doc_id are left out (they have no place in
-the order); rows that repeat a doc_id are kept, the smallest text standing for it as somebody's next.
+canonical texts. Nulls count as empty texts. Rows without a doc_id come first in the order, as one
+document after which the smallest doc_id follows; rows that repeat a doc_id are kept, each edited by its own
+length, and the smallest text stands for the id as somebody's next. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, numbered
 
 _SPACE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
@@ -50,13 +51,16 @@ def resolve(hashed: DataFrame, fetch: Callable[[DataFrame], DataFrame]) -> DataF
 def exact_duplicates(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, fingerprint, class_id)``.
 
-    class_id is the smallest doc_id among documents of one canonical text.
+    class_id is the smallest doc_id among documents of one canonical text, null if none has one. A row for
+    each input row; an empty table gives none.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("key"), F.col("text").cast("string").alias("text")).where("key IS NOT NULL")
+    rows = numbered(docs.select("doc_id", "text"))
+    docs = rows.select(F.col("rid").alias("key"), "text")
     hashed = materialize(docs.select("key", canonical(F.col("text")).alias("c")).select("key", wide_hash(F.col("c")).alias("h")), "digest")
-    marks = resolve(hashed, lambda rows: docs.join(rows.select("key").distinct(), "key").select("key", canonical(F.col("text")).alias("c")).withColumn("h", wide_hash(F.col("c"))))
+    marks = resolve(hashed, lambda some: docs.join(some.select("key").distinct(), "key").select("key", canonical(F.col("text")).alias("c")).withColumn("h", wide_hash(F.col("c"))))
     made = hashed.withColumn("suffix", F.lit("")) if marks is None else hashed.join(marks.distinct(), ["key", "h"], "left")
-    made = made.select(F.col("key").alias("doc_id"), F.concat("h", F.coalesce("suffix", F.lit(""))).alias("fingerprint"))
+    made = made.select(F.col("key").alias("rid"), F.concat("h", F.coalesce("suffix", F.lit(""))).alias("fingerprint"))
+    made = made.join(rows.select("rid", "doc_id"), "rid").select("doc_id", "fingerprint")
     least = made.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"))
     return made.join(least, "fingerprint").select("doc_id", "fingerprint", "class_id")
 
@@ -77,19 +81,25 @@ def next_ids(ids: DataFrame) -> DataFrame:
     return following.join(after, "part").select("doc_id", F.coalesce("next_id", "over_id").alias("next_id"))
 
 
+def _order(rows: DataFrame) -> DataFrame:
+    """``rows(rid, doc_id, ...)`` -> ``(rid, next_rid)``: the first row of the following doc_id."""
+    if rows.where("rid <> doc_id OR doc_id IS NULL").isEmpty():
+        return next_ids(rows.select(F.col("rid").alias("doc_id"))).toDF("rid", "next_rid")
+    heads = materialize(rows.groupBy("doc_id").agg(F.min("rid").alias("head")), "heads")
+    following = next_ids(heads.select(F.col("head").alias("doc_id"))).toDF("head", "next_rid")
+    of_id = heads.select(F.col("doc_id").alias("of_id"), "head")
+    own = rows.select("rid", "doc_id").join(of_id, F.col("doc_id").eqNullSafe(F.col("of_id")))
+    return own.join(following, "head").select("rid", "next_rid")
+
+
 def _edited(docs: DataFrame, order: DataFrame) -> DataFrame:
-    """``order(doc_id, next_id, half)`` -> the rows with ``text`` and ``edited``.
+    """``order(rid, next_rid, half)`` -> the rows with ``text`` and ``edited``.
 
-    Both joins are on the id that ``docs`` is dealt by, so its texts are shuffled once and the exchange is
-    used twice; besides, only the heads that the edits need move.
+    Both joins are on the number that ``docs`` is dealt by, so its texts are shuffled once and the exchange
+    is used twice; besides, only the heads that the edits need move.
     """
-    heads = (
-        order.select(F.col("doc_id").alias("of_id"), F.col("next_id").alias("doc_id"), "half")
-        .join(docs, "doc_id")
-        .groupBy(F.col("of_id").alias("doc_id"))
-        .agg(F.min(F.col("doc_id")).alias("next_id"), F.min("half").alias("half"), F.min(F.expr("substring(text, 1, half)")).alias("head"))
-    )
-    return docs.join(heads, "doc_id").withColumn("edited", F.concat(F.expr("substring(text, 1, length(text) - half)"), "head"))
+    heads = order.select(F.col("rid").alias("of"), F.col("next_rid").alias("rid"), "half").join(docs, "rid").select(F.col("of").alias("rid"), F.col("rid").alias("next_rid"), "half", F.expr("substring(text, 1, half)").alias("head"))
+    return docs.join(heads, "rid").withColumn("edited", F.concat(F.expr("substring(text, 1, length(text) - half)"), "head"))
 
 
 def edited_likeness(docs: DataFrame) -> DataFrame:
@@ -97,28 +107,29 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
 
     ``edited`` replaces the last floor(n_chars / 2) code points by the first as many (or all) of the next
     document. An exact digest knows equal and different only, so likeness is 1 or 0. Returns ``(doc_id,
-    n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)``.
+    n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)``, a row for each input
+    row; an empty table gives none.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
-    sizes = docs.groupBy("doc_id").agg(F.max(F.floor(F.length("text") / 2)).cast("int").alias("half"))
-    order = next_ids(sizes.select("doc_id")).join(sizes, "doc_id")
-    order = materialize(order, "next")
-    made = _edited(docs, order).select("doc_id", "next_id", F.length("text").cast("long").alias("n_chars"), canonical(F.col("text")).alias("c"), canonical(F.col("edited")).alias("e"), F.sha2("edited", 256).alias("edited_sha256"))
-    light = materialize(made.select("doc_id", "next_id", "n_chars", "edited_sha256", wide_hash(F.col("c")).alias("fingerprint"), wide_hash(F.col("e")).alias("edited_fingerprint")), "prints")
-
-    key = lambda which: F.struct(F.col("doc_id"), F.lit(which).alias("of"))
+    rows = numbered(docs.select("doc_id", "text"))
+    docs = rows.select("rid", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    sizes = docs.select("rid", F.floor(F.length("text") / 2).cast("int").alias("half"))
+    order = materialize(_order(docs).join(sizes, "rid"), "next")
+    made = _edited(docs, order).select("rid", "doc_id", "next_rid", F.length("text").cast("long").alias("n_chars"), canonical(F.col("text")).alias("c"), canonical(F.col("edited")).alias("e"), F.sha2("edited", 256).alias("edited_sha256"))
+    light = materialize(made.select("rid", "doc_id", "next_rid", "n_chars", "edited_sha256", wide_hash(F.col("c")).alias("fingerprint"), wide_hash(F.col("e")).alias("edited_fingerprint")), "prints")
+
+    key = lambda which: F.struct(F.col("rid"), F.lit(which).alias("of"))
     hashed = light.select(key("text").alias("key"), F.col("fingerprint").alias("h")).unionByName(light.select(key("edited").alias("key"), F.col("edited_fingerprint").alias("h")))
 
-    def fetch(rows: DataFrame) -> DataFrame:
-        ids = rows.select("key.*").distinct()
-        plain = docs.join(ids.where("of = 'text'").select("doc_id"), "doc_id").select(key("text").alias("key"), canonical(F.col("text")).alias("c"))
-        changed = _edited(docs, order.join(ids.where("of = 'edited'").select("doc_id"), "doc_id"))
+    def fetch(some: DataFrame) -> DataFrame:
+        ids = some.select("key.*").distinct()
+        plain = docs.join(ids.where("of = 'text'").select("rid"), "rid").select(key("text").alias("key"), canonical(F.col("text")).alias("c"))
+        changed = _edited(docs, order.join(ids.where("of = 'edited'").select("rid"), "rid"))
         return plain.unionByName(changed.select(key("edited").alias("key"), canonical(F.col("edited")).alias("c"))).withColumn("h", wide_hash(F.col("c")))
 
     if (marks := resolve(hashed, fetch)) is not None:
-        marks = marks.distinct().select("key.*", "h", "suffix")
+        marks = marks.select("key.*", "suffix")
         for of, name in (("text", "fingerprint"), ("edited", "edited_fingerprint")):
-            light = light.join(marks.where(F.col("of") == of).select("doc_id", F.col("h").alias(name), "suffix"), ["doc_id", name], "left").withColumn(name, F.concat(F.col(name), F.coalesce("suffix", F.lit("")))).drop("suffix")
-    following = light.groupBy(F.col("doc_id").alias("next_id")).agg(F.min("fingerprint").alias("next_print"))
+            light = light.join(marks.where(F.col("of") == of).select("rid", "suffix"), "rid", "left").withColumn(name, F.concat(F.col(name), F.coalesce("suffix", F.lit("")))).drop("suffix")
+    following = light.select(F.col("rid").alias("next_rid"), F.col("fingerprint").alias("next_print"))
     same = lambda other: (F.col("fingerprint") == F.col(other)).cast("double")
-    return light.join(following, "next_id").select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", same("edited_fingerprint").alias("near_edited"), same("next_print").alias("near_next"))
+    return light.join(following, "next_rid").select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", same("edited_fingerprint").alias("near_edited"), same("next_print").alias("near_next"))

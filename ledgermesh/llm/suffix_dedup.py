@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, release_memory, text_batches, utf8_buffers
+from .common import map_arrow, materialize, numbered, release_memory, text_batches, utf8_buffers
 
 LENGTH, GRAM = 100, 32
 WINDOW = LENGTH - GRAM + 1
@@ -453,21 +453,6 @@ def _surroundings(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.array(key, np.int64)), pa.array(np.array(rid, np.int64)), pa.array(np.array(start, np.int64)), pa.array(texts, pa.binary())], names=["key", "rid", "start", "bytes"])
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text, ...)`` -> all its columns and ``rid``, a unique number that orders the rows as doc_id does.
-
-    It is doc_id itself where that is unique and never null. Otherwise rows are sorted by doc_id (nulls
-    first), text and the other columns and numbered: a row that repeats another is then a document of its
-    own, after it.
-    """
-    rows = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
-    doubtful = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL")
-    if doubtful.isEmpty():
-        return rows.withColumn("rid", F.col("doc_id"))
-    others = [c for c in rows.columns if c not in ("doc_id", "text")]
-    return materialize(rows.orderBy("doc_id", "text", *others).withColumn("rid", F.monotonically_increasing_id()), "numbered")
-
-
 def _around(texts: DataFrame, firsts: DataFrame) -> DataFrame:
     """``(key, rid, start, bytes)``: the surroundings of anchors, cut from their texts."""
     by_row = firsts.groupBy("rid").agg(F.collect_list(F.struct("place", "key")).alias("found"))
