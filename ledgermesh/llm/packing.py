@@ -2,11 +2,9 @@
 
 Documents are dealt to randomised groups of about ``group_docs`` documents and each group is packed on its
 own. A document longer than a sequence is cut into full sequences and a remainder. Within a group, pieces
-go longest first into the leftmost bin that has room, found by descending the tree of capacities. Bins
-that first-fit leaves short are then joined: their pieces are laid end to end and cut again at the
-sequence length, and what is left over at the group's end is cut at powers of two, which need no padding.
-Cuts depend on a whole group, so ids travel to their group once, as 16-bit numbers where the vocabulary
-allows it.
+go longest first into the leftmost bin that has room, found by descending the tree of capacities, and there
+they stay. Only a group's last bin, the emptiest, is cut at powers of two, which need no padding. Ids travel
+to their group once, as 16-bit numbers where the vocabulary allows it.
 """
 
 from __future__ import annotations
@@ -16,18 +14,22 @@ import sys
 import unicodedata
 import zlib
 from array import array
+from collections.abc import Iterator
 
 import public_tokenizers
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, text_batches, worker_cache
+from .common import release_memory, text_batches, worker_cache
 
 TOKENIZER = "word_bpe_49k.json"
 SEQUENCE = 2048
 END_ID = 1
 GROUP_DOCS = 2048
+#: Bytes of text of an average group at most, so that groups of long documents fit a task.
+GROUP_BYTES = 16 << 20
 #: Words of a generation whose ids a worker keeps; when full, the generation before it goes and the words
 #: still met move on.
 CACHE_WORDS = 200_000
@@ -46,8 +48,8 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -62,6 +64,8 @@ class WordIds:
         return _pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def word(self, word: str) -> bytes:
+        if any(s in word.lower() for s in self.special):  # special tokens in a text are what the tokenizer makes of them
+            return self.whole(word)
         if not word.isascii():
             if max(word) >= _SIMPLE:
                 return self.whole(word)
@@ -109,20 +113,36 @@ worker_cache(lambda: word_ids.cache_clear())
 
 
 def token_ids(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """``docs(doc_id, text)`` -> ``(doc_id, ids binary)``: unsigned ids with the end id, 16 bits each if all fit, else 32.
+    """``docs(doc_id, text)`` -> ``(doc_id, ids binary, deal long)``: unsigned ids with the end id, 16 bits each if all fit, else 32.
 
-    A first byte gives the width.
+    A first byte gives the width. ``deal`` tells rows apart, also those that repeat each other: it hashes the
+    row, the task and how often the row came before in it, which a task that runs again finds alike, in
+    whatever order its rows arrive.
     """
     path = path or public_tokenizers.path(TOKENIZER)
     text_batches(docs.sparkSession)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        release_memory(keep_caches=True)
         coder = word_ids(path)
         end = _pack([END_ID])
-        ids = [_narrow(coder.ids(t or "") + end) for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
-
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, ids binary", keep_caches=True)
+        part = TaskContext.get().partitionId()
+        seen: dict[int, int] = {}
+        for batch in batches:
+            ids, deal = [], []
+            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = _narrow(coder.ids(t or "") + end)
+                h = xxhash.xxh64_intdigest(own, hash(d) & (1 << 63) - 1)
+                seen[h] = n = seen.get(h, 0) + 1
+                ids.append(own)
+                deal.append(xxhash.xxh64_intdigest(b"%d %d %d" % (h, part, n)) >> 1)
+            if ids:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(deal, pa.int64())], names=["doc_id", "ids", "deal"])
+        release_memory(keep_caches=True)
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary, deal long")
 
 
 def _narrow(ids: bytes) -> bytes:
@@ -177,42 +197,48 @@ def first_fit_decreasing(lengths: list[int], capacity: int) -> list[int]:
 def pack(lengths: list[int], sequence: int = SEQUENCE) -> list[list[tuple[int, int, int]]]:
     """Sequences of (document, start, length) for documents of these token counts, cut as need be.
 
-    All sequences are full, or of a power of two, so none is padded.
+    All are bins of first-fit decreasing; the last one is cut into sequences of powers of two.
     """
     items = [(d, at, min(sequence, n - at)) for d, n in enumerate(lengths) for at in range(0, n, sequence)]
     bins: dict[int, list[tuple[int, int, int]]] = {}
     for item, b in zip(items, first_fit_decreasing([x[2] for x in items], sequence), strict=True):
         bins.setdefault(b, []).append(item)
-    full = [x for _, x in sorted(bins.items()) if (total := sum(i[2] for i in x)) == sequence or total & (total - 1) == 0]
-    short = [i for _, x in sorted(bins.items()) if (total := sum(i[2] for i in x)) != sequence and total & (total - 1) for i in x]
-    left = sum(i[2] for i in short)
-    at = 0
+    out = [x for _, x in sorted(bins.items())]
+    return out[:-1] + _powers(out[-1]) if out else []
+
+
+def _powers(items: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
+    """The pieces of one bin laid end to end and cut into sequences of powers of two, longest first."""
+    left, at, out = sum(x[2] for x in items), 0, []
+    items = list(items)
     while left:
-        size = sequence if left >= sequence else 1 << (left.bit_length() - 1)
+        size = 1 << (left.bit_length() - 1)
         own, left = [], left - size
         while size:
-            d, start, n = short[at]
+            d, start, n = items[at]
             take = min(n, size)
             own.append((d, start, take))
             size -= take
             if take == n:
                 at += 1
             else:
-                short[at] = (d, start + take, n - take)
-        full.append(own)
-    return full
+                items[at] = (d, start + take, n - take)
+        out.append(own)
+    return out
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, group_docs: int = GROUP_DOCS, seed: int = 17) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset)``.
 
-    A row for each piece; each id of each document is in exactly one. Null texts count as empty and hold
-    just the end id. Repeated rows are documents of their own; an empty table gives no pieces.
+    A row for each piece; each id of each document is in exactly one. Ids are those that the tokenizer gives
+    by default, special tokens in a text included. Null texts count as empty and hold just the end id. A text
+    of any length is cut into pieces. Repeated rows and rows without an id are documents of their own; other
+    columns are ignored; an empty table gives no pieces.
     """
     coded = token_ids(docs, path)
-    groups = max(1, -(-docs.count() // group_docs))
-    # a hash of what the row holds, so that a repeated task deals it to the same group again
-    dealt = coded.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "ids"), F.lit(groups)))
+    held = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.col("text").cast("string"))).alias("bytes")).first()
+    groups = max(1, -(-held["n"] // group_docs), -(-(held["bytes"] or 0) // GROUP_BYTES))
+    dealt = coded.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "deal"), F.lit(groups))).drop("deal")
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("ids", "ascending")])

@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 
 def texts():
     r = random.Random(4)
-    words = ["The", "naïve", "ÉTÉ", "don't", "WE'LL", "a1b22", "ﬁ", "Σίσυφος", "İ", "日本", "x\x1cy", "é", "<|endoftext|>", "$$", "…", " ", "🙂", "o'clock's", "ǅ", "ß"]
+    words = ["The", "naïve", "ÉTÉ", "don't", "WE'LL", "a1b22", "ﬁ", "Σίσυφος", "İ", "日本", "x\x1cy", "é", "<|endoftext|>", "x<|EndOfText|>y", "a<|endoftext|><|startoftext|>.", "$$", "…", " ", "🙂", "o'clock's", "ǅ", "ß"]
     return [None, "", " ", *words, *(" ".join(r.choice(words) + r.choice(["", ".", ",", "\n"]) for _ in range(r.choice([5, 80, 900, 4000]))) for _ in range(40))]
 
 
@@ -21,9 +21,7 @@ def reference_ids(tok, t):
 
 @pytest.fixture(scope="module")
 def tok():
-    t = Tokenizer.from_file(P.path(packing.TOKENIZER))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(P.path(packing.TOKENIZER))
 
 
 def test_word_ids_equal_the_tokenizer(tok):
@@ -47,7 +45,12 @@ def test_first_fit_decreasing_is_plain_first_fit():
         assert packing.first_fit_decreasing(lengths, 100) == [want[i] for i in range(len(lengths))]
 
 
-def test_every_id_once_and_no_padding(spark, tok):
+def test_special_tokens_are_those_of_the_tokenizer():
+    coder = packing.word_ids(P.path(packing.TOKENIZER))
+    assert np.frombuffer(coder.ids('<|endoftext|>'), '<u4').tolist() == [49407]
+
+
+def test_every_id_once_and_little_padding(spark, tok):
     rows = [(i, t) for i, t in enumerate(texts())]
     rows += [rows[-1], (None, "no id"), (7, "same id")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("start", F.lit("x")).withColumn("ids", F.lit(0))
@@ -69,12 +72,46 @@ def test_every_id_once_and_no_padding(spark, tok):
         assert at == len(by_id[d])
     assert set(seen) == set(by_id) and sums
     assert sum(p.length for p in out) == sum(len(reference_ids(tok, t)) for _, t in rows)
+    used = padded = 0
     for parts in sequences.values():
         at = 0
         for o, n in sorted(parts):
             assert o == at
             at += n
-        assert at <= 2048 and at & (at - 1) == 0
+        assert at <= 2048
+        used += at
+        padded += at if at & (at - 1) == 0 else 2048
+    assert padded <= used * 1.1
+
+
+def test_bins_are_those_of_first_fit_decreasing():
+    r = random.Random(8)
+    for _ in range(30):
+        lengths = [r.randint(1, 5000) for _ in range(r.randint(0, 60))]
+        got = packing.pack(lengths)
+        items = [(d, at, min(2048, n - at)) for d, n in enumerate(lengths) for at in range(0, n, 2048)]
+        room, want = [], []
+        for item in sorted(items, key=lambda x: -x[2]):
+            b = next((k for k, x in enumerate(room) if x >= item[2]), None)
+            if b is None:
+                room.append(2048)
+                want.append(set())
+                b = len(room) - 1
+            room[b] -= item[2]
+            want[b].add(item)
+        assert [set(x) for x in got[: max(0, len(want) - 1)]] == want[:-1]
+        rest = [x for own in got[max(0, len(want) - 1) :] for x in own]
+        assert sum(n for _, _, n in rest) == (2048 - room[-1] if room else 0)
+        ends = sorted((d, s, n) for d, s, n in rest)
+        whole = sorted(want[-1]) if want else []
+        assert {d for d, _, _ in ends} == {d for d, _, _ in whole}
+
+
+def test_repeated_rows_are_dealt_to_many_groups(spark):
+    df = spark.createDataFrame([(1, "the same text again")] * 600, "doc_id long, text string")
+    out = packing.pack_documents(df, group_docs=20)
+    assert out.agg({"length": "sum"}).first()[0] == sum(r.doc_tokens for r in out.where("start = 0").collect())
+    assert out.where("start = 0").count() == 600 and out.selectExpr("shiftright(sequence_id, 32) AS g").distinct().count() > 20
 
 
 def test_empty(spark):
