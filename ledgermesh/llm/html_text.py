@@ -1,9 +1,17 @@
 """Main text of web pages with site template removal.
 
-Element subtrees are hashed bottom-up, each page sends its distinct hashes, and Spark counts them for each
-host; a subtree that recurs across many pages of its host is part of the site's template and is deleted.
-Pages with the same main element count once, so a group of copied pages does not turn its own text into a
-template. What is left is reduced to the article by the roles of its elements.
+Element subtrees are hashed bottom-up in two ways: with their text, and by their shape (tags, classes and
+ids along the path from the root and below, runs of equal children once, no text). Each page sends its
+distinct hashes, and Spark counts them for each host; what recurs across many pages of its host is part of
+the site's template and is deleted: a menu or a footer whose words differ from page to page has the same
+shape everywhere. Content has a recurring shape, too, so shapes count only outside the page's core: its
+articles or main elements, or else the innermost container that holds over half of the page's text; and
+never for headings. The core and what is inside it goes if it recurs with its text; where the core itself does (a
+page of mostly boilerplate), shapes do not count. Pages with the same main element count once, so a group of
+copied pages does not turn its own text into a template.
+
+What is left is reduced to the article by the roles of its elements. Outside articles, words in classes and
+ids tell the roles (for hosts of too few pages to have a template); inside, only tags and whole class names.
 
 At most ``subtrees of a page / share`` subtrees of a host can recur on that share of its pages, so the list
 that travels back to a host's pages is short, however many pages it has.
@@ -26,8 +34,9 @@ MIN_PAGES, SHARE = 10, 0.5
 #: Parts that the pages of a host are dealt to when they meet their template, so that a hot host is no one task.
 SALTS = 64
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</?([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: A value is quoted only right after its equals sign; a quote anywhere else is a character, and > ends the tag.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</?([A-Za-z][^\s/>]*)((?:=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[^>=]++|=)*+)(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math".split())
 _DROPPED = frozenset("nav footer aside form script style textarea title xmp iframe noembed noframes noscript template svg math button select option dialog menu head object audio video canvas".split())
@@ -37,6 +46,12 @@ _SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",
 _FENCES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "option": ("select",)}
 _ASIDE = re.compile(r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|sidebar|footer|masthead|banner|ads?|advert|adverts|advertisement|promo|sponsor|sponsored|cookies?|consent|gdpr|notice|notices|alert|comments?|disqus|respond|reactions|share|sharing|social|related|recommended|newsletter|subscribe|signup|popup|modal|overlay|toolbar|pagination|skip-link|search|contentinfo|complementary|dialog)(?:$|[\s_-])", re.I)
 
+#: Inside an article, class names and ids that are one of these as a whole.
+_ASIDE_NAMES = frozenset(
+    "nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead banner ad ads advert adverts advertisement promo sponsor sponsored cookie cookies consent gdpr notice notices "
+    "alert comment comments reader-comments comment-list comments-list comment-section comments-section user-comments disqus disqus_thread respond reactions share sharing social share-buttons social-share "
+    "related related-posts related-articles recommended newsletter newsletter-signup subscribe signup popup modal overlay toolbar pagination skip-link search search-form contentinfo complementary dialog cookie-banner cookie-notice".split()
+)
 _HEADER = re.compile(r"(?:^|[\s_-])(?:header|topbar|logo|branding)(?:$|[\s_-])", re.I)
 
 
@@ -46,7 +61,9 @@ class Element:
     marks: str = ""
     hidden: bool = False
     children: list = field(default_factory=list)  # elements and texts, in page order
-    digest: int = 0
+    digest: int = 0  # of the subtree with its text
+    shape: int = 0  # of the path to it and the tags below it; 0 where shapes do not count
+    size: int = 0  # characters of text below it
 
 
 def parse(page: str) -> Element:
@@ -86,10 +103,10 @@ def parse(page: str) -> Element:
 def _marks(attributes: str) -> tuple[str, bool]:
     marks, hidden = [], False
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
-        value = a or b or c
-        if name.lower() == "hidden" or name.lower() == "aria-hidden" and value.lower() == "true":
+        name, value = name.lower(), a or b or c
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             hidden = True
-        elif name.lower() != "aria-hidden":
+        elif name in ("class", "id", "role"):
             marks.append(value)
     return html.unescape(" ".join(marks)), hidden
 
@@ -120,36 +137,91 @@ def _close(stack: list[Element], tag: str) -> None:
             return  # an inline end tag does not close the block around it
 
 
-def hash_subtrees(element: Element) -> list[Element]:
-    """Fills in the digests, bottom-up, and returns the block elements that hold any text."""
+_HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6", "hgroup"))
+_NOT_COUNTED = frozenset(("html", "body", "head", "#root"))
+_MASK = (1 << 64) - 1
+
+
+def core_of(root: Element) -> list[Element]:
+    """The page's core; sizes must be known. Its articles, else its main elements, or else the innermost container
+    (an element with blocks in it) that holds over half of the text."""
+    for wanted in ("article", "main"):
+        found, todo = [], [root]
+        while todo:
+            e = todo.pop()
+            if e.tag == wanted and e.size:
+                found.append(e)
+            else:
+                todo += [c for c in e.children if isinstance(c, Element) and c.size]
+        if found:
+            return found
+    at = root
+    while heavy := next((c for c in at.children if isinstance(c, Element) and 2 * c.size > root.size and c.tag not in _DROPPED and any(isinstance(d, Element) and d.tag in _BLOCK for d in c.children)), None):
+        at = heavy
+    return [at]
+
+
+def hash_subtrees(root: Element) -> tuple[set[int], list[Element]]:
+    """Fills in digests, shapes and sizes; returns the hashes that the page counts for its host, and its core."""
     import xxhash
 
-    out, order, todo = [], [], [element]
+    order, todo = [], [(root, 0)]
+    path: dict[int, int] = {}
     while todo:
-        e = todo.pop()
+        e, above = todo.pop()
         order.append(e)
-        todo += [c for c in e.children if isinstance(c, Element)]
+        path[id(e)] = own = xxhash.xxh64_intdigest(f"{above:x}<{e.tag} {e.marks}")
+        todo += [(c, own) for c in e.children if isinstance(c, Element)]
+    below: dict[int, int] = {}
     for e in reversed(order):
-        h = xxhash.xxh64(e.tag)
-        filled = False
+        full, plain = xxhash.xxh64(e.tag), xxhash.xxh64(f"{e.tag} {e.marks}")
+        size, last = 0, -1
         for c in e.children:
             if isinstance(c, Element):
-                h.update(c.digest.to_bytes(8, "little"))
-                filled = filled or c.digest & 1
+                full.update(c.digest.to_bytes(8, "little"))
+                size += c.size
+                kind = below[id(c)] if c.size else -1
             elif text := " ".join(c.split()):
-                h.update(text)
-                filled = True
-        e.digest = h.intdigest() & ~1 | bool(filled)  # the last bit says that there is text below
-        if filled and e.tag in _BLOCK and e.tag not in ("html", "body", "head"):
-            out.append(e)
-    return out
+                full.update(text)
+                size += len(text) if e.tag not in _RAW else 0
+                kind = 1
+            else:
+                continue
+            if kind != last and kind != -1:  # a run of equal children counts once
+                plain.update(kind.to_bytes(8, "little"))
+                last = kind
+        e.size, e.digest, below[id(e)] = size, full.intdigest(), plain.intdigest()
+    core = core_of(root)
+    inside, todo = set(), list(core)
+    while todo:
+        e = todo.pop()
+        inside.add(id(e))
+        todo += [c for c in e.children if isinstance(c, Element)]
+    around: set[int] = set()  # what holds a part of the core
+    for e in reversed(order):
+        if any(id(c) in around or id(c) in inside for c in e.children) and id(e) not in inside:
+            around.add(id(e))
+    out = set()
+    for e in order:
+        if not e.size or e.tag not in _BLOCK or e.tag in _NOT_COUNTED or id(e) in around:
+            continue
+        out.add(e.digest)
+        if id(e) not in inside and e.tag not in _HEADINGS:
+            e.shape = xxhash.xxh64_intdigest(f"{path[id(e)]:x}>{below[id(e)]:x}") | 1
+            out.add(e.shape)
+    out.discard(0)
+    return out, core
 
 
 def _set_aside(e: Element, of_page: bool = False) -> bool:
     """Whether an element is no part of the text; ``of_page``: outside an article, where headers are the site's."""
     if e.tag in _DROPPED or e.hidden or of_page and e.tag == "header":
         return True
-    return bool(e.marks and (_ASIDE.search(e.marks) or of_page and _HEADER.search(e.marks)))
+    if not e.marks:
+        return False
+    if of_page:
+        return bool(_ASIDE.search(e.marks) or _HEADER.search(e.marks))
+    return not _ASIDE_NAMES.isdisjoint(e.marks.lower().split())
 
 
 def main_elements(root: Element) -> list[Element]:
@@ -162,14 +234,14 @@ def main_elements(root: Element) -> list[Element]:
                 if not _set_aside(e):
                     found.append(e)
                 continue
-            if wanted == "body" or not _set_aside(e):
+            if wanted == "body" or not _set_aside(e, True):
                 todo += [c for c in reversed(e.children) if isinstance(c, Element)]
         if found:
             return found
     return [root]
 
 
-def text_blocks(element: Element, template: frozenset[int]) -> list[str]:
+def text_blocks(element: Element, template: frozenset[int], roles: bool = True) -> list[str]:
     """Texts of the blocks below, in page order."""
     blocks: list[str] = []
     held: list[str] = []
@@ -187,7 +259,7 @@ def text_blocks(element: Element, template: frozenset[int]) -> list[str]:
             flush()
         elif isinstance(e, str):
             held.append(e)
-        elif e is not element and (_set_aside(e, of_page) or e.digest in template):
+        elif e is not element and (_set_aside(e, of_page) if roles else e.tag in _RAW or e.tag == "head") or e.digest in template or e.shape in template:
             if e.tag in _BLOCK:
                 flush()
         elif e.tag in ("br", "hr", "wbr", "img"):
@@ -205,12 +277,26 @@ def text_blocks(element: Element, template: frozenset[int]) -> list[str]:
     return blocks
 
 
-def extract(page: str, template: frozenset[int] = frozenset()) -> str:
-    """The main text: blocks joined by two line feeds; empty if there is none."""
+def _forget_shapes(root: Element) -> None:
+    todo = [root]
+    while todo:
+        e = todo.pop()
+        e.shape = 0
+        todo += [c for c in e.children if isinstance(c, Element)]
+
+
+def extract(page: str, template: frozenset[int] = frozenset(), roles: bool = True) -> str:
+    """The main text: blocks joined by two line feeds; empty if there is none.
+
+    Without ``roles`` only the template is deleted (and what is never text, as scripts): tags and class names
+    say nothing then.
+    """
     root = parse(page)
     if template:
-        hash_subtrees(root)
-    return "\n\n".join(b for e in main_elements(root) for b in text_blocks(e, template))
+        _, core = hash_subtrees(root)
+        if all(e.digest in template for e in core):
+            _forget_shapes(root)
+    return "\n\n".join(b for e in (main_elements(root) if roles else [root]) for b in text_blocks(e, template, roles))
 
 
 def host_of(url):
@@ -227,8 +313,8 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE
         hosts, hashes, mains = [], [], []
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             root = parse(page or "")
-            found = {e.digest for e in hash_subtrees(root)}
-            own = sum(e.digest for e in main_elements(root)) & (1 << 64) - 1
+            found, _ = hash_subtrees(root)
+            own = sum(e.digest for e in main_elements(root)) & _MASK
             hosts += [host] * (len(found) + 1)
             hashes += [0, *found]  # 0 counts the host's pages
             mains += [own] * (len(found) + 1)
@@ -243,11 +329,13 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE
     return found.groupBy("host").agg(F.array_sort(F.collect_list("hash")).alias("template"))
 
 
-def main_texts(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
+def main_texts(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE, roles: bool = True) -> DataFrame:
     """``pages(page_id, url, html)`` -> ``(page_id, url, text, n_chars)``, a row for each input row.
 
     Null or empty html gives an empty text; a null url belongs to host ''. Pages of the same host share
-    its template, which is empty for hosts with fewer than ``min_pages`` different pages.
+    its template, which is empty for hosts with fewer than ``min_pages`` different pages. Repeated rows and
+    null ids are kept; other columns are ignored; an empty table gives no rows; a page may be of any length
+    and depth.
     """
     text_batches(pages.sparkSession)
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html")).withColumn("host", host_of(F.col("url")))
@@ -256,7 +344,7 @@ def main_texts(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHAR
     joined = dealt.join(found, ["host", "salt"], "left").select("page_id", "url", "html", "template")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [extract(p or "", frozenset(h & (1 << 64) - 1 for h in t or ())) for p, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        texts = [extract(p or "", frozenset(h & _MASK for h in t or ()), roles) for p, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kind = lambda c: rows.schema[c].dataType.simpleString()
