@@ -93,12 +93,13 @@ def _order(rows: DataFrame) -> DataFrame:
 
 
 def _edited(docs: DataFrame, order: DataFrame) -> DataFrame:
-    """``order(rid, next_rid, half)`` -> the rows with ``text`` and ``edited``.
+    """``docs(rid, text)`` and ``order(rid, doc_id, next_rid, half)`` -> the rows with ``text`` and ``edited``.
 
-    Both joins are on the number that ``docs`` is dealt by, so its texts are shuffled once and the exchange
-    is used twice; besides, only the heads that the edits need move.
+    Both joins are on the number that ``docs`` is dealt by and read the same columns of it, so its texts are
+    shuffled once and the exchange is used twice; besides, only the heads that the edits need move.
     """
-    heads = order.select(F.col("rid").alias("of"), F.col("next_rid").alias("rid"), "half").join(docs, "rid").select(F.col("of").alias("rid"), F.col("rid").alias("next_rid"), "half", F.expr("substring(text, 1, half)").alias("head"))
+    asked = order.select(F.col("rid").alias("of"), "doc_id", F.col("next_rid").alias("rid"), "half")
+    heads = asked.join(docs, "rid").select(F.col("of").alias("rid"), "doc_id", F.col("rid").alias("next_rid"), "half", F.expr("substring(text, 1, half)").alias("head"))
     return docs.join(heads, "rid").withColumn("edited", F.concat(F.expr("substring(text, 1, length(text) - half)"), "head"))
 
 
@@ -111,9 +112,9 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     row; an empty table gives none.
     """
     rows = numbered(docs.select("doc_id", "text"))
-    docs = rows.select("rid", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    sizes = docs.select("rid", F.floor(F.length("text") / 2).cast("int").alias("half"))
-    order = materialize(_order(docs).join(sizes, "rid"), "next")
+    docs = rows.select("rid", F.coalesce("text", F.lit("")).alias("text"))
+    sizes = rows.select("rid", "doc_id", F.floor(F.length(F.coalesce("text", F.lit(""))) / 2).cast("int").alias("half"))
+    order = materialize(_order(rows).join(sizes, "rid"), "next")
     made = _edited(docs, order).select("rid", "doc_id", "next_rid", F.length("text").cast("long").alias("n_chars"), canonical(F.col("text")).alias("c"), canonical(F.col("edited")).alias("e"), F.sha2("edited", 256).alias("edited_sha256"))
     light = materialize(made.select("rid", "doc_id", "next_rid", "n_chars", "edited_sha256", wide_hash(F.col("c")).alias("fingerprint"), wide_hash(F.col("e")).alias("edited_fingerprint")), "prints")
 
