@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries that SQL can express on whole tables."""
 
-from .licenses import MARKERS, TEMPLATES, THRESHOLD
+from .licenses import COMMENT, MARKERS, RESERVED, SPDX, TEMPLATES, THRESHOLD, WRAPPED, names
 
 
 def _sql(text: str) -> str:
@@ -41,11 +41,26 @@ WITH files AS (
   SELECT doc_id, text, whole,
     concat_ws('/', top, doc_id // 4096, CASE WHEN NOT whole OR doc_id % 3 > 0 THEN doc_id // 512 END, CASE WHEN NOT whole OR doc_id % 3 = 2 THEN doc_id // 64 END) AS dir
   FROM files
+), lines AS (
+  SELECT doc_id, whole, dir, pos, CASE WHEN contains(line, '{SPDX}') THEN '' ELSE trim(line, ' ') END AS line FROM (
+    SELECT doc_id, whole, dir, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM rows WHERE {_marked("text")})
+), kinds AS (
+  SELECT doc_id, whole, dir, pos, line, 'short' AS kind, regexp_matches(line, '[a-z0-9]') AND length(line) <= {WRAPPED} AS held FROM lines
+  UNION ALL SELECT doc_id, whole, dir, pos, line, 'comment', regexp_matches(line, '[a-z0-9]') AND regexp_matches(line, '{COMMENT}') FROM lines
+), blocks AS (
+  SELECT doc_id, whole, dir, kind, run, trim(string_agg(line, ' ' ORDER BY pos), ' ') AS unit FROM (
+    SELECT *, pos - row_number() OVER (PARTITION BY doc_id, kind ORDER BY pos) AS run FROM kinds WHERE held)
+  GROUP BY doc_id, whole, dir, kind, run
 ), units AS (
   SELECT DISTINCT doc_id, whole, dir, unit FROM (
-    SELECT doc_id, whole, dir, trim(unnest(string_split(text, chr(10))), ' ') AS unit FROM rows WHERE {_marked("text")}
+    SELECT doc_id, whole, dir, line AS unit FROM lines
+    UNION ALL SELECT doc_id, whole, dir, unit FROM blocks
     UNION ALL SELECT doc_id, whole, dir, trim(text, ' ') FROM rows WHERE whole)
   WHERE {_marked("unit")}
+), declared AS (
+  SELECT doc_id, whole, dir, name AS license FROM (
+    SELECT doc_id, whole, dir, regexp_replace(regexp_extract(text, '{SPDX}:[ \\t]*[(]*[ \\t]*([a-z0-9.+-]+)', 1), '(-only|-or-later|[+])$', '') AS id FROM rows)
+  JOIN (VALUES {", ".join(f"({_sql(k)})" for k in names(TEMPLATES) if k != RESERVED)}) t(name) ON lower(name) = id
 ), texts AS (
   SELECT DISTINCT NULL AS name, unit FROM units
   UNION ALL SELECT name, lower(unit) FROM (VALUES {", ".join(f"({_sql(k)}, {_sql(v)})" for k, v in sorted(TEMPLATES.items()))}) t(name, unit)
@@ -63,10 +78,12 @@ WITH files AS (
     FROM weighted u JOIN weighted t USING (token) WHERE u.name IS NULL AND t.name IS NOT NULL GROUP BY u.unit, t.name)
   QUALIFY row_number() OVER (PARTITION BY unit ORDER BY score DESC, license) = 1
 ), own AS (
-  SELECT doc_id, whole, dir, license, score FROM units JOIN scored USING (unit) WHERE score >= {THRESHOLD}
-  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) = 1
+  SELECT * FROM (
+    SELECT doc_id, whole, dir, license, score, CASE WHEN license = '{RESERVED}' THEN 2 ELSE 1 END AS kind FROM units JOIN scored USING (unit) WHERE score >= {THRESHOLD}
+    UNION ALL SELECT doc_id, whole, dir, license, 1.0, 0 FROM declared)
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY kind, score DESC, license) = 1
 ), granted AS (
-  SELECT dir AS holder, license FROM own WHERE whole QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, license) = 1
+  SELECT dir AS holder, license FROM own WHERE whole QUALIFY row_number() OVER (PARTITION BY dir ORDER BY kind, score DESC, license) = 1
 ), nearest AS (
   SELECT d.dir, g.holder, g.license FROM (SELECT DISTINCT dir FROM rows) d JOIN granted g ON d.dir = g.holder OR starts_with(d.dir, g.holder || '/')
   QUALIFY row_number() OVER (PARTITION BY d.dir ORDER BY length(g.holder) DESC) = 1

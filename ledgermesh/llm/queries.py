@@ -55,8 +55,7 @@ def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = licenses.document_paths(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    out = licenses.scan(files.select("path", "text"))
-    return out.select(F.regexp_extract("path", r"(?:LICENSE|doc)-(-?\d+)", 1).cast("long").alias("doc_id"), "own_license", "own_score", "license", "license_from")
+    return licenses.scan(files).select("doc_id", "own_license", "own_score", "license", "license_from")
 
 
 QUERIES = {"op3_suffix_dedup": op3_suffix_dedup, "op9_licenses": op9_licenses, "op7_html": op7_html, "op8_neighbours": op8_neighbours, "op2_quality": op2_quality, "op6_packing": op6_packing, "op1_byte_bpe": op1_byte_bpe, "op4_chat_format": op4_chat_format, "op5_fingerprints": op5_fingerprints, "op10_simhash": op10_simhash, "pipeline": corpus_pipeline.run}

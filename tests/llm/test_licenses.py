@@ -35,3 +35,24 @@ def test_neighbouring_licences_are_told_apart(spark):
     assert wrong == []
     alone = [got for _, t in rows[:4] for got in [li.scan(spark.createDataFrame([("x", t)], "path string, text string")).first().own_license]]
     assert alone == [want for want, _ in rows[:4]]
+
+
+def test_headers_are_scored_as_blocks(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:\n"
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\n"
+    commented = lambda t, mark: "".join(f"{mark} {x}\n" for x in t.strip().split("\n"))
+    reserved = "Copyright 2020 Foo. All rights reserved.\n"
+    rows = [
+        ("BSD-3-Clause", reserved + bsd), ("BSD-3-Clause", commented(reserved + "\n" + bsd, "#") + "import os\n"), ("MIT", commented(mit, " *") + "int main() { return 0; }\n"),
+        ("Apache-2.0", reserved + "SPDX-License-Identifier: Apache-2.0\n"), ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"), ("GPL-2.0", "// SPDX-License-Identifier: GPL-2.0-or-later\ncode"),
+        ("MIT", "SPDX-License-Identifier: (MIT OR Apache-2.0)"), (None, "SPDX-License-Identifier: Zlib"), ("Proprietary", reserved + "nothing else here"), ("LGPL-2.1", "# SPDX-License-Identifier: LGPL-2.1+"),
+    ]
+    df = spark.createDataFrame([(i, f"d{i}/x.py", t) for i, (_, t) in enumerate(rows)], "doc_id long, path string, text string").withColumn("license", F.lit(1))
+    got = li.scan(df)
+    assert got.columns == ["doc_id", "path", "own_license", "own_score", "license", "license_from"]
+    assert {r.doc_id: r.own_license for r in got.collect()} == {i: want for i, (want, _) in enumerate(rows)}
+
+
+def test_one_very_long_file(spark):
+    text = "\n".join(["some line of words that says nothing"] * 100_000 + ["Released under the MIT License."])
+    assert li.scan(spark.createDataFrame([("a", text)], "path string, text string")).first().own_license == "MIT"
