@@ -4,11 +4,21 @@ A byte goes if a string of ``LENGTH`` bytes that covers it also starts earlier (
 earlier in the same). Which strings can repeat at all is found first: every string of that length holds a
 content-chosen anchor (the ``GRAM``-byte gram with the smallest hash), so equal strings hold equal anchors
 at equal places. Anchors are shuffled by their hash; one whose gram occurs once in the corpus needs no
-further look, and one whose whole surroundings (all strings around it) occurred before is repeated as a
-whole. Only the surroundings that differ within an anchor's group remain. They are gathered by anchor into
-shards; each shard gets a suffix array by Larsson-Sadakane refinement and common prefixes by Kasai's
-recurrence, which give the classes of equal strings. An anchor with more surroundings than one shard holds
-spans several, whose class lists, sorted by their suffix arrays, are merged by binary search.
+further look. Surroundings of an anchor (all strings around it) that are equal byte by byte are one text of
+the shards: the first stands for all, and the others, whose strings all stood earlier, go as a whole. Hashes
+only propose that surroundings are equal. Those of one Arrow batch are compared there; others are joined
+along the document to segments, which travel to the document that holds the first and are compared with it.
+Should a segment differ, all surroundings are compared by their shards instead.
+
+The differing surroundings are gathered by anchor into shards; each shard gets a suffix array by
+Larsson-Sadakane refinement and common prefixes by Kasai's recurrence, which give the classes of equal
+strings. An anchor with more surroundings than one shard holds spans several, whose class lists, sorted by
+their suffix arrays, are merged by binary search.
+
+An anchor with very many surroundings is split before anything is shuffled: its strings are dealt by
+blocks of eight places of the anchor in the string, and by the bytes that all strings of a block share, so
+equal strings still meet. What is hot even so is dealt string by string. No task holds a hot passage, and no
+way depends on how frequent it is but for this dealing.
 """
 
 from __future__ import annotations
@@ -28,8 +38,11 @@ WINDOW = LENGTH - GRAM + 1
 SPAN = LENGTH + WINDOW - 1
 SEGMENT_BYTES = 1 << 19
 SHARD_BYTES = 1 << 19
-#: Different surroundings of one anchor beyond which its strings are not gathered in a task but grouped by hash.
-HOT_SURROUNDINGS = 20_000
+#: An anchor is split if it has more surroundings than this and than one in 2 ** 20 of all anchors, so that no more
+#: than 2 ** 20 hot anchors (8 MB) are sent to the tasks.
+HOT = 1024
+#: Places of the anchor that the strings of a part have, when an anchor is split, and when a part is split again.
+SPLITS = (8, 1)
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)
 
 
@@ -137,74 +150,188 @@ def surroundings_hash(raw, at, left, right):
     return out
 
 
-ANCHORS = "key long, ctx long, rid long, place long, known boolean"
+def split(raw, key, at, left, right, width: int):
+    """Parts of units: of each, the strings whose anchor stands at ``width`` neighbouring places in them.
+
+    A part's key is that of its unit with the block of places and the bytes that all strings of the block
+    hold around the anchor. Returns (unit, key, at, left, right).
+    """
+    import numpy as np
+
+    low, high = LENGTH - right, left  # the first and last place of the anchor in a string
+    first = low // width
+    n = high // width - first + 1
+    unit = np.repeat(np.arange(len(key)), n)
+    block = np.arange(len(unit)) - np.repeat(np.cumsum(n) - n, n) + first[unit]
+    lo, hi = np.maximum(low[unit], block * width), np.minimum(high[unit], block * width + width - 1)
+    own = at[unit]
+    core = surroundings_hash(raw, own, block * width, LENGTH - (block * width + width - 1))
+    mixed = (key[unit] ^ (core * np.uint64(_ODD[1]))) * np.uint64(_ODD[0]) + np.uint64(width)
+    mixed ^= mixed >> np.uint64(29)
+    return unit, mixed * np.uint64(_ODD[4]) | np.uint64(1), own, hi, LENGTH - lo
+
+
+def units(raw, offsets, hot: tuple = ()):
+    """Anchors, hot ones split: (key, position, bytes left, bytes right). ``hot`` has an array of keys for each split."""
+    import numpy as np
+
+    at, key, left, right = anchor_positions(raw, offsets)
+    for width, keys in zip(SPLITS, hot, strict=False):
+        mine = np.isin(key, keys)
+        if mine.any():
+            _, *parts = split(raw, key[mine], at[mine], left[mine], right[mine], width)
+            key, at, left, right = (np.concatenate([x[~mine], y]) for x, y in zip((key, at, left, right), parts, strict=True))
+    return key, at, left, right
+
+
+def _same_bytes(raw, a, b, size):
+    """Whether the ``size`` bytes from a and from b are equal, pair by pair."""
+    import numpy as np
+
+    padded = np.concatenate([raw, np.zeros(SPAN, np.uint8)])
+    view = np.lib.stride_tricks.as_strided(padded, (len(raw), SPAN), (1, 1))
+    out = np.empty(len(a), bool)
+    column = np.arange(SPAN)
+    for i in range(0, len(a), 20_000):
+        j = slice(i, i + 20_000)
+        out[j] = ~((view[a[j]] != view[b[j]]) & (column < size[j][:, None])).any(axis=1)
+    return out
 
 
-def _anchors(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-    """A row for each anchor; ``place`` is 256 * start + length of its surroundings in the document.
+def hot_anchors(texts: DataFrame) -> tuple:
+    """Keys to split: for each of ``SPLITS`` an array, empty ones left out.
 
-    Surroundings that stood earlier in the same batch are known repeats already: they travel under a key
-    of their own, so a hot passage is one row for each batch where it meets others.
+    A task tells of keys that it meets twice or more; others are in no task more than once.
     """
     import numpy as np
 
-    raw, offsets = utf8_buffers(batch.column(1))
-    at, key, left, right = anchor_positions(raw, offsets)
-    if not len(at):
-        return None
-    doc = np.searchsorted(offsets, at, side="right") - 1
-    ctx = surroundings_hash(raw, at, left, right)
-    rid = batch.column(0).to_numpy()[doc]
-    start = at - left - offsets[doc]
-    order = np.lexsort([start, rid, ctx, key])
-    key, ctx, rid, start, size = key[order], ctx[order], rid[order], start[order], (left + right)[order]
-    known = np.concatenate([[False], (key[1:] == key[:-1]) & (ctx[1:] == ctx[:-1])])
-    key = np.where(known, ctx ^ (rid.astype(np.uint64) * np.uint64(_ODD[1])) ^ start.astype(np.uint64) * np.uint64(_ODD[2]), key)
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(rid), pa.array(start * 256 + size), pa.array(known)], names=["key", "ctx", "rid", "place", "known"])
+    found: tuple = ()
+    total = None
+    for _ in SPLITS:
+
+        def run(batch: pa.RecordBatch, found=found) -> pa.RecordBatch | None:
+            raw, offsets = utf8_buffers(batch.column(1))
+            key, at, left, right = units(raw, offsets, found)
+            if found:  # parts of the last split only
+                plain = anchor_positions(raw, offsets)[1]
+                key = key[~np.isin(key, plain)]
+            kinds, n = np.unique(key, return_counts=True)
+            several = n > 1
+            kinds, n = np.append(kinds[several], np.uint64(0)), np.append(n[several], len(key))  # 0: all anchors
+            return pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(n)], names=["key", "n"])
+
+        counts = materialize(map_arrow(texts, run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where((F.col("n") > HOT) | (F.col("key") == 0)), "hot")
+        if total is None:
+            total = sum(r["n"] for r in counts.where("key = 0").collect())
+        keys = counts.where((F.col("key") != 0) & (F.col("n") > max(HOT, total >> 20))).toPandas()["key"].to_numpy(np.int64)
+        if not len(keys):
+            break
+        found = (*found, np.sort(keys).view(np.uint64))
+    return found
 
 
-MARKS = "rid long, place long, key long, whole boolean"
+ANCHORS = "key long, ctx long, rid long, place long, known boolean"
 
 
-def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From anchors sorted by key, surroundings, document and start: repeats as a whole, and firsts to compare.
+def _anchors(hot: tuple, bits: int):
+    """A row for each unit; ``place`` is 256 * start + length of its surroundings in the document.
 
-    Of each kind of surroundings all rows but the first are repeats as a whole. The firsts of a key are
-    compared later if it has two or more. At most one row is held back between batches.
+    Surroundings that stood earlier in the same batch, byte by byte, are known repeats already: they travel
+    under a key of their own, so a hot passage is one row for each batch where it meets others. ``bits`` of
+    the hashes are used.
     """
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        import numpy as np
+
+        raw, offsets = utf8_buffers(batch.column(1))
+        key, at, left, right = units(raw, offsets, hot)
+        if not len(at):
+            return None
+        doc = np.searchsorted(offsets, at, side="right") - 1
+        ctx = surroundings_hash(raw, at, left, right)
+        if bits < 64:
+            mask = np.uint64((1 << bits) - 1)
+            key, ctx = key & mask, ctx & mask
+        rid = batch.column(0).to_numpy()[doc]
+        begin, size = at - left, left + right
+        start = begin - offsets[doc]
+        order = np.lexsort([start, rid, ctx, key])
+        key, ctx, rid, start, begin, size = (x[order] for x in (key, ctx, rid, start, begin, size))
+        known = np.concatenate([[False], (key[1:] == key[:-1]) & (ctx[1:] == ctx[:-1]) & (size[1:] == size[:-1])])
+        i = np.flatnonzero(known)
+        known[i] = _same_bytes(raw, begin[i], begin[i - 1], size[i])
+        key = np.where(known, surroundings_key(ctx, rid, start), key)
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(rid), pa.array(start * 256 + size), pa.array(known)], names=["key", "ctx", "rid", "place", "known"])
+
+    return run
+
+
+def surroundings_key(ctx, rid, start):
+    """A key that spreads rows which need no meeting."""
     import numpy as np
 
-    def out(rid, place, key, whole: bool) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(rid), pa.array(place), pa.array(key), pa.array(np.full(len(rid), whole))], names=["rid", "place", "key", "whole"])
+    return ctx ^ (rid.astype(np.uint64) * np.uint64(_ODD[1])) ^ (start.astype(np.uint64) * np.uint64(_ODD[2]))
 
-    last = None  # (key, surroundings) of the last row
-    pending = None  # the last key's first, if it is the only one so far
-    sent = None  # the last key, if its firsts have gone out
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key, ctx, rid, place = (batch.column(i).to_numpy() for i in range(4))
-        known = batch.column(4).to_numpy(zero_copy_only=False)
-        if known.any():
-            yield out(rid[known], place[known], key[known], True)
-            key, ctx, rid, place = (x[~known] for x in (key, ctx, rid, place))
-            if not len(key):
+
+KNOWN, FIRST, COPY = 0, 1, 2
+MARKS = "rid long, place long, key long, kind int, to_rid long, to_place long"
+
+
+def _marks(propose: bool):
+    """From units sorted by key, surroundings, document and start: what each row is.
+
+    KNOWN rows repeat as a whole. Of each kind of surroundings the first is compared by shards, if its key
+    has several kinds, and the others are COPY rows that name it (without ``propose`` each row is a kind of
+    its own). At most one row is held back between batches.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        def out(rid, place, key, kind: int, to_rid=None, to_place=None) -> pa.RecordBatch:
+            to = [pa.array(x, pa.int64()) if x is not None else pa.nulls(len(rid), pa.int64()) for x in (to_rid, to_place)]
+            return pa.RecordBatch.from_arrays([pa.array(rid), pa.array(place), pa.array(key), pa.array(np.full(len(rid), kind, np.int32)), *to], names=["rid", "place", "key", "kind", "to_rid", "to_place"])
+
+        last = None  # (key, surroundings, row, place) of the last first
+        pending = None  # the last key's first, if it is the only one so far
+        sent = None  # the last key, if its firsts have gone out
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-        same = np.concatenate([[last == (key[0], ctx[0])], (key[1:] == key[:-1]) & (ctx[1:] == ctx[:-1])])
-        last = (key[-1], ctx[-1])
-        if same.any():
-            yield out(rid[same], place[same], key[same], True)
-        key, rid, place = key[~same], rid[~same], place[~same]
-        if not len(key):
-            continue
-        if pending is not None:
-            key, rid, place = (np.concatenate([[a], b]) for a, b in zip(pending, (key, rid, place), strict=True))
-        start = np.concatenate([[True], key[1:] != key[:-1]])
-        several = ~(start & np.concatenate([start[1:], [True]]))
-        several |= key == sent if sent is not None else False
-        if several.any():
-            yield out(rid[several], place[several], key[several], False)
-        pending, sent = (None, key[-1]) if several[-1] else ((key[-1], rid[-1], place[-1]), None)
+            key, ctx, rid, place = (batch.column(i).to_numpy() for i in range(4))
+            known = batch.column(4).to_numpy(zero_copy_only=False)
+            if known.any():
+                yield out(rid[known], place[known], key[known], KNOWN)
+                key, ctx, rid, place = (x[~known] for x in (key, ctx, rid, place))
+                if not len(key):
+                    continue
+            if propose:
+                size = place & 255
+                same = np.concatenate([[last is not None and last[:2] == (key[0], ctx[0]) and last[3] & 255 == size[0]], (key[1:] == key[:-1]) & (ctx[1:] == ctx[:-1]) & (size[1:] == size[:-1])])
+            else:
+                same = np.zeros(len(key), bool)
+            if same.any():
+                head = np.maximum.accumulate(np.where(same, -1, np.arange(len(key))))
+                before = (rid[0], place[0]) if last is None else last[2:]
+                to_rid = np.where(head < 0, before[0], rid[head])
+                to_place = np.where(head < 0, before[1], place[head])
+                yield out(rid[same], place[same], key[same], COPY, to_rid[same], to_place[same])
+            fresh = np.flatnonzero(~same)
+            if not len(fresh):
+                continue
+            key, ctx, rid, place = (x[fresh] for x in (key, ctx, rid, place))
+            last = (key[-1], ctx[-1], rid[-1], place[-1])
+            if pending is not None:
+                key, rid, place = (np.concatenate([[a], b]) for a, b in zip(pending, (key, rid, place), strict=True))
+            start = np.concatenate([[True], key[1:] != key[:-1]])
+            several = ~(start & np.concatenate([start[1:], [True]]))
+            several |= key == sent if sent is not None else False
+            if several.any():
+                yield out(rid[several], place[several], key[several], FIRST)
+            pending, sent = (None, key[-1]) if several[-1] else ((key[-1], rid[-1], place[-1]), None)
+
+    return run
 
 
 def _order(high, low, low_bits: int):
@@ -436,68 +563,71 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release_memory()
 
 
-def _surroundings(batch: pa.RecordBatch) -> pa.RecordBatch:
-    import numpy as np
-
-    raw, offsets = utf8_buffers(batch.column(1))
-    whole = raw.tobytes()
-    key, rid, start, texts = [], [], [], []
-    for i, (r, found) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-        base = int(offsets[i])
-        for m in found:
-            a, n = m["place"] >> 8, m["place"] & 255
-            key.append(m["key"])
-            rid.append(r)
-            start.append(a)
-            texts.append(whole[base + a : base + a + n])
-    return pa.RecordBatch.from_arrays([pa.array(np.array(key, np.int64)), pa.array(np.array(rid, np.int64)), pa.array(np.array(start, np.int64)), pa.array(texts, pa.binary())], names=["key", "rid", "start", "bytes"])
-
-
-def _around(texts: DataFrame, firsts: DataFrame) -> DataFrame:
-    """``(key, rid, start, bytes)``: the surroundings of anchors, cut from their texts."""
-    by_row = firsts.groupBy("rid").agg(F.collect_list(F.struct("place", "key")).alias("found"))
-    return map_arrow(texts.join(by_row, "rid"), _surroundings, "key long, rid long, start long, bytes binary")
-
-
-def _strings(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """A row for each string of LENGTH bytes: 128 bits of its hash, and where it starts."""
-    import xxhash
+CUT = "copy boolean, dest long, rid long, start long, to_start long, bytes binary"
 
-    rows = []
-    for rid, start, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-        rows += [(xxhash.xxh3_128_digest(text[i : i + LENGTH]), rid, start + i) for i in range(len(text) - LENGTH + 1)]
-    return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.binary(), pa.int64(), pa.int64()))], names=["hash", "rid", "a"])
 
+def _cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Texts with their marks -> surroundings of firsts, for their anchor, and segments of copies, for the first's document.
 
-def _repeats_by_hash(around: DataFrame) -> DataFrame:
-    """``(rid, a, b)`` of strings that stood earlier, for anchors too frequent to meet in one task.
-
-    First places combine map-side, and the join back to them is split where one string is hot.
+    Copies that follow each other on both sides join to one segment.
     """
-    strings = materialize(map_arrow(around, _strings, "hash binary, rid long, a long"), "strings")
-    first = strings.groupBy("hash").agg(F.min(F.struct("rid", "a")).alias("first"))
-    later = strings.join(first, "hash").where(F.struct("rid", "a") != F.col("first"))
-    return later.select("rid", "a", (F.col("a") + LENGTH).alias("b"))
-
+    import numpy as np
 
-def removed_spans(rows: DataFrame) -> DataFrame:
-    """``rows(rid, text)`` -> ``(rid, spans array<struct<a, b>>)`` of bytes to remove, for rows that have any; spans may overlap."""
+    raw, offsets = utf8_buffers(batch.column(1))
+    whole = raw.tobytes()
+    found = batch.column(2)
+    n = np.diff(found.offsets.to_numpy())
+    marks = found.flatten()
+    place, key, kind, to_rid, to_place = (marks.field(c).fill_null(0).to_numpy(zero_copy_only=False) for c in ("place", "key", "kind", "to_rid", "to_place"))
+    row = np.repeat(np.arange(len(n)), n)
+    rid = batch.column(0).to_numpy()[row]
+    start, end, to_start = place >> 8, (place >> 8) + (place & 255), to_place >> 8
+    first = kind == FIRST
+    order = np.flatnonzero(~first)
+    order = order[np.lexsort([start[order], start[order] - to_start[order], to_rid[order], row[order]])]
+    r, t, a, shift, e = row[order], to_rid[order], start[order], start[order] - to_start[order], end[order]
+    heads = np.zeros(0, np.int64)
+    if len(order):
+        other = np.concatenate([[True], (r[1:] != r[:-1]) | (t[1:] != t[:-1]) | (shift[1:] != shift[:-1])])
+        reach = np.maximum.accumulate(e + other.cumsum() * (1 << 40)) - other.cumsum() * (1 << 40)  # within a group
+        heads = np.flatnonzero(other | np.concatenate([[True], a[1:] > reach[:-1]]))
+    last = np.append(heads[1:], len(order)) - 1 if len(heads) else heads
+    seg_end = reach[last] if len(heads) else heads
+    begin = np.concatenate([start[first], a[heads]])
+    stop = np.concatenate([end[first], seg_end])
+    base = offsets[np.concatenate([row[first], r[heads]])]
+    texts = [whole[i:j] for i, j in zip((base + begin).tolist(), (base + stop).tolist(), strict=True)]
+    copy = np.concatenate([np.zeros(int(first.sum()), bool), np.ones(len(heads), bool)])
+    dest = np.concatenate([key[first], t[heads]])
+    to = np.concatenate([start[first], (a - shift)[heads]])
+    rids = np.concatenate([rid[first], rid[order][heads]])
+    return pa.RecordBatch.from_arrays([pa.array(copy), pa.array(dest), pa.array(rids), pa.array(begin), pa.array(to), pa.array(texts, pa.binary())], names=["copy", "dest", "rid", "start", "to_start", "bytes"])
+
+
+def removed_spans(rows: DataFrame, bits: int = 64) -> DataFrame:
+    """``rows(rid, text)`` -> ``(rid, spans array<struct<a, b>>)`` of bytes to remove, for rows that have any; spans may overlap.
+
+    ``bits`` of the hashes are used; fewer make more to compare, not another result.
+    """
     text_batches(rows.sparkSession)
     texts = rows.select("rid", "text")
-    anchors = map_arrow(texts.where(F.octet_length("text") >= LENGTH), _anchors, ANCHORS)
+    long = texts.where(F.octet_length("text") >= LENGTH)
+    anchors = map_arrow(long, _anchors(hot_anchors(long), bits), ANCHORS)
     sorted_ = anchors.repartition("key").sortWithinPartitions("key", "ctx", "rid", "place")
-    marks = materialize(sorted_.mapInArrow(_marks, MARKS), "marks")
-    firsts = marks.where("NOT whole").select("rid", "place", "key")
-    hot = materialize(firsts.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_SURROUNDINGS).select("key"), "hot")
-    by_hash = None
-    if not hot.isEmpty():
-        by_hash = _repeats_by_hash(_around(texts, firsts.join(hot, "key", "left_semi")))
-        firsts = firsts.join(hot, "key", "left_anti")
-    compared = _around(texts, firsts).repartition("key").sortWithinPartitions("key", "rid", "start").mapInArrow(_compare, "rid long, a long, b long")
+    for propose in (True, False):
+        marks = materialize(sorted_.mapInArrow(_marks(propose), MARKS), "marks")
+        by_row = marks.where(F.col("kind") != KNOWN).groupBy("rid").agg(F.collect_list(F.struct("place", "key", "kind", "to_rid", "to_place")).alias("found"))
+        cut = materialize(map_arrow(long.join(by_row, "rid"), _cut, CUT), "cut")
+        b = (F.col("start") + F.octet_length("bytes")).alias("b")
+        firsts = long.select(F.col("rid").alias("dest"), F.col("text").cast("binary").alias("held"))
+        equal = F.expr("substring(held, cast(to_start + 1 AS int), octet_length(bytes))") == F.col("bytes")
+        checked = materialize(cut.where("copy").join(firsts, "dest").select("rid", F.col("start").alias("a"), b, equal.alias("equal")), "checked")
+        if checked.where("NOT equal").isEmpty():
+            break  # else two different surroundings share a hash
+    compared = cut.where("NOT copy").select(F.col("dest").alias("key"), "rid", "start", "bytes").repartition("key").sortWithinPartitions("key", "rid", "start").mapInArrow(_compare, "rid long, a long, b long")
     start = F.shiftright("place", 8)
-    whole = marks.where("whole").select("rid", start.alias("a"), (start + F.col("place").bitwiseAND(255)).alias("b"))
-    found = compared.unionByName(whole) if by_hash is None else compared.unionByName(whole).unionByName(by_hash)
-    spans = found.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans"))
+    known = marks.where(F.col("kind") == KNOWN).select("rid", start.alias("a"), (start + F.col("place").bitwiseAND(255)).alias("b"))
+    spans = compared.unionByName(known).unionByName(checked.select("rid", "a", "b")).groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans"))
     return materialize(spans, "spans")
 
 
@@ -522,10 +652,15 @@ def kept(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, raw[at:]])
 
 
-def removal_digests(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text)`` -> ``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)``, a row for each input row."""
+def removal_digests(docs: DataFrame, bits: int = 64) -> DataFrame:
+    """``docs(doc_id, text)`` -> ``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)``, a row for each input row.
+
+    Null texts count as empty. Rows that repeat a doc_id, or have none, are documents of their own in the
+    order of ``numbered``: of equal rows the first keeps its text. Texts are read whole, however long; other
+    columns are ignored; an empty table gives no rows.
+    """
     rows = numbered(docs.select("doc_id", "text")).fillna("", "text")
-    spans = removed_spans(rows)
+    spans = removed_spans(rows, bits)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []

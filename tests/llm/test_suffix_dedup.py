@@ -44,13 +44,44 @@ def corpus(seed, n=70):
     return docs
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_matches_brute_force(spark, seed, monkeypatch):
+@pytest.mark.parametrize("seed, bits, hot", [(1, 64, None), (2, 64, 1), (3, 5, None), (4, 0, 20)])
+def test_matches_brute_force(spark, seed, bits, hot, monkeypatch):
     docs = corpus(seed)
-    if seed == 3:  # frequent anchors take the way by hashes
-        monkeypatch.setattr(sd, "HOT_SURROUNDINGS", 3)
+    if hot:  # anchors of a few surroundings are split
+        monkeypatch.setattr(sd, "HOT", hot)
     df = spark.createDataFrame(docs[::-1], "doc_id long, text string").repartition(3).withColumn("spans", F.lit(1)).withColumn("rid", F.lit("x"))
-    assert sorted(tuple(r) for r in sd.removal_digests(df).collect()) == brute(docs)
+    assert sorted(tuple(r) for r in sd.removal_digests(df, bits).collect()) == brute(docs)
+
+
+def test_split_parts_cover_the_strings_of_a_unit():
+    texts = [(t or "").encode() for _, t in corpus(7)]
+    raw, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    at, key, left, right = sd.anchor_positions(raw, offsets)
+    strings = lambda k, p, lo, hi: {(int(k_), int(x)) for k_, p_, l_, r_ in zip(k, p, lo, hi, strict=True) for x in range(p_ - l_, p_ + r_ - sd.LENGTH + 1)}
+    for width in sd.SPLITS:
+        unit, part, p, lo, hi = sd.split(raw, key, at, left, right, width)
+        assert sorted(x for _, x in strings(unit, p, lo, hi)) == sorted(x for _, x in strings(np.arange(len(key)), at, left, right))
+        home = {}
+        for k, x in strings(part, p, lo, hi):  # equal strings have equal keys
+            assert home.setdefault(bytes(raw[x : x + sd.LENGTH]), k) == k
+
+
+def test_hot_passage_is_split(spark, monkeypatch):
+    monkeypatch.setattr(sd, "HOT", 30)
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8)))
+    line = " ".join(word() for _ in range(15))
+    docs = [(i, " ".join([*(word() for _ in range(r.randint(0, 40))), line[: r.choice([60, 96, 101, 200])], *(word() for _ in range(20))])) for i in range(250)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    assert len(sd.hot_anchors(df.select(F.col("doc_id").alias("rid"), "text"))) > 0
+    assert sorted(tuple(x) for x in sd.removal_digests(df).collect()) == brute(docs)
+
+
+def test_very_long_text(spark):
+    r = random.Random(10)
+    body = " ".join(str(r.randrange(10**6)) for _ in range(150_000))
+    docs = [(1, body), (2, body[500_000:700_000] + "end"), (3, "short")]
+    assert sorted(tuple(x) for x in sd.removal_digests(spark.createDataFrame(docs, "doc_id long, text string")).collect()) == brute(docs)
 
 
 def test_repeated_and_null_ids(spark):
