@@ -19,10 +19,13 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,16 +46,13 @@ def encoding(path: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def boundaries(text: str, pattern: str) -> tuple[list[int], list[int]]:
-    """Ends of the pre-tokens of ``text``, and those of them that are fit for a cut.
-
-    A pre-token that ends in white space is no place to cut: how a run of white space splits depends on
-    the character after it.
-    """
-    import regex
-
-    ends = [m.end() for m in regex.finditer(pattern, text)]
-    return ends, [e for e in ends if not text[e - 1].isspace()]
+def boundaries(text: str, pattern: str) -> list[int]:
+    """Ends of the pre-tokens of ``text``."""
+    found = regex.findall(pattern, text)
+    ends = list(accumulate(map(len, found)))
+    if ends and ends[-1] == len(text):
+        return ends
+    return [m.end() for m in regex.finditer(pattern, text)]  # a pattern that skips characters
 
 
 def chunks(n: int, size: int, overlap: int) -> list[tuple[int, int]]:
@@ -68,12 +68,14 @@ def chunks(n: int, size: int, overlap: int) -> list[tuple[int, int]]:
 def edges(text: str, start: int, pattern: str, overlap: int) -> tuple[list[int], list[int]]:
     """Boundaries of a chunk that starts at ``start`` in its first and its last overlap, as absolute positions.
 
-    At the end of a chunk, a boundary counts only if two more matches follow it: what touches the chunk's
-    end may go on beyond.
+    A pre-token that ends in white space is no place to cut: how a run of white space splits depends on the
+    character after it. At the end of a chunk, a boundary counts only if two more matches follow it: what
+    touches the chunk's end may go on beyond.
     """
-    ends, fit = boundaries(text, pattern)
-    limit = ends[-3] if len(ends) > 2 else -1
-    return [start + e for e in fit if e <= overlap], [start + e for e in fit if len(text) - overlap < e <= limit]
+    ends = boundaries(text, pattern)
+    head = ends[: bisect_right(ends, overlap)]
+    tail = ends[bisect_right(ends, len(text) - overlap) : max(0, len(ends) - 2)]
+    return [start + e for e in head if not text[e - 1].isspace()], [start + e for e in tail if not text[e - 1].isspace()]
 
 
 def stitch(heads: list[list[int]], tails: list[list[int]], rescan: Callable[[int, int], list[int]]) -> list[int]:
