@@ -76,8 +76,8 @@ def utf8_buffers(column: pa.Array):
     return raw[offsets[0] : offsets[-1]] if len(offsets) else raw, offsets - offsets[0]
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text, ...)`` -> all its columns and ``rid``, a unique number that orders the rows as doc_id does.
+def numbered(docs: DataFrame, name: str = "rid") -> DataFrame:
+    """``docs(doc_id, text, ...)`` -> all its columns and ``name``, a unique number that orders the rows as doc_id does.
 
     It is doc_id itself where that is unique and never null. Otherwise rows are sorted by doc_id (nulls
     first), text and the other columns and numbered: a row that repeats another is then a document of its
@@ -86,6 +86,6 @@ def numbered(docs: DataFrame) -> DataFrame:
     rows = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
     doubtful = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL")
     if doubtful.isEmpty():
-        return rows.withColumn("rid", F.col("doc_id"))
+        return rows.withColumn(name, F.col("doc_id"))
     others = [c for c in rows.columns if c not in ("doc_id", "text")]
-    return materialize(rows.orderBy("doc_id", "text", *others).withColumn("rid", F.monotonically_increasing_id()), "numbered")
+    return materialize(rows.orderBy("doc_id", "text", *others).withColumn(name, F.monotonically_increasing_id()), "numbered")

@@ -5,7 +5,9 @@ outside one of three blocks of bits (if three bits differ, a block that holds on
 with fewer, any). So each distinct fingerprint emits, for each block dropped, every variant within half
 the radius (one flipped bit) of what is left: 3 + 2 * 64 = 131 keys. Fingerprints that meet on a key are
 verified by their exact distance, and only a spanning forest of the verified links leaves the task, so a
-family of near copies gives rows in proportion to its members.
+family of near copies gives rows in proportion to its members. Where more than ``RUN_MOST`` meet on a key, the
+task passes them on and they are emitted anew with 16 blocks: fingerprints that then share a key agree in 60
+bits but for one, so at most 16 * 61 meet, and no task compares more.
 """
 
 from __future__ import annotations
@@ -21,9 +23,13 @@ from .components import connected_components, spanning_stars
 
 #: Bits of the three blocks; each is dropped in turn.
 BLOCKS = (range(0, 22), range(22, 43), range(43, 64))
+#: Blocks for fingerprints that meet with too many on a key of the first.
+FINE_BLOCKS = tuple(range(i, i + 4) for i in range(0, 64, 4))
+#: Fingerprints that a task compares all with all.
+RUN_MOST = 1024
 RADIUS = 3
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: Runs of equal keys up to this length are verified together, longer ones by blocks of this many rows.
+#: Runs of equal keys up to this length are verified many at a time, longer ones by blocks of this many rows.
 RUN = 64
 
 
@@ -66,13 +72,13 @@ def fingerprints(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
     return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, fp long")
 
 
-def _variants(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def _variants(batch: pa.RecordBatch, blocks) -> Iterator[pa.RecordBatch]:
     import numpy as np
 
     one = np.uint64(1)
     fps = batch.column(0).to_numpy().view(np.uint64)
     flips = []
-    for block in BLOCKS:
+    for block in blocks:
         mask = np.uint64(sum(1 << i for i in block))
         rest = [np.uint64(0), *(one << np.uint64(i) for i in range(64) if i not in block)]
         flips.append((~mask, np.array(rest, dtype=np.uint64)))
@@ -120,47 +126,74 @@ def _links(keys, fps, radius: int):
     return spanning_stars(pairs[0], pairs[1]) if pairs.size else None
 
 
-def _verify(radius: int):
+def _verify(radius: int, most: int):
+    """Rows (key, fp) sorted by key -> links (a, b, false); of runs of more than ``most`` rows, each as (fp, fp, true)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         release_memory()
         key, fp, size = [], [], 0
+        passed = None  # the key of the run that is passed on
+
+        def rows(found, hot: bool) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*(pa.array(x) for x in found), pa.array(np.full(len(found[0]), hot))], names=["a", "b", "hot"])
 
-        def flush(final: bool):
-            nonlocal key, fp, size
+        def flush(final: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal key, fp, size, passed
             k, f = np.concatenate(key), np.concatenate(fp)
-            cut = len(k) if final else int(np.searchsorted(k, k[-1]))  # the last run may go on in the next batch
-            found = _links(k[:cut], f[:cut].view(np.uint64), radius) if cut else None
+            if passed is not None:
+                n = int(np.searchsorted(k, passed, side="right"))
+                if n:
+                    yield rows((f[:n], f[:n]), True)
+                    k, f = k[n:], f[n:]
+            if len(k):
+                edge = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1], [True])))
+                length = np.diff(edge)
+                many = np.repeat(length > most, length)
+                if many.any():
+                    yield rows((f[many], f[many]), True)
+                    passed = k[-1] if many[-1] else None
+                    k, f = k[~many], f[~many]
+            cut = len(k) if final or not len(k) else int(np.searchsorted(k, k[-1]))  # the last run may go on in the next batch
+            if cut and (found := _links(k[:cut], f[:cut].view(np.uint64), radius)):
+                yield rows(found, False)
             key, fp, size = [k[cut:]], [f[cut:]], 0
-            return found
 
         for batch in batches:
             if batch.num_rows:
                 key.append(batch.column(0).to_numpy())
                 fp.append(batch.column(1).to_numpy())
                 size += batch.num_rows
-                if size >= 500_000 and (found := flush(False)):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "b"])
-        if key and (found := flush(True)):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "b"])
+                if size >= 500_000:
+                    yield from flush(False)
+        if key:
+            yield from flush(True)
         release_memory()
 
     return run
 
 
-def links(fps: DataFrame, radius: int = RADIUS, parts: int = 1) -> DataFrame:
+def links(fps: DataFrame, radius: int = RADIUS, parts: int = 1, most: int = RUN_MOST) -> DataFrame:
     """``fps(fp)`` distinct, emitted in ``parts`` tasks at least -> links ``(a, b)`` that connect just the fingerprints at ``radius`` or fewer bits."""
     if not 0 <= radius <= RADIUS:
         raise ValueError("the emitted balls cover a radius of 0 to 3")
+    parts = max(parts, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-    def emit(batches):
-        for batch in batches:
-            yield from _variants(batch)
+    def met(some: DataFrame, blocks, most: int) -> DataFrame:
+        def emit(batches):
+            for batch in batches:
+                yield from _variants(batch, blocks)
+
+        keys = some.select("fp").repartition(parts, "fp").mapInArrow(emit, "key long, fp long")
+        return materialize(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_verify(radius, most), "a long, b long, hot boolean"), "met")
 
-    keys = fps.select("fp").repartition(max(parts, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "fp").mapInArrow(emit, "key long, fp long")
-    met = keys.repartition("key").sortWithinPartitions("key")
-    return met.mapInArrow(_verify(radius), "a long, b long")
+    first = met(fps, BLOCKS, most)
+    found = first.where("NOT hot").select("a", "b")
+    many = first.where("hot").select(F.col("a").alias("fp")).distinct()
+    if first.where("hot").isEmpty():
+        return found
+    return found.unionByName(met(many, FINE_BLOCKS, 1 << 62).select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 3, radius: int = RADIUS) -> DataFrame:
@@ -180,14 +213,17 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, radius: int = RADIU
 
 # Near copies by shingle similarity: wide fingerprints, ball hashing on slices of them, exact verification.
 
-#: Bits of the first word in which a pair may differ before it is compared further (3.6 standard deviations
-#: above what a pair of similarity 0.8 differs in; unrelated pairs differ in 32 on average).
-FIRST_WORD_BITS = 20
-#: Rows of a run that are compared all with all. In longer ones the pairs are those of a minimum spanning tree
-#: by distance, which joins what any threshold of that distance would join, and each row's nearest few; rows with
-#: further pairs are noted, and those pairs follow once it is known which components are still apart.
-RUN_ALL, NEAREST = 8, 2
-#: Partners of a row, nearest first, up to which each later round compares it; the last one compares all that are left.
+#: Bits of the first word that are compared, and in how many a pair may differ before it is compared further (3.6
+#: standard deviations above what a pair of similarity 0.8 differs in; unrelated pairs differ in 29 on average). The
+#: other six bits of the word tell which bit of the slice was flipped for the key.
+FIRST_WORD, FIRST_WORD_BITS = 58, 19
+#: Rows of a run that are compared all with all. In a longer one each row is first compared with the nearest of a
+#: few leaders, rows far from all leaders before them; once it is known which components are still apart, their rows
+#: are compared all with all, in blocks dealt to many tasks.
+RUN_ALL, LEADERS, LEADER_BITS = 16, 16, 14
+#: Rows of a block.
+BLOCK_ROWS = 2048
+#: Partners of a row in a block, nearest first, up to which each later round compares it; the last one compares all.
 ROUNDS = (16, 256, None)
 #: 64-bit words of a wide fingerprint at least: with 512 bits, pairs below a similarity of about 0.68 never reach
 #: the comparison of texts.
@@ -258,13 +294,17 @@ def wide_fingerprints(docs: DataFrame, words: int, shingle_words: int) -> DataFr
 
 
 def _slice_variants(bits: int, count: int):
-    """Ball hashing on slices: rows (id, fp) -> (key, id, first word), a row for each slice and flipped bit."""
+    """Ball hashing on slices: rows (id, fp) -> (key, id, word), a row for each slice and flipped bit.
+
+    ``word`` has the first word's upper bits and, in its last six, 0 or one more than the flipped bit.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         flip = np.array([0, *(1 << i for i in range(bits))], dtype=np.int64)
         weight = 1 << np.arange(bits, dtype=np.int64)
+        flipped = np.arange(bits + 1, dtype=np.int64)
         for batch in batches:
             ids = batch.column(0).to_numpy()
             fps = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
@@ -274,7 +314,7 @@ def _slice_variants(bits: int, count: int):
                 for t in range(count):
                     own = spread[:, t * bits : (t + 1) * bits] @ weight
                     keys = ((own[:, None] ^ flip[None, :]) + (t << 48)).ravel()
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(ids[i : i + 2048], bits + 1)), pa.array(np.repeat(part[:, 0], bits + 1))], names=["key", "id", "word"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(ids[i : i + 2048], bits + 1)), pa.array(((part[:, 0] & ~63)[:, None] | flipped[None, :]).ravel())], names=["key", "id", "word"])
 
     return run
 
@@ -289,81 +329,119 @@ def _distinct_pairs(pairs):
     return found if found.size else None
 
 
-def spanning_tree(word):
-    """Edges (i, j) of a minimum spanning tree of the words by Hamming distance (Prim), in order of growth."""
-    import numpy as np
+def _meets_here(key, x, y):
+    """Whether a pair is this run's to compare: two rows within two bits of each other meet under several keys of a slice.
 
-    n = len(word)
-    best = np.bitwise_count(word ^ word[0]).astype(np.int16)
-    source = np.zeros(n, np.int64)
-    best[0] = 255
-    a, b = np.zeros(n - 1, np.int64), np.zeros(n - 1, np.int64)
-    for k in range(n - 1):
-        j = int(best.argmin())
-        a[k], b[k] = source[j], j
-        d = np.bitwise_count(word ^ word[j])
-        closer = (d < best) & (best < 255)
-        best[closer] = d[closer]
-        source[closer] = j
-        best[j] = 255
-    return a, b
-
-
-def _run_pairs(key, ids, word, skipped=None):
-    """Pairs (smaller id, larger id) of near first words within runs of equal keys.
-
-    To the list ``skipped`` go (keys, ids) of rows that have further pairs of near first words.
+    Rows of equal slices belong to the key that neither was flipped for, others to the smaller key of those
+    under which they meet. x and y are words with the flipped bit in the last six.
     """
     import numpy as np
 
+    fx, fy = (np.asarray(w & np.uint64(63)).astype(np.int64) for w in (x, y))
+    bit = lambda f: np.where(f > 0, np.int64(1) << np.maximum(f - 1, 0), 0)
+    return ((fx == 0) & (fy == 0)) | ((fx != fy) & (key < key ^ bit(fx) ^ bit(fy)))
+
+
+def _differ(x, y):
+    import numpy as np
+
+    return np.bitwise_count((x ^ y) >> np.uint64(64 - FIRST_WORD))
+
+
+def _run_pairs(key, ids, word):
+    """Pairs (smaller id, larger id) of near first words within runs of equal keys, all with all."""
+    import numpy as np
+
     edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
     length, starts = np.diff(edge), edge[:-1]
     pairs = []
-
-    def keep(x, y):
-        ok = np.bitwise_count(word[x] ^ word[y]) <= FIRST_WORD_BITS
-        pairs.append((ids[x[ok]], ids[y[ok]]))
-
-    for n in np.unique(length[(length > 1) & (length <= RUN_ALL)]).tolist():
+    for n in np.unique(length[length > 1]).tolist():
         at = starts[length == n]
         for shift in range(1, n):
             x = (at[:, None] + np.arange(n - shift)[None, :]).ravel()
-            keep(x, x + shift)
-    for s, n in zip(starts[length > RUN_ALL].tolist(), length[length > RUN_ALL].tolist(), strict=True):
-        own = np.arange(s, s + n)
-        a, b = spanning_tree(word[own])
-        x, y, within = [a], [b], np.zeros(n, np.int64)
-        for i in range(0, n, 512):
-            d = np.bitwise_count(word[own[i : i + 512]][:, None] ^ word[own][None, :])
-            within[i : i + 512] = (d <= FIRST_WORD_BITS).sum(axis=1) - 1
-            x.append(np.repeat(np.arange(i, i + len(d)), NEAREST + 1))
-            y.append(np.argpartition(d, NEAREST, axis=1)[:, : NEAREST + 1].ravel())
-        x, y = np.concatenate(x), np.concatenate(y)
-        keep(s + x, s + y)
-        if skipped is not None and within.any():
-            ok = (x != y) & (np.bitwise_count(word[s + x] ^ word[s + y]) <= FIRST_WORD_BITS)
-            low, high = np.divmod(np.unique((np.minimum(x, y) * n + np.maximum(x, y))[ok]), n)
-            more = own[within > np.bincount(low, minlength=n) + np.bincount(high, minlength=n)]
-            skipped.append((key[more], ids[more]))
+            y = x + shift
+            x, y = (z[_differ(word[x], word[y]) <= FIRST_WORD_BITS] for z in (x, y))
+            ok = _meets_here(key[x], word[x], word[y])
+            pairs.append((ids[x[ok]], ids[y[ok]]))
     return _distinct_pairs(pairs)
 
 
+class _LongRun:
+    """A run of more than ``RUN_ALL`` rows, of which only leaders are kept."""
+
+    def __init__(self, key: int):
+        import numpy as np
+
+        self.key, self.ids, self.words = key, np.zeros(0, np.int64), np.zeros(0, np.uint64)
+
+    def pairs(self, ids, word):
+        """(leader, row) of each row whose nearest leader is near; rows far from all become leaders while there is room."""
+        import numpy as np
+
+        rest = np.arange(len(ids))
+        out = []
+        while len(rest):
+            if len(self.ids):
+                d = _differ(word[rest][:, None], self.words[None, :])
+                near = d.argmin(axis=1)
+                least = d[np.arange(len(rest)), near]
+                settled = (least <= LEADER_BITS) | (len(self.ids) >= LEADERS)
+                ok = settled & (least <= FIRST_WORD_BITS)
+                i, j = rest[ok], near[ok]
+                mine = _meets_here(np.int64(self.key), word[i], self.words[j]) & (ids[i] != self.ids[j])
+                out.append((ids[i[mine]], self.ids[j[mine]]))
+                rest = rest[~settled]
+            if len(rest):
+                self.ids, self.words = np.append(self.ids, ids[rest[0]]), np.append(self.words, word[rest[0]])
+                rest = rest[1:]
+        return _distinct_pairs(out)
+
+
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, id, word) sorted by key -> pairs (a, b), whole runs at a time; (key, id, true) of rows with further pairs."""
+    """Rows (key, id, word) sorted by key -> pairs (a, b, -1); of long runs also each row that may have further pairs, as (key, id, flipped bit).
+
+    A long run passes through in bounded memory and in time proportional to its rows. Runs whose rows were all
+    flipped alike have no pairs of their own.
+    """
     import numpy as np
 
     release_memory()
     held, size = [], 0
+    long: _LongRun | None = None
+
+    def rows(a, b, flip) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(flip.astype(np.int32))], names=["a", "b", "flip"])
 
-    def flush(final: bool):
-        nonlocal held, size
+    def of_long(k, i, w) -> Iterator[pa.RecordBatch]:
+        if (found := long.pairs(i, w)) is not None:
+            yield rows(found[0], found[1], np.full(found.shape[1], -1))
+        yield rows(k, i, (w & np.uint64(63)).astype(np.int64))
+
+    def flush(final: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal held, size, long
         k, i, w = (np.concatenate(x) for x in zip(*held, strict=True))
-        end = len(k) if final else int(np.searchsorted(k, k[-1]))
-        held, size = [(k[end:], i[end:], w[end:])], 0
-        more = []
-        pairs = _run_pairs(k[:end], i[:end], w[:end].view(np.uint64), more) if end else None
-        for (a, b), skipped in [(x, True) for x in more] + ([(pairs, False)] if pairs is not None else []):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), skipped))], names=["a", "b", "skipped"])
+        w = w.view(np.uint64)
+        if long is not None:
+            n = int(np.searchsorted(k, long.key, side="right"))
+            if n:
+                yield from of_long(k[:n], i[:n], w[:n])
+                k, i, w = k[n:], i[n:], w[n:]
+            if len(k):
+                long = None
+        if len(k):
+            edge = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1], [True])))
+            length = np.diff(edge)
+            many = np.repeat(length > RUN_ALL, length)
+            for s, n in zip(edge[:-1][length > RUN_ALL].tolist(), length[length > RUN_ALL].tolist(), strict=True):
+                long = _LongRun(int(k[s]))
+                yield from of_long(k[s : s + n], i[s : s + n], w[s : s + n])
+            if not many[-1]:
+                long = None
+            k, i, w = k[~many], i[~many], w[~many]
+        end = len(k) if final or long is not None or not len(k) else int(np.searchsorted(k, k[-1]))
+        held, size = [(k[end:], i[end:], w[end:].view(np.int64))], 0
+        if end and (found := _run_pairs(k[:end], i[:end], w[:end])) is not None:
+            yield rows(found[0], found[1], np.full(found.shape[1], -1))
 
     for batch in batches:
         if batch.num_rows:
@@ -377,66 +455,53 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _apart(low: int, high: int | None, limit: int, similarity: float):
-    """Rows (key, id, component, n, fp) sorted by key -> pairs (a, b) of a run in different components.
+    """Two blocks of a run, rows (key, id, flip, component, n, fp, left) -> pairs (a, b) in different components.
 
-    Of each row's partners in its run, in order of the whole fingerprints' distance, those from ``low`` up to
-    ``high``. A row (id, id) says that partners in other components follow.
+    ``left`` says which of the two blocks a row is of (both, if they are one). Of each left row's partners, in
+    order of the whole fingerprints' distance, those from ``low`` up to ``high``. A row (id, id) says that
+    partners in other components follow.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(table: pa.Table) -> pa.Table:
         import numpy as np
 
-        release_memory()
-        held, size = [], 0
-
-        def of_run(ids, comp, n, fps):
-            for i in range(0, len(ids), 256):
-                mine = slice(i, i + 256)
-                d = np.zeros((len(ids[mine]), len(ids)), np.int16)
-                for w in range(fps.shape[1]):
-                    d += np.bitwise_count(fps[mine, w][:, None] ^ fps[:, w][None, :])
-                fits = np.minimum(n[mine][:, None], n[None, :]) >= similarity * np.maximum(n[mine][:, None], n[None, :])
-                x, y = np.nonzero((d <= limit) & fits & (ids[mine][:, None] != ids[None, :]))
-                order = np.lexsort((ids[y], d[x, y], x))
-                x, y = x[order], y[order]
-                rank = np.arange(len(x)) - np.searchsorted(x, x)
-                x += i
-                other = comp[x] != comp[y]
-                late = other & (rank >= high) if high else np.zeros(len(x), bool)
-                now = other & (rank >= low) & ~late
-                a, b = np.minimum(ids[x], ids[y])[now], np.maximum(ids[x], ids[y])[now]
-                if late.any():
-                    a, b = np.append(a, ids[x[late][0]]), np.append(b, ids[x[late][0]])
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-        def flush(final: bool):
-            nonlocal held, size
-            key, ids, comp, n, fps = (np.concatenate(x) for x in zip(*held, strict=True))
-            end = len(key) if final else int(np.searchsorted(key, key[-1]))
-            held, size = [tuple(x[end:] for x in (key, ids, comp, n, fps))], 0
-            edge = np.flatnonzero(np.concatenate(([True], key[1:end] != key[: end - 1], [True]))) if end else []
-            for s, e in zip(edge[:-1], edge[1:], strict=True):
-                yield from of_run(ids[s:e], comp[s:e], n[s:e], fps[s:e])
-
-        for batch in batches:
-            if batch.num_rows:
-                held.append((*(batch.column(i).to_numpy() for i in range(4)), batch.column(4).flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)))
-                size += batch.num_rows
-                if size >= 50_000:
-                    yield from flush(False)
-        if held:
-            yield from flush(True)
-        release_memory()
+        key = table.column("key").to_numpy()
+        ids, flip, comp, n, side = (table.column(c).to_numpy() for c in ("id", "flip", "component", "n", "side"))
+        fps = table.column("fp").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        out = []
+        flip = flip.astype(np.uint64)
+        for i in range(0, len(left), 256):
+            mine = left[i : i + 256]
+            d = np.zeros((len(mine), len(right)), np.int16)
+            for w in range(fps.shape[1]):
+                d += np.bitwise_count(fps[mine, w][:, None] ^ fps[right, w][None, :])
+            fits = np.minimum(n[mine][:, None], n[right][None, :]) >= similarity * np.maximum(n[mine][:, None], n[right][None, :])
+            x, y = np.nonzero((d <= limit) & fits & (ids[mine][:, None] != ids[right][None, :]))
+            ok = _meets_here(key[0], flip[mine[x]], flip[right[y]])
+            x, y = x[ok], y[ok]
+            order = np.lexsort((ids[right[y]], d[x, y], x))
+            x, y = x[order], y[order]
+            rank = np.arange(len(x)) - np.searchsorted(x, x)
+            x, y = mine[x], right[y]
+            other = comp[x] != comp[y]
+            late = other & (rank >= high) if high else np.zeros(len(x), bool)
+            now = other & (rank >= low) & ~late
+            out.append((np.minimum(ids[x], ids[y])[now], np.maximum(ids[x], ids[y])[now]))
+            if late.any():
+                out.append((ids[x[late][:1]], ids[x[late][:1]]))
+        a, b = (np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
 def _with_skipped(links: DataFrame, skipped: DataFrame, tested: DataFrame, wide: DataFrame, rows: DataFrame, shingle_words: int, similarity: float, limit: int) -> DataFrame:
-    """``links(a, b)`` and those among the skipped pairs of long runs that join further components.
+    """``links(a, b)`` and those among the further pairs of long runs that join further components.
 
-    ``skipped(key, id)`` has the rows of such pairs, ``tested(a, b)`` the pairs whose texts were compared or
-    joined already. Each round compares the nearest partners that are still in different components, and
+    ``skipped(key, id, flip)`` has the rows of long runs, ``tested(a, b)`` the pairs whose texts were compared
+    or joined already. Runs within one component are left; of the others, each two blocks of rows meet in a
+    task of their own. Each round compares the nearest partners that are still in different components, and
     the last one all of them, so no pair that met under a key is left out.
     """
     low = 0
@@ -445,13 +510,18 @@ def _with_skipped(links: DataFrame, skipped: DataFrame, tested: DataFrame, wide:
             break
         comp = connected_components(links).select(F.col("node").alias("id"), "component")
         placed = materialize(skipped.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id")), "skipped")
-        open_ = placed.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p < q").select("key")
-        placed = materialize(placed.join(open_, "key", "left_semi").select("key", "id", "component"), "skipped-open")
-        skipped = placed.select("key", "id")
+        # rows flipped alike have no pair here, nor have rows of one component
+        kinds = placed.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.min("flip").alias("f"), F.max("flip").alias("g"), F.count("*").alias("rows"))
+        open_ = kinds.where("p < q AND (f < g OR f = 0)").select("key", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("blocks"))
+        placed = materialize(placed.join(open_, "key").select("key", "id", "flip", "component", "blocks"), "skipped-open")
+        skipped = placed.select("key", "id", "flip")
         if placed.isEmpty():
             break
-        runs = placed.join(wide, "id").select("key", "id", "component", "n", "fp").repartition("key").sortWithinPartitions("key")
-        found = materialize(runs.mapInArrow(_apart(low, high, limit, similarity), "a long, b long").distinct(), "apart")
+        own = placed.join(wide, "id").select("key", "id", "flip", "component", "n", "fp", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("own"))
+        # a row meets each block once: (own, other) as left or right, (own, own) as both
+        other = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = other.select("key", "id", "flip", "component", "n", "fp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") < F.col("other"), 0).when(F.col("own") > F.col("other"), 1).otherwise(2).alias("side"))
+        found = materialize(dealt.groupBy("key", "i", "j").applyInArrow(_apart(low, high, limit, similarity), "a long, b long").distinct(), "apart")
         pairs = materialize(found.where("a <> b").join(tested, ["a", "b"], "left_anti"), "apart-new")
         links = materialize(links.unionByName(_verified(pairs, rows, shingle_words, similarity)), "links")
         if found.where("a = b").isEmpty():
@@ -490,9 +560,11 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle_words: int
     Links are pairs whose sets of word shingles have that Jaccard similarity, found by ball hashing on
     slices of a wide SimHash and verified on the texts; a group's id is its smallest doc_id. Each document
     is first compared with its nearest candidate, then with those that this has not joined to it, at last with
-    all it meets in long runs and is still apart from. Families that join cost comparisons in proportion to
-    their members; only documents close to many, but similar to none, are compared with each. Equal wide fingerprints (all
-    blank texts, for one) count as copies. Documents in no group and null ids are absent.
+    all it meets in long runs and is still apart from. A family whose members are similar to one of a few
+    leaders costs comparisons in proportion to its members; documents that share a key with many, but are not
+    joined to them, are compared with each by their wide fingerprints, in blocks dealt to many tasks. Equal
+    wide fingerprints (all blank texts, for one) count as copies. Null texts count as empty; documents in no
+    group and null ids are absent; other columns are ignored; an empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
     n = rows.count()
@@ -503,9 +575,9 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle_words: int
     # emission multiplies rows: deal them out by number, not by their few bytes
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // 20_000)
     keys = same.select("id", "fp").repartition(parts, "id").mapInArrow(_slice_variants(bits, count), "key long, id long, word long")
-    met = materialize(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_candidates, "a long, b long, skipped boolean").distinct(), "met")
+    met = materialize(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_candidates, "a long, b long, flip int").distinct(), "met")
     limit = _most_bits(words * 64, similarity)
-    pairs = materialize(_within(met.where("NOT skipped").select("a", "b"), same, limit, similarity), "near")
+    pairs = materialize(_within(met.where("flip < 0").select("a", "b"), same, limit, similarity), "near")
     nearest = pairs.groupBy("b").agg(F.min(F.struct("d", "a")).alias("m")).select("m.a", "b")
     first = materialize(_verified(nearest, rows, shingle_words, similarity), "links")
     joined = materialize(connected_components(first), "groups")
@@ -515,7 +587,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle_words: int
     rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     copies = fps.join(same.select("fp", "id"), "fp").where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
     near = materialize(first.unionByName(_verified(rest, rows, shingle_words, similarity)), "links")
-    skipped = met.where("skipped").select(F.col("a").alias("key"), F.col("b").alias("id"))
+    skipped = met.where("flip >= 0").select(F.col("a").alias("key"), F.col("b").alias("id"), "flip")
     found = _with_skipped(near, skipped, pairs.select("a", "b"), same, rows, shingle_words, similarity, limit).unionByName(copies)
     return connected_components(found).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
 

@@ -687,14 +687,23 @@ def inner(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _free(name: str, taken: list[str]) -> str:
+    """``name``, or one like it that no column has."""
+    while name in taken:
+        name += "_"
+    return name
+
+
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> the same columns, repeated passages cut from the texts, a row for each input row.
 
     Rows that repeat a doc_id, or have none, are documents of their own in the order of ``numbered``: the
-    first keeps its text, later ones lose what they repeat. Null texts become empty.
+    first keeps its text, later ones lose what they repeat. Null texts become empty; other columns keep their
+    names and values, whatever they are called; an empty table gives no rows.
     """
-    rows = numbered(docs).fillna("", "text")
-    spans = removed_spans(rows)
+    number, found = (_free(n, docs.columns) for n in ("rid", "spans"))
+    rows = numbered(docs, number).fillna("", "text")
+    spans = removed_spans(rows.select(F.col(number).alias("rid"), "text")).toDF(number, found)
     at = docs.columns.index("text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -706,5 +715,5 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         columns[at] = pa.array(out, pa.string())
         return pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    joined = rows.join(spans, "rid", "left").select(*docs.columns, "spans")
+    joined = rows.join(spans, number, "left").select(*docs.columns, found)
     return map_arrow(joined, run, rows.select(docs.columns).schema)

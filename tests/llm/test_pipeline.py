@@ -81,40 +81,88 @@ def test_stages(spark, tmp_path):
     assert [r.asDict() for r in out[3].orderBy("sequence_id", "offset").collect()] == [r.asDict() for r in cp.run(spark, str(tmp_path)).orderBy("sequence_id", "offset").collect()]
 
 
-def test_runs_keep_all_groups_of_the_distance():
+def test_pairs_of_a_slice_belong_to_one_key():
+    import numpy as np
+
+    bits = 9
+    values = np.random.default_rng(1).integers(0, 1 << bits, 60)
+    rows = [(int(v) ^ (1 << f >> 1), i, f) for i, v in enumerate(values) for f in range(bits + 1)]
+    held = {}
+    for k, i, f in rows:
+        held.setdefault(k, []).append((i, f))
+    seen = {}
+    for k, own in held.items():
+        for n, (i, f) in enumerate(own):
+            for j, g in own[:n]:
+                if i != j and simhash._meets_here(np.int64(k), np.uint64(f), np.uint64(g)):
+                    seen[(min(i, j), max(i, j))] = seen.get((min(i, j), max(i, j)), 0) + 1
+    want = {(j, i) for i in range(60) for j in range(i) if int(values[i] ^ values[j]).bit_count() <= 2}
+    assert set(seen) == want and set(seen.values()) == {1}
+
+
+def run_candidates(key, ids, word, size=1000):
+    import pyarrow as pa
+
+    batches = (pa.RecordBatch.from_arrays([pa.array(x[i : i + size]) for x in (key, ids, word.view("i8"))], names=["key", "id", "word"]) for i in range(0, len(key), size))
+    out = [b for b in simhash._candidates(batches)]
+    rows = [r for b in out for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    return {r[:2] for r in rows if r[2] < 0}, {r for r in rows if r[2] >= 0}
+
+
+def test_short_runs_give_all_pairs_and_long_ones_their_rows(monkeypatch):
     import numpy as np
 
     r = np.random.default_rng(3)
-    key = np.sort(r.integers(0, 4, 600))
-    ids = np.arange(600) * 7
-    word = r.integers(0, 1 << 62, 40).astype(np.uint64)[r.integers(0, 40, 600)] ^ (np.uint64(1) << r.integers(0, 64, 600).astype(np.uint64)) ^ (np.uint64(1) << r.integers(0, 64, 600).astype(np.uint64))
-    pairs = simhash._run_pairs(key, ids, word)
-    got = set(zip(*pairs.tolist(), strict=True))
-    close = {}
-    for i in range(600):
-        for j in range(i + 1, 600):
-            if key[i] == key[j] and (d := int(word[i] ^ word[j]).bit_count()) <= simhash.FIRST_WORD_BITS:
-                close[(ids[i], ids[j])] = d
-    assert got <= set(close) and len(got) < len(close)
-
-    def groups(links, most):
-        comp = {i: i for i in ids.tolist()}
-
-        def find(x):
-            while comp[x] != x:
-                x = comp[x]
-            return x
-
-        for a, b in links:
-            if close[(a, b)] <= most:
+    key = np.sort(np.concatenate([np.arange(100).repeat(3), np.full(400, 50)]))
+    ids = r.permutation(len(key))
+    word = (r.integers(0, 1 << 62, 8).astype(np.uint64)[r.integers(0, 8, len(key))] ^ (np.uint64(1) << r.integers(8, 63, len(key)).astype(np.uint64))) & ~np.uint64(63)
+    for size in (7, 1000):
+        pairs, rows = run_candidates(key, ids, word, size)
+        for i in range(len(key)):
+            for j in range(i):
+                if key[i] == key[j] != 50 and int(word[i] ^ word[j]).bit_count() <= simhash.FIRST_WORD_BITS:
+                    assert (min(ids[i], ids[j]), max(ids[i], ids[j])) in pairs
+        assert {(k, i) for k, i, _ in rows} == {(50, int(i)) for i in ids[key == 50]}
+        long = {p for p in pairs if set(p) <= set(ids[key == 50].tolist())}
+        assert 380 <= len(long) <= 400  # each row with its leader, one for each of the eight kinds
+
+
+def test_long_run_takes_time_in_proportion_to_its_rows():
+    import time
+
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    took = []
+    for n in (100_000, 400_000):
+        word = (np.uint64(0x1234567890ABCDEF) ^ (np.uint64(1) << r.integers(8, 63, n).astype(np.uint64))) & ~np.uint64(63)
+        began = time.perf_counter()
+        pairs, rows = run_candidates(np.zeros(n, np.int64), np.arange(n), word, 10_000)
+        took.append(time.perf_counter() - began)
+        assert len(rows) == n and len(pairs) == n - 1
+    assert took[1] < 12 * took[0]
+
+
+def test_blocks_of_a_long_run_find_what_brute_force_finds(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "RUN_ALL", 2)
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 50)
+    r = random.Random(17)
+    words = [f"w{i}" for i in range(150)]
+    docs = [(i, " ".join([*words[(a := r.randint(0, 60)) : a + r.randint(80, 88)], *(f"o{i}x{k}" for k in range(r.randint(4, 12)))])) for i in range(300)]
+    comp = {d: d for d, _ in docs}
+
+    def find(x):
+        while comp[x] != x:
+            x = comp[x]
+        return x
+
+    for i, (a, t) in enumerate(docs):
+        for b, u in docs[:i]:
+            if jaccard(t, u) >= 0.8:
                 x, y = find(a), find(b)
                 comp[max(x, y)] = min(x, y)
-        return [find(i) for i in ids.tolist()]
-
-    for most in (3, 8, 14, 20):
-        assert groups(got, most) == groups(close, most)
-    few = simhash._run_pairs(key[:5] * 0, ids[:5], word[:5] * np.uint64(0))
-    assert len(few[0]) == 10
+    got = {x.doc_id: x.component_id for x in simhash.similar_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert sum(got.get(d, d) != find(d) for d, _ in docs) <= 6  # a pair just at 0.8 may never meet under a key
 
 
 def test_large_family_around_the_threshold_matches_brute_force(spark):
@@ -142,17 +190,6 @@ def test_large_family_around_the_threshold_matches_brute_force(spark):
     assert len(want) > 500 and len(wrong) <= 10  # a pair just at 0.8 may never meet under a key
 
 
-def test_runs_tell_which_rows_have_further_pairs():
-    import numpy as np
-
-    word = np.array([0] * 12 + [(1 << 63) - 1] * 2, np.uint64) ^ np.arange(14, dtype=np.uint64)
-    skipped = []
-    pairs = simhash._run_pairs(np.zeros(14, np.int64), np.arange(14), word, skipped)
-    given = set(zip(*pairs.tolist(), strict=True))
-    missing = {i for i in range(12) for j in range(12) if i != j and (min(i, j), max(i, j)) not in given}
-    assert missing and {int(i) for _, ids in skipped for i in ids} == missing
-
-
 def test_repeated_rows_and_null_ids(spark):
     r = random.Random(5)
     text = lambda: " ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(40))
@@ -165,3 +202,22 @@ def test_repeated_rows_and_null_ids(spark):
     assert sorted(near, key=key) == sorted([rows[i] for i in (0, 2, 3, 6, 7, 8)], key=key)
     cut = [tuple(x)[:2] for x in cp.repeated_passages(spark, df, "").collect()]
     assert sorted(cut, key=key) == sorted([(1, a), (1, ""), (1, b), (None, c), (None, ""), (2, ""), (3, ""), (None, "short"), (4, d)], key=key)
+
+
+def test_stages_on_empty_tables_and_extra_columns(spark, tmp_path):
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    names = ["rid", "spans", "ids", "deal", "x", "quality", "quality_score", "text_a", "key", "found"]
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    empty = spark.createDataFrame([], columns)
+    full = spark.createDataFrame([(1, "some words of one text " * 9, "en", "s", 3), (2, None, None, None, None), (None, "other words " * 20, "en", "s", 1)], columns)
+    for _, stage in cp.STAGES:
+        assert stage(spark, empty, str(tmp_path)).collect() == []
+    for _, stage in cp.STAGES[1:3]:
+        plain = stage(spark, full, str(tmp_path))
+        more = full
+        for n in names:
+            more = more.withColumn(n, F.lit("clash"))
+        wide = stage(spark, more, str(tmp_path))
+        assert wide.columns == more.columns
+        assert sorted(map(str, wide.select(full.columns).collect())) == sorted(map(str, plain.collect()))

@@ -103,3 +103,30 @@ def test_large_run_is_exact():
 
 def test_empty(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_long_runs_are_passed_on_and_split(spark):
+    from ledgermesh.llm.components import connected_components
+
+    r = random.Random(12)
+    base = r.getrandbits(64)
+    fps = {base}
+    while len(fps) < 500:  # bits that differ lie in one block, so all meet on one key
+        y = base
+        for b in r.sample(range(22), r.randint(1, 9)):
+            y ^= 1 << b
+        fps.add(y)
+    fps = sorted(f - (1 << 64) if f >> 63 else f for f in fps)
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    comps = [dict(map(tuple, connected_components(simhash.links(df, most=m)).collect())) for m in (20, 10_000)]
+    assert comps[0] == comps[1] and comps[0]
+
+
+def test_fine_blocks_bound_a_run():
+    assert sorted(b for block in simhash.FINE_BLOCKS for b in block) == list(range(64))
+    assert 16 * 61 <= simhash.RUN_MOST
+
+
+def test_very_long_text(spark):
+    text = " ".join(str(i % 977) for i in range(400_000))
+    assert sorted(tuple(x) for x in simhash.near_duplicates(spark.createDataFrame([(1, text), (2, text + " end")], "doc_id long, text string")).collect()) == brute([(1, text), (2, text + " end")])
