@@ -11,9 +11,12 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where none is set, as in local tests."""
+    """``spark.checkpoint.dir``; where none is set, a temporary folder for a local master, whose tasks all see it, and an error else."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="ledgermesh-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
