@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from ..constants import HONORIFIC, LEET_FROM, LEET_TO, LEGAL, LEGAL_GLUED, NAME_CANON, STOP
 
-#: Legal forms that one word is stripped of at most.
-GLUED_ROUNDS = 8
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -57,11 +55,14 @@ def singular(token: Column) -> Column:
 
 
 def strip_glued(text: Column, least: int) -> Column:
-    """Without the legal forms glued to its end, as long as ``least`` characters are left before each."""
+    """Without the legal forms glued to its end, the longest first, as long as ``least`` characters are left before each.
+
+    A form has three letters or more, so a word is stripped no more often than its length allows.
+    """
     pattern = rf"^(.{{{least},}}?)(?:{'|'.join(LEGAL_GLUED)})$"
-    for _ in range(GLUED_ROUNDS):
-        text = F.regexp_replace(text, pattern, "$1")
-    return text
+    rounds = F.sequence(F.lit(0), F.floor(F.length(text) / min(map(len, LEGAL_GLUED))).cast("int"))
+    stripped = F.aggregate(rounds, text, lambda t, _: F.regexp_replace(t, pattern, "$1"))
+    return F.when(text.rlike(pattern), stripped).otherwise(text)
 
 
 def unglue_legal(token: Column) -> Column:
