@@ -28,8 +28,8 @@ def keyed_records(records: DataFrame, frequencies_of: DataFrame | None = None, *
 
 
 def sampled(records: DataFrame, fraction: float) -> DataFrame:
-    """Reference records of a sample by hash of their id; vendors all stay."""
-    keep = F.pmod(F.xxhash64("entity_id"), F.lit(10_000)) < int(fraction * 10_000)
+    """Reference records of a sample by hash of their id, one that any engine has; vendors all stay."""
+    keep = F.conv(F.left(F.md5("entity_id"), F.lit(8)), 16, 10).cast("long") % 10_000 < int(fraction * 10_000)
     return records.where((F.col("source") != 1) | keep)
 
 

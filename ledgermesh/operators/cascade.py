@@ -36,27 +36,34 @@ def with_siblings(kept: DataFrame, vendors: DataFrame, close: float = 90.0) -> D
 
     The self join is on the reference id, so a record gives at most k * (k - 1) pairs.
     """
-    text = vendors.select(F.col("entity_id").alias("cand_id"), F.coalesce("name_norm", F.lit("")).alias("n"), F.coalesce("address_norm", F.lit("")).alias("a"))
-    s = kept.select("s1_id", "cand_id", "p1", "rk").join(text, "cand_id")
-    other = s.select("s1_id", F.col("cand_id").alias("other"), F.col("p1").alias("pb"), F.col("rk").alias("rkb"), F.col("n").alias("nb"), F.col("a").alias("ab"))
-    pairs = s.join(other, "s1_id").where("cand_id <> other")
-    pairs = pairs.withColumn("ns", token_set("n", "nb")).withColumn("_as", token_set("a", "ab")).withColumn("as_", F.when((F.col("a") != "") & (F.col("ab") != ""), F.col("_as")))
-    nearest = F.min_by(F.struct("ns", "as_", "pb"), F.struct("rkb", "other")).alias("top")
-    agg = pairs.groupBy("s1_id", "cand_id").agg(
-        F.max(F.col("pb") * F.col("ns") / 100).alias("sib_support_n"), F.max(F.col("pb") * F.coalesce("as_", F.lit(0.0)) / 100).alias("sib_support_a"), F.max("ns").alias("sib_max_n"),
-        F.sum(F.when(F.col("ns") >= close, 1.0).otherwise(0.0)).alias("sib_n_close"), nearest,
+    texts = vendors.select(F.col("entity_id").alias("cand_id"), F.struct(F.coalesce("name_norm", F.lit("")).alias("name"), F.coalesce("address_norm", F.lit("")).alias("address")).alias("of"))
+    members = kept.select("s1_id", "cand_id", F.col("p1").alias("chance"), "rk").join(texts, "cand_id")
+    mine, theirs = members.select("s1_id", "cand_id", "of").alias("mine"), members.alias("theirs")
+    met = mine.join(theirs, (F.col("mine.s1_id") == F.col("theirs.s1_id")) & (F.col("mine.cand_id") != F.col("theirs.cand_id")))
+    addressed = (F.col("mine.of.address") != "") & (F.col("theirs.of.address") != "")
+    likeness = met.select(
+        "mine.s1_id", "mine.cand_id", "theirs.chance", F.struct("theirs.rk", "theirs.cand_id").alias("order"), addressed.alias("addressed"),
+        token_set("mine.of.name", "theirs.of.name").alias("by_name"), token_set("mine.of.address", "theirs.of.address").alias("any_address"),
+    ).withColumn("by_address", F.when(F.col("addressed"), F.col("any_address")))
+    first = F.min_by(F.struct("by_name", "by_address", "chance"), "order")
+    support = lambda score: F.max(F.col("chance") * score / 100)
+    summed = likeness.groupBy("s1_id", "cand_id").agg(
+        support(F.col("by_name")).alias("sib_support_n"), support(F.coalesce("by_address", F.lit(0.0))).alias("sib_support_a"), first.alias("first"), F.max("by_name").alias("sib_max_n"),
+        F.sum((F.col("by_name") >= close).cast("double")).alias("sib_n_close"),
     )
-    agg = agg.select("s1_id", "cand_id", "sib_support_n", "sib_support_a", F.col("top.ns").alias("sib_top_n"), F.col("top.as_").alias("sib_top_a"), "sib_max_n", "sib_n_close", F.col("top.pb").alias("sib_top_p"))
-    return kept.join(agg, ["s1_id", "cand_id"], "left")
+    shown = summed.select("s1_id", "cand_id", "sib_support_n", "sib_support_a", F.col("first.by_name").alias("sib_top_n"), F.col("first.by_address").alias("sib_top_a"), "sib_max_n", "sib_n_close", F.col("first.chance").alias("sib_top_p"))
+    return kept.join(shown, ["s1_id", "cand_id"], "left")
 
 
 def evaluate_grid(predictions: DataFrame, truth: DataFrame, reference: DataFrame, ks=(3, 5, 8, 10, 15, 20, 30), epss=(0.0, 0.005, 0.02)) -> DataFrame:
-    """A row for each (K, eps): pairs, pairs for each record, recall, recall lost, reduction."""
-    grid = predictions.sparkSession.createDataFrame([(k, e) for k in ks for e in epss], "k int, eps double")
+    """A row for each (K, eps): pairs, pairs for each record, recall, recall lost, reduction; one aggregate counts all settings."""
+    settings = [(k, e) for k in ks for e in epss]
     placed = labelled(ranked(predictions, "p"), truth).select("p", "rk", "y")
-    kept = placed.crossJoin(F.broadcast(grid)).where((F.col("rk") <= F.col("k")) & (F.col("p") >= F.col("eps"))).groupBy("k", "eps").agg(F.count("*").alias("pairs"), F.count_if("y").alias("tp"))
-    base = placed.agg(F.count("*").alias("base"), F.count_if("y").alias("base_tp")).crossJoin(truth.agg(F.count("*").alias("n_gt"))).crossJoin(reference.agg(F.count("*").alias("n_s1")))
-    out = grid.join(kept, ["k", "eps"], "left").fillna(0, ["pairs", "tp"]).crossJoin(base)
+    within = lambda k, e: (F.col("rk") <= k) & (F.col("p") >= e)
+    counts = [c for i, (k, e) in enumerate(settings) for c in (F.count_if(within(k, e)).alias(f"n{i}"), F.count_if(within(k, e) & F.col("y")).alias(f"tp{i}"))]
+    one = placed.agg(F.count("*").alias("base"), F.count_if("y").alias("base_tp"), *counts).crossJoin(truth.agg(F.count("*").alias("n_gt"))).crossJoin(reference.agg(F.count("*").alias("n_s1")))
+    rows = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(float(e)).alias("eps"), F.col(f"n{i}").alias("pairs"), F.col(f"tp{i}").alias("tp")) for i, (k, e) in enumerate(settings)))
+    out = one.select("base", "base_tp", "n_gt", "n_s1", F.inline(rows))
     return out.select(
         "k", "eps", "pairs", F.round(F.col("pairs") / F.col("n_s1"), 4).alias("per_s1"), percent(F.col("tp"), F.col("n_gt")).alias("recall"), percent(F.col("base_tp") - F.col("tp"), F.col("n_gt")).alias("lost"),
         F.round(F.col("base") / F.greatest("pairs", F.lit(1)), 1).alias("reduction"),

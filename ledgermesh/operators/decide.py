@@ -27,29 +27,38 @@ def coarse_grid() -> list[tuple[bool, float, float]]:
 
 
 def fine_grid(one_owner: bool, t0: float, tb0: float) -> list[tuple[bool, float, float]]:
-    """Around the coarse optimum; t_best never above t."""
+    """Around the coarse optimum; t_best never above t nor, but for t itself, below 0.05."""
     out = []
     for i in range(-4, 5):
         t = round(t0 + i * 0.02, 4)
-        near = sorted({round(tb0 + j * 0.05, 4) for j in range(-2, 3)} | {t})
+        near = sorted({max(round(tb0 + j * 0.05, 4), 0.05) for j in range(-2, 3)} | {t})
         out += [(one_owner, t, tb) for tb in near if tb <= t]
     return out
 
 
-def grid_scores(predictions: DataFrame, truth: DataFrame, reference: DataFrame, grid: list[tuple[bool, float, float]]) -> DataFrame:
-    """Macro F0.5 of every setting, from one ranked table crossed with the grid."""
+def grid_scores(predictions: DataFrame, truth: DataFrame, reference: DataFrame, grid: list[tuple[bool, float, float]], digits: int | None = 6) -> DataFrame:
+    """Macro F0.5 of every setting, from one ranked table crossed with the grid.
+
+    Pairs that no setting accepts go first, and only settings with one owner look at owners.
+    """
     table = [(i, *g) for i, g in enumerate(grid)]
     settings = predictions.sparkSession.createDataFrame(table, "setting int, one_owner boolean, t double, t_best double")
-    placed = ranked(predictions, "p").crossJoin(F.broadcast(settings))  # a few dozen rows
+    least, least_best = min(g[1] for g in grid), min(g[2] for g in grid)
+    placed = ranked(predictions, "p").where((F.col("p") >= least) | ((F.col("rk") == 1) & (F.col("p") >= least_best)))
+    placed = placed.crossJoin(F.broadcast(settings))  # a few dozen rows
     chosen = placed.where((F.col("p") >= F.col("t")) | ((F.col("rk") == 1) & (F.col("p") >= F.col("t_best"))))
     owner = F.row_number().over(Window.partitionBy("setting", "cand_id").orderBy(F.desc("p"), "s1_id"))
-    chosen = chosen.withColumn("place", owner).where(~F.col("one_owner") | (F.col("place") == 1)).select("setting", "s1_id", "cand_id")
-    return score_groups(chosen, settings, "setting", truth, reference).select("setting", "one_owner", "t", "t_best", "pairs", "macro_f05")
+    columns = ("setting", "s1_id", "cand_id")
+    owned = chosen.where("one_owner").withColumn("place", owner).where("place = 1").select(*columns)
+    parts = [chosen.where("NOT one_owner").select(*columns)] if not all(g[0] for g in grid) else []
+    parts += [owned] if any(g[0] for g in grid) else []
+    chosen = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return score_groups(chosen, settings, "setting", truth, reference, digits).select("setting", "one_owner", "t", "t_best", "pairs", "macro_f05")
 
 
 def tune(predictions: DataFrame, truth: DataFrame, reference: DataFrame) -> tuple[bool, float, float]:
     """Best setting: coarse grid, then a fine one around it; the first of equal scores wins."""
-    first = lambda grid: grid_scores(predictions, truth, reference, grid).orderBy(F.desc("macro_f05"), "setting").first()
+    first = lambda grid: grid_scores(predictions, truth, reference, grid, None).orderBy(F.desc("macro_f05"), "setting").first()
     a = first(coarse_grid())
     b = first(fine_grid(a["one_owner"], a["t"], a["t_best"]))
     best = b if b is not None and b["macro_f05"] > a["macro_f05"] else a

@@ -86,7 +86,8 @@ def recall_by_country(pairs: DataFrame, truth: DataFrame, reference: DataFrame)
     recall = found.groupBy("country").agg(F.count("*").alias("true_pairs"), F.count("hit").alias("hits"))
     sizes = candidate_counts(pairs, reference).groupBy("country").agg(F.count("*").alias("n_s1"), F.sum("n").alias("n_cand"))
     out = sizes.join(recall, "country", "left")
-    return out.select("country", "true_pairs", "hits", percent(F.col("hits"), F.col("true_pairs")).alias("recall"), F.round(F.col("n_cand") / F.col("n_s1"), 1).alias("avg_cand_per_s1"))
+    recall_ = F.when(F.col("true_pairs") > 0, percent(F.col("hits"), F.col("true_pairs")))  # none without true pairs
+    return out.select("country", "true_pairs", "hits", recall_.alias("recall"), F.round(F.col("n_cand") / F.col("n_s1"), 1).alias("avg_cand_per_s1"))
 
 
 def ground_truth_facts(truth: DataFrame, reference: DataFrame, vendors: DataFrame) -> DataFrame:
@@ -142,11 +143,11 @@ def per_reference(predicted: DataFrame, truth: DataFrame, reference: DataFrame)
 
 def f05(tp: Column, n_pred: Column, n_true: Column) -> Column:
     """F0.5 of one reference record: 1 if nothing is true and nothing predicted, 0 if one of them or the overlap is nothing."""
-    p, r = tp / F.nullif(n_pred.cast("double"), F.lit(0.0)), tp / F.nullif(n_true.cast("double"), F.lit(0.0))
-    return F.when((n_true == 0) & (n_pred == 0), 1.0).when((n_true == 0) | (n_pred == 0) | (tp == 0), 0.0).otherwise(1.25 * p * r / F.nullif(0.25 * p + r, F.lit(0.0)))
+    whole = n_pred.cast("double") + 0.25 * n_true
+    return F.when(whole == 0, 1.0).otherwise(1.25 * tp / F.nullif(whole, F.lit(0.0)))
 
 
-def score_groups(predicted: DataFrame, groups: DataFrame, key: str, truth: DataFrame, reference: DataFrame) -> DataFrame:
+def score_groups(predicted: DataFrame, groups: DataFrame, key: str, truth: DataFrame, reference: DataFrame, digits: int | None = 6) -> DataFrame:
     """Scores of many predictions at once: ``predicted(key, s1_id, cand_id)``, a row out for each of ``groups(key)``.
 
     One pass over the pairs serves all groups. Records without any prediction score 1 or 0 in every group,
@@ -159,7 +160,8 @@ def score_groups(predicted: DataFrame, groups: DataFrame, key: str, truth: DataF
     per = per.withColumn("f", f05(F.col("tp"), F.col("np"), F.col("nt")))
     sums = per.groupBy(key).agg(F.sum("f").alias("f"), F.count_if(F.col("nt") == 0).alias("wrong"), F.count("*").alias("answered"), F.sum("np").alias("pairs"), F.sum("tp").alias("tp"))
     out = groups.join(sums, key, "left").fillna(0, ["f", "wrong", "answered", "pairs", "tp"]).crossJoin(totals)  # totals is one row
-    ratio = lambda x, y: F.round(x / F.nullif(y.cast("double"), F.lit(0.0)), 6)
+    plain = lambda x, y: x / F.nullif(y.cast("double"), F.lit(0.0))
+    ratio = plain if digits is None else lambda x, y: F.round(plain(x, y), digits)
     return out.select(
         *groups.columns, "pairs", ratio(F.col("f") + F.col("n_single") - F.col("wrong"), F.col("n_s1")).alias("macro_f05"), ratio(F.col("tp"), F.col("pairs")).alias("pair_precision"),
         ratio(F.col("tp"), F.col("n_true")).alias("pair_recall"), ratio(F.col("n_s1") - F.col("answered"), F.col("n_s1")).alias("predicted_empty"),

@@ -79,11 +79,14 @@ def scored_features(rows: DataFrame) -> DataFrame:
     return made.select("*", known(F.col("_at")).alias("a_tset"), known(F.col("_ar")).alias("a_ratio"), known(F.col("_ap")).alias("a_partial")).drop("_at", "_ar", "_ap")
 
 
-def context_features(rows: DataFrame, strong: float = 90.0) -> DataFrame:
-    """Adds each pair's place among the candidates of its reference record. All windows share one partitioning."""
+def context_features(rows: DataFrame, strong: float = 90.0, scores: tuple[str, ...] = ("n_tset", "core_ratio", "a_tset")) -> DataFrame:
+    """Adds each pair's place among the candidates of its reference record, by each of ``scores``.
+
+    The first of them also counts strong candidates. All windows share one partitioning.
+    """
     group = Window.partitionBy("s1_id")
-    out = rows.withColumn("s1_ncand", F.count("*").over(group).cast("double")).withColumn("s1_n_strong", F.sum(F.when(F.col("n_tset") >= strong, 1.0).otherwise(0.0)).over(group))
-    for c in ("n_tset", "core_ratio", "a_tset"):
+    out = rows.withColumn("s1_ncand", F.count("*").over(group).cast("double")).withColumn("s1_n_strong", F.sum(F.when(F.col(scores[0]) >= strong, 1.0).otherwise(0.0)).over(group))
+    for c in scores:
         v = F.coalesce(F.col(c), F.lit(-1.0))
         out = out.withColumn(f"{c}_gap", F.max(v).over(group) - v).withColumn(f"{c}_rank", F.rank().over(group.orderBy(v.desc())).cast("double"))
     return out

@@ -48,9 +48,12 @@ def apply(model: PipelineModel, rows: DataFrame, names: list[str]) -> DataFrame:
     return scored.select("s1_id", "cand_id", vector_to_array("probability")[1].alias("p"))
 
 
-def out_of_fold(features: DataFrame, names: list[str], folds: int = FOLDS, **options) -> tuple[DataFrame, list[PipelineModel]]:
-    """Each record scored by the model that has not seen its fold, and the models."""
-    rows = training_rows(features)
+def out_of_fold(features: DataFrame, names: list[str], folds: int = FOLDS, negative_share: float = 0.2, **options) -> tuple[DataFrame, list[PipelineModel]]:
+    """Each record scored by the model that has not seen its fold, and the models.
+
+    The first stage learns from a share of the negatives; a second stage has few enough to learn from all.
+    """
+    rows = training_rows(features, negative_share)
     models, scored = [], None
     for k in range(folds):
         m = fit(rows.where(F.col("fold") != k), names, **options)

@@ -90,9 +90,9 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
 
 
 def trim_curve(scored: DataFrame, truth: DataFrame, reference: DataFrame, ks=(20, 30, 40, 50, 60, 80, 100, 150)) -> DataFrame:
-    """A row for each K: pairs kept, candidates for each reference record, recall and what it loses."""
+    """A row for each K: pairs kept, candidates for each reference record, recall and what it loses; one aggregate counts all K."""
     placed = labelled(ranked(scored, "score"), truth).select("y", "rk")
-    grid = placed.sparkSession.createDataFrame([(k,) for k in ks], "k int")
-    kept = placed.crossJoin(F.broadcast(grid)).where(F.col("rk") <= F.col("k")).groupBy("k").agg(F.count("*").alias("pairs"), F.count_if("y").alias("tp"))
-    base = placed.agg(F.count_if("y").alias("base_tp")).crossJoin(truth.agg(F.count("*").alias("n_gt"))).crossJoin(reference.agg(F.count("*").alias("n_s1")))
-    return kept.crossJoin(base).select("k", "pairs", F.round(F.col("pairs") / F.col("n_s1"), 4).alias("avg_per_s1"), percent(F.col("tp"), F.col("n_gt")).alias("recall"), percent(F.col("base_tp") - F.col("tp"), F.col("n_gt")).alias("lost"))
+    counts = [c for k in ks for c in (F.count_if(F.col("rk") <= k).alias(f"n{k}"), F.count_if((F.col("rk") <= k) & F.col("y")).alias(f"tp{k}"))]
+    rows = F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"n{k}").alias("pairs"), F.col(f"tp{k}").alias("tp")) for k in ks))
+    base = placed.agg(F.count_if("y").alias("base_tp"), *counts).select("base_tp", F.inline(rows)).where("pairs > 0").crossJoin(truth.agg(F.count("*").alias("n_gt"))).crossJoin(reference.agg(F.count("*").alias("n_s1")))
+    return base.select("k", "pairs", F.round(F.col("pairs") / F.col("n_s1"), 4).alias("avg_per_s1"), percent(F.col("tp"), F.col("n_gt")).alias("recall"), percent(F.col("base_tp") - F.col("tp"), F.col("n_gt")).alias("lost"))

@@ -46,6 +46,34 @@ def findings(table: DataFrame, column: str, reference: DataFrame, vendors: DataF
     return out
 
 
+def row_counts(table: DataFrame, column: str, reference: DataFrame, vendors: DataFrame, candidates: DataFrame) -> DataFrame:
+    """One row of counts by rows and list items, not by distinct ids; for candidate tables ``one_row_each`` is what counts."""
+    ids = listed(table, column)
+    required = reference.select(F.col("entity_id").alias("s1_id")).distinct()
+    rows = table.select(F.col("source1_entity_id").alias("s1_id"))
+    number = lambda df, name: df.agg(F.count("*").alias(name))
+    vendor = F.col("id").startswith("S2-") | F.col("id").startswith("S3-")
+    parts = [
+        number(required, "required"), rows.agg(F.count("*").alias("rows"), F.count_distinct("s1_id").alias("kinds")), number(required.join(rows, "s1_id", "left_anti"), "missing_rows"),
+        number(rows.join(required, "s1_id", "left_anti"), "extra_rows"), ids.agg(F.count("*").alias("ids"), F.count_if(~vendor).alias("wrong_prefix")),
+        number(ids.groupBy("s1_id", "id").agg(F.count("*").alias("n")).where("n > 1"), "duplicate_ids"),
+        number(ids.join(vendors.select(F.col("entity_id").alias("id")), "id", "left_anti"), "unknown_ids"),
+        number(ids.join(candidates.select("s1_id", F.col("cand_id").alias("id")), ["s1_id", "id"], "left_anti"), "not_candidates"),
+    ]
+    one = parts[0]
+    for part in parts[1:]:
+        one = one.crossJoin(part)  # one row each
+    return one.select(
+        "required", "rows", (F.col("rows") - F.col("kinds")).alias("duplicate_rows"), "missing_rows", "extra_rows", "ids", "duplicate_ids", "wrong_prefix", "unknown_ids", "not_candidates",
+        ((F.col("rows") == F.col("required")) & (F.col("kinds") == F.col("required"))).alias("one_row_each"),
+    )
+
+
+def malformed(lines: DataFrame) -> DataFrame:
+    """``lines(value)`` of an output file -> the lines that are not blank and have no tab."""
+    return lines.where(~F.contains("value", F.lit("\t")) & (F.trim("value") != ""))
+
+
 def header_problem(line: str, column: str, exact: bool = True) -> str | None:
     """What is wrong with a header line, if anything; ``exact`` compares case, too."""
     want = f"source1_entity_id\t{column}"

@@ -111,13 +111,10 @@ def _exact(w: Work) -> DataFrame:
 
 
 def _context(w: Work) -> DataFrame:
-    from pyspark.sql import Window
-
-    g = Window.partitionBy("s1_id")
-    out = _exact(w).withColumn("s1_ncand", F.count("*").over(g))
-    for c in ("blk_count", "core_jacc"):
-        out = out.withColumn(f"{c}_gap", F.max(c).over(g) - F.col(c)).withColumn(f"{c}_rank", F.rank().over(g.orderBy(F.desc(c))).cast("long"))
-    return out.select("s1_id", "cand_id", "s1_ncand", *(f"{c}_{k}" for c in ("blk_count", "core_jacc") for k in ("gap", "rank")))
+    scores = ("blk_count", "core_jacc")  # the scores that SQL can compute, too
+    out = features.context_features(_exact(w), scores=scores)
+    whole = ("s1_ncand", *(f"{c}_rank" for c in scores))
+    return out.select("s1_id", "cand_id", *(F.col(c).cast("long").alias(c) for c in whole), *(f"{c}_gap" for c in scores))
 
 
 def _true_names(w: Work) -> DataFrame:
@@ -139,7 +136,7 @@ def _validated(w: Work) -> DataFrame:
 
 
 def _learned(w: Work) -> tuple[DataFrame, list]:
-    data = evaluate.labelled(features.build_features(w.pairs, w.side(True), w.side(False)), w.gt).persist()
+    data = materialize(evaluate.labelled(features.build_features(w.pairs, w.side(True), w.side(False)), w.gt), "learned")
     return model.out_of_fold(data, list(features.FEATURES), trees=5, depth=4)
 
 
@@ -148,9 +145,9 @@ def _siblings(w: Work) -> DataFrame:
 
 
 def _second_stage(w: Work) -> DataFrame:
-    data = evaluate.labelled(_siblings(w), w.gt).persist()
+    data = materialize(evaluate.labelled(_siblings(w), w.gt), "siblings")
     names = [*cascade.CONTEXT, *cascade.SIBLINGS]
-    scored, models = model.out_of_fold(data, names, trees=5, depth=3)
+    scored, models = model.out_of_fold(data, names, negative_share=1.0, trees=5, depth=3)
     mean = model.mean_of(models, data, names)
     return scored.withColumnRenamed("p", "p_oof").join(mean, ["s1_id", "cand_id"])
 
@@ -173,10 +170,10 @@ BUILDERS: dict[str, Callable[[Work], DataFrame]] = {
     "gt_pairs": lambda w: w.gt,
     "ground_truth_facts": lambda w: evaluate.ground_truth_facts(w.gt, w.side(True), w.side(False)),
     "blocker_report": lambda w: evaluate.blocker_report(w.pairs, w.gt, w.reference),
-    "union_report": lambda w: evaluate.union_report(w.pairs, w.gt, w.reference),
+    "union_report": lambda w: evaluate.union_report(w.lookup_pairs, w.gt, w.reference),
     "coverage": lambda w: evaluate.coverage(w.pairs, w.gt),
     "recall_by_source": lambda w: evaluate.recall_by_source(w.pairs, w.gt, w.vendors),
-    "recall_by_country": lambda w: evaluate.recall_by_country(w.pairs, w.gt, w.reference),
+    "recall_by_country": lambda w: evaluate.recall_by_country(w.lookup_pairs, w.gt, w.reference),
     "missed_pairs": lambda w: evaluate.missed_pairs(w.pairs, w.gt, w.side(True), w.side(False)),
     "missed_categories": lambda w: evaluate.missed_categories(evaluate.missed_sample(evaluate.missed_pairs(w.pairs, w.gt, w.side(True), w.side(False)))),
     "trim_weights": lambda w: rules.trim_weights(w.pairs, w.gt),
@@ -190,6 +187,7 @@ BUILDERS: dict[str, Callable[[Work], DataFrame]] = {
     "decide_one_owner": lambda w: decide.decide(w.preds, 0.5, 0.3, one_owner=True),
     "decide_f05": lambda w: evaluate.score(decide.decide(w.preds, 0.5, 0.3, one_owner=True).select("s1_id", "cand_id"), w.gt, w.reference),
     "decide_grid": lambda w: decide.grid_scores(w.preds, w.gt, w.reference, decide.coarse_grid()),
+    "decide_fine_grid": lambda w: decide.grid_scores(w.preds, w.gt, w.reference, decide.fine_grid(True, 0.3, 0.05)),
     "cascade_survivors": _survivors,
     "cascade_siblings": _siblings,
     "cascade_eval": lambda w: cascade.evaluate_grid(w.preds, w.gt, w.reference),
@@ -208,6 +206,7 @@ BUILDERS: dict[str, Callable[[Work], DataFrame]] = {
     "token_diff_top": lambda w: profile.one_sided_words(w.truth, w.raw.where("source = 1"), w.raw.where("source <> 1")),
     "example_pairs": lambda w: profile.example_pairs(w.truth, w.raw.where("source = 1"), w.raw.where("source <> 1")),
     "validate_matching": _validated,
+    "validate_counts": lambda w: validate.row_counts(_faulty(w), "ids", w.reference, w.vendors, w.lookup_pairs),
 }
 _PHONETIC: dict[str, Callable[[Work], DataFrame]] = {"block_phonetic": _block("phonetic"), "candidates_all": lambda w: w.pairs}
 

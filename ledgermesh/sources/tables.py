@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,8 +34,11 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
 
 def write_tsv(rows: DataFrame, path: str, order_by: tuple[str, ...] = (), one_file: bool = False) -> None:
     """Tab-separated files with a header, no quotes, empty strings as nothing; a folder of parts, or one part."""
-    out = rows.orderBy(*order_by) if order_by else rows
-    (out.coalesce(1) if one_file else out).write.mode("overwrite").csv(path, sep="\t", header=True, quote="", emptyValue="")
+    if one_file:  # the plan runs as it is dealt; only its result meets in one task
+        out = rows.repartition(1).sortWithinPartitions(*order_by) if order_by else rows.repartition(1)
+    else:
+        out = rows.orderBy(*order_by) if order_by else rows
+    out.write.mode("overwrite").csv(path, sep="\t", header=True, quote="", emptyValue="")
 
 
 def write_parquet(rows: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
@@ -42,15 +46,24 @@ def write_parquet(rows: DataFrame, path: str, partition_by: tuple[str, ...] = ()
 
 
 def write_missing_parts(rows: DataFrame, path: str, buckets: int, key: str = "s1_id") -> None:
-    """Writes the buckets (by hash of the key) that are not there yet, so that a broken run can go on."""
+    """Writes the buckets (by hash of the key) that are not there yet, so that a broken run can go on.
+
+    Buckets are written beside the table and each is moved into it by one rename once the whole write has
+    succeeded, so a bucket is there whole or not at all.
+    """
     spark = rows.sparkSession
-    marked = rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
-    if there:
-        done = spark.read.parquet(path).select("bucket").distinct()
-        marked = marked.join(F.broadcast(done), "bucket", "left_anti")  # at most one row for each bucket
-    marked.write.mode("append").option("compression", "zstd").partitionBy("bucket").parquet(path)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    files = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    missing = [b for b in range(buckets) if not files.exists(hadoop(f"{path}/bucket={b}"))]
+    if not missing:
+        return
+    work = f"{path}/_work-{uuid.uuid4().hex}"
+    marked = rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).where(F.col("bucket").isin(missing))
+    marked.write.option("compression", "zstd").partitionBy("bucket").parquet(work)
+    for b in missing:
+        if files.exists(hadoop(f"{work}/bucket={b}")):
+            files.rename(hadoop(f"{work}/bucket={b}"), hadoop(f"{path}/bucket={b}"))
+    files.delete(hadoop(work), True)
 
 
 def frequency_cache(compute, path: str, spark: SparkSession) -> DataFrame:
@@ -72,10 +85,10 @@ def read_json(path: str):
         return json.load(f)
 
 
-def markdown_table(rows: DataFrame, most: int = 1000) -> str:
-    """A report table of a small result."""
+def markdown_table(rows: DataFrame) -> str:
+    """A report table of a result, all its rows."""
     lines = ["| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns)]
-    lines += ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows.limit(most).collect()]
+    lines += ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows.toLocalIterator()]
     return "\n".join(lines)
 
 
