@@ -1,7 +1,8 @@
 """String similarities that Spark does not ship, as Arrow-batched functions.
 
-Indel ratio and its token and partial forms on a 0-100 scale, Jaro-Winkler on 0-1. Score distinct pairs
-of strings where rows repeat them.
+Indel ratio and its token and partial forms on a 0-100 scale, Jaro-Winkler on 0-1. Plain functions of two
+strings define the scores; their batch forms run the same bit-parallel recurrence over all pairs of an Arrow
+batch at once, a step for each character place, and score each distinct pair once.
 """
 
 from __future__ import annotations
@@ -99,22 +100,180 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + prefix * 0.1 * (1 - jaro)
 
 
-def _scorer(fn):
+def _coded(texts: list[str]):
+    """Texts as rows of character numbers, -1 after their end, and their lengths; equal characters have equal numbers."""
+    import numpy as np
+
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.int32)
+    _, codes = np.unique(points, return_inverse=True) if len(points) else (None, points)
+    out = np.full((len(texts), int(lengths.max(initial=0))), -1, np.int64)
+    out[np.arange(out.shape[1])[None, :] < lengths[:, None]] = codes
+    return out, lengths
+
+
+def _matches(rows, lengths, alphabet: int):
+    """For each row and character, the places where it stands, as bits of 64-bit words: (row, character, word)."""
+    import numpy as np
+
+    words = max(1, -(-rows.shape[1] // 64))
+    out = np.zeros((len(rows), alphabet + 1, words), np.uint64)  # the last character stands for "after the end"
+    index = np.arange(len(rows))
+    for i in range(rows.shape[1]):
+        c = rows[:, i]
+        live = c >= 0
+        out[index[live], c[live], i >> 6] |= np.uint64(1 << (i & 63))
+    return out
+
+
+def lcs_lengths(pattern, pattern_lengths, matches, owner, other):
+    """Lengths of the longest common subsequences of patterns and other rows, bit-parallel over a whole batch.
+
+    ``owner[k]`` is the pattern that row k of ``other`` (character numbers, -1 after the end) is compared with.
+    """
+    import numpy as np
+
+    words = matches.shape[2]
+    last = matches.shape[1] - 1
+    full = np.full((len(owner), words), ~np.uint64(0))
+    state = full.copy()
+    for j in range(other.shape[1]):
+        hit = matches[owner, np.where(other[:, j] >= 0, other[:, j], last)]
+        u = state & hit
+        total = state + u
+        carry = total < state  # of each word into the next
+        for w in range(1, words):
+            more = carry[:, w - 1]
+            raised = total[:, w] + more
+            carry[:, w] |= raised < total[:, w]
+            total[:, w] = raised
+        state = total | (state - u)
+    kept = ~state
+    size = pattern_lengths[owner]
+    out = np.zeros(len(owner), np.int64)
+    for w in range(words):
+        bits = np.clip(size - 64 * w, 0, 64)
+        mask = np.where(bits == 64, ~np.uint64(0), (np.uint64(1) << np.minimum(bits, 63).astype(np.uint64)) - np.uint64(1))
+        out += np.bitwise_count(kept[:, w] & mask)
+    return out
+
+
+def indel_ratios(a: list[str], b: list[str]):
+    """``indel_ratio`` of many pairs at once."""
+    import numpy as np
+
+    if not a:
+        return np.zeros(0)
+    codes, lengths = _coded([*a, *b])
+    n = len(a)
+    x, y, nx, ny = codes[:n], codes[n:], lengths[:n], lengths[n:]
+    x, y = x[:, : max(1, int(nx.max(initial=0)))], y[:, : int(ny.max(initial=0))]
+    found = lcs_lengths(x, nx, _matches(x, nx, int(codes.max(initial=0)) + 1), np.arange(n), y)
+    total = nx + ny
+    return np.where(total == 0, 100.0, 200.0 * found / np.maximum(total, 1))
+
+
+def partial_ratios(a: list[str], b: list[str], most: int = 50_000):
+    """``partial_ratio`` of many pairs at once: all windows of a pair are rows of one batch, ``most`` at a time."""
+    import numpy as np
+
+    out = np.zeros(len(a))
+    pairs = []
+    for i, (x, y) in enumerate(zip(a, b, strict=True)):
+        short, long = (x, y) if len(x) <= len(y) else (y, x)
+        if not short:
+            out[i] = 100.0 if not long else 0.0
+        elif short in long:
+            out[i] = 100.0
+        else:
+            pairs.append((i, short, long))
+    at = 0
+    while at < len(pairs):
+        size, end = 0, at
+        while end < len(pairs) and (end == at or size + len(pairs[end][1]) + len(pairs[end][2]) <= most):
+            size += len(pairs[end][1]) + len(pairs[end][2])
+            end += 1
+        part = pairs[at:end]
+        at = end
+        codes, lengths = _coded([p[1] for p in part] + [p[2] for p in part])
+        n = len(part)
+        short, m, n_long = codes[:n], lengths[:n], lengths[n:]
+        short = short[:, : int(m.max())]
+        matches = _matches(short, m, int(codes.max()) + 1)
+        count = m + n_long - 1
+        owner = np.repeat(np.arange(n), count)
+        stop = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + 1
+        begin = np.maximum(0, stop - m[owner])
+        width = np.minimum(stop, n_long[owner]) - begin
+        place = begin[:, None] + np.arange(int(m.max()))[None, :]
+        padded = np.concatenate([codes[n:], np.full((n, 1), -1)], axis=1)
+        window = np.where(np.arange(place.shape[1])[None, :] < width[:, None], padded[owner[:, None], np.minimum(place, padded.shape[1] - 1)], -1)
+        score = 200.0 * lcs_lengths(short, m, matches, owner, window) / (m[owner] + width)
+        best = np.maximum.reduceat(score, np.cumsum(count) - count)
+        out[[p[0] for p in part]] = best
+    return out
+
+
+def token_sort_ratios(a: list[str], b: list[str]):
+    order = lambda t: " ".join(sorted(t.split()))
+    return indel_ratios(list(map(order, a)), list(map(order, b)))
+
+
+def token_set_ratios(a: list[str], b: list[str]):
+    """``token_set_ratio`` of many pairs at once: the three ratios of each pair are rows of one batch."""
+    import numpy as np
+
+    out = np.zeros(len(a))
+    left, right, owner = [], [], []
+    join = lambda s: " ".join(sorted(s))
+    for i, (p, q) in enumerate(zip(a, b, strict=True)):
+        x, y = set(p.split()), set(q.split())
+        if not x or not y:
+            continue
+        both, own, other = x & y, x - y, y - x
+        if both and (not own or not other):
+            out[i] = 100.0
+            continue
+        common = join(both)
+        one, two = (f"{common} {join(s)}".strip() for s in (own, other))
+        for u, v in ((one, two), (common, one), (common, two))[: 3 if both else 1]:
+            left.append(u)
+            right.append(v)
+            owner.append(i)
+    np.maximum.at(out, np.array(owner, np.int64), indel_ratios(left, right))
+    return out
+
+
+def _one_by_one(fn):
+    import numpy as np
+
+    return lambda a, b: np.fromiter((fn(x, y) for x, y in zip(a, b, strict=True)), np.float64, len(a))
+
+
+def _scorer(many):
+    """A column function of a batch scorer: distinct pairs are scored once, shorter ones first and some thousands at a time."""
+
     @F.pandas_udf(DoubleType())
     def score(a: pd.Series, b: pd.Series) -> pd.Series:
-        known: dict[tuple[str, str], float] = {}
-        out = []
-        for pair in zip(a, b, strict=True):
-            if pair not in known:
-                known[pair] = None if pair[0] is None or pair[1] is None else fn(*pair)
-            out.append(known[pair])
-        return pd.Series(out, dtype="float64")
+        import numpy as np
+
+        known = (a.notna() & b.notna()).to_numpy()
+        out = np.full(len(a), np.nan)
+        if known.any():
+            pairs = list(zip(a[known], b[known], strict=True))
+            distinct = sorted(set(pairs), key=lambda p: len(p[0]) + len(p[1]))
+            found: dict[tuple[str, str], float] = {}
+            for i in range(0, len(distinct), 4096):
+                part = distinct[i : i + 4096]
+                found.update(zip(part, many([p[0] for p in part], [p[1] for p in part]).tolist(), strict=True))
+            out[known] = [found[p] for p in pairs]
+        return pd.Series(out).where(known)
 
     return score
 
 
-ratio = _scorer(indel_ratio)
-token_set = _scorer(token_set_ratio)
-token_sort = _scorer(token_sort_ratio)
-partial = _scorer(partial_ratio)
-jaro_winkler_similarity = _scorer(jaro_winkler)
+ratio = _scorer(indel_ratios)
+token_set = _scorer(token_set_ratios)
+token_sort = _scorer(token_sort_ratios)
+partial = _scorer(partial_ratios)
+jaro_winkler_similarity = _scorer(_one_by_one(jaro_winkler))

@@ -176,3 +176,54 @@ def test_views_with_parameters_and_saved_tables(spark):
         assert "Exchange" not in plan
     finally:
         spark.sql("DROP TABLE ledgermesh_saved")
+
+
+def test_batch_scores_equal_the_plain_ones():
+    import random
+
+    import pytest
+    from ledgermesh.functions import similarity as sim
+
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdé 1") for _ in range(r.choice([0, 1, 3, 9, 40, 90, 200])))
+    a = [word() for _ in range(250)]
+    b = [x[r.randrange(len(x) + 1) :] + word() if r.random() < 0.5 else word() for x in a]
+    for one, many in ((sim.indel_ratio, sim.indel_ratios), (sim.token_sort_ratio, sim.token_sort_ratios), (sim.token_set_ratio, sim.token_set_ratios), (sim.partial_ratio, sim.partial_ratios)):
+        assert many(a, b).tolist() == pytest.approx([one(x, y) for x, y in zip(a, b, strict=True)], abs=1e-9)
+        assert len(many([], [])) == 0
+
+
+def test_longest_common_subsequence_equals_the_table():
+    import random
+
+    from ledgermesh.functions import similarity as sim
+
+    r = random.Random(6)
+    for _ in range(80):
+        a, b = ("".join(r.choice("abc") for _ in range(r.randint(0, 90))) for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for c in a:
+            new = [0]
+            for j, d in enumerate(b):
+                new.append(row[j] + 1 if c == d else max(row[j + 1], new[j]))
+            row = new
+        n = len(a) + len(b)
+        assert abs(sim.indel_ratios([a], [b])[0] - (200.0 * row[-1] / n if n else 100.0)) < 1e-9
+
+
+def test_words_lose_any_number_of_glued_forms(spark):
+    from ledgermesh.functions import text as T
+    from pyspark.sql import functions as F
+
+    row = spark.sql("SELECT :a AS a", args={"a": "acme" + "ltd" * 30}).select(T.unglue_legal(F.col("a")).alias("x")).first()
+    assert row.x == "acme"
+
+
+def test_reports_are_whole_and_fine_grid_is_clamped(spark):
+    from ledgermesh.operators import decide, validate
+    from ledgermesh.sources import tables
+
+    assert tables.markdown_table(spark.range(1500)).count("\n") == 1501
+    assert min(tb for _, _, tb in decide.fine_grid(False, 0.3, 0.05)) == 0.05
+    lines = spark.createDataFrame([("a\tb",), ("broken",), (" ",), ("x\t",)], "value string")
+    assert [r.value for r in validate.malformed(lines).collect()] == ["broken"]
