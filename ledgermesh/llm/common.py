@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources.staging import materialize, shared_dir
 
-__all__ = ["map_arrow", "materialize", "numbered", "release_memory", "shared_dir", "table", "text_batches", "utf8_buffers", "worker_cache"]
+__all__ = ["free_name", "map_arrow", "materialize", "numbered", "release_memory", "shared_dir", "table", "text_batches", "utf8_buffers", "worker_cache"]
 
 #: Bytes in one Arrow batch; keeps a batch of long documents within a worker's memory.
 TEXT_BATCH_BYTES = 4 << 20
@@ -76,6 +76,13 @@ def utf8_buffers(column: pa.Array):
     return raw[offsets[0] : offsets[-1]] if len(offsets) else raw, offsets - offsets[0]
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, or one like it that no column has."""
+    while name in taken:
+        name += "_"
+    return name
+
+
 def numbered(docs: DataFrame, name: str = "rid") -> DataFrame:
     """``docs(doc_id, text, ...)`` -> all its columns and ``name``, a unique number that orders the rows as doc_id does.
 

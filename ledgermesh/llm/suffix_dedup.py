@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, numbered, release_memory, text_batches, utf8_buffers
+from .common import free_name, map_arrow, materialize, numbered, release_memory, text_batches, utf8_buffers
 
 LENGTH, GRAM = 100, 32
 WINDOW = LENGTH - GRAM + 1
@@ -687,13 +687,6 @@ def inner(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _free(name: str, taken: list[str]) -> str:
-    """``name``, or one like it that no column has."""
-    while name in taken:
-        name += "_"
-    return name
-
-
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> the same columns, repeated passages cut from the texts, a row for each input row.
 
@@ -701,7 +694,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     first keeps its text, later ones lose what they repeat. Null texts become empty; other columns keep their
     names and values, whatever they are called; an empty table gives no rows.
     """
-    number, found = (_free(n, docs.columns) for n in ("rid", "spans"))
+    number, found = (free_name(n, docs.columns) for n in ("rid", "spans"))
     rows = numbered(docs, number).fillna("", "text")
     spans = removed_spans(rows.select(F.col(number).alias("rid"), "text")).toDF(number, found)
     at = docs.columns.index("text")
