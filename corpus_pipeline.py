@@ -8,41 +8,49 @@ written to the shared folder and read again.
 from __future__ import annotations
 
 from ledgermesh.llm import packing, quality, simhash, suffix_dedup
-from ledgermesh.llm.common import materialize, table
+from ledgermesh.llm.common import free_name, materialize, numbered, table
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality ranking accepts; it learns from labels that are not held out."""
+    """Documents that the quality ranking accepts; it learns from labels that are not held out.
+
+    Null texts count as empty; repeated rows and rows without an id are scored each; other columns keep their
+    names and values; an empty table gives no rows; without labels of both kinds all stay.
+    """
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where("quality_predicted = 1").select(docs.columns)
+    names = (free_name("score", docs.columns), free_name("predicted", docs.columns))
+    return quality.score(docs, model, names).where(F.col(names[1]) == 1).select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near copies (five-word shingles, similarity 0.8).
 
     Rows that repeat a doc_id, or have none (these come first), are documents of their own: of rows that
-    repeat each other one is left, and rows that share only the doc_id stay.
+    repeat each other one is left, and rows that share only the doc_id stay. Null texts count as empty; other
+    columns keep their names and values; an empty table gives no rows.
     """
-    rows = suffix_dedup.numbered(docs)
-    groups = simhash.similar_groups(rows.select(F.col("rid").alias("doc_id"), "text"))
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("rid"))
-    return rows.join(gone, "rid", "left_anti").select(docs.columns)
+    number = free_name("number", docs.columns)
+    rows = numbered(docs, number)
+    groups = simhash.similar_groups(rows.select(F.col(number).alias("doc_id"), "text"))
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(number))
+    return rows.join(gone, number, "left_anti").select(docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, passages of 100 bytes or more that stood earlier cut from their texts.
 
     A row for each input row: of rows that repeat a text the first keeps it, whether they share a doc_id or
-    have none.
+    have none. Null texts become empty; other columns keep their names and values, but for n_chars; an empty
+    table gives no rows.
     """
     out = suffix_dedup.without_repeats(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of at most 2048 tokens."""
+    """Pieces of the documents in sequences of at most 2048 tokens; rows without an id or that repeat one are documents of their own."""
     return packing.pack_documents(docs.select("doc_id", "text"))
 
 
