@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize
+from .common import materialize
 
 
 def spanning_stars(a, b):
@@ -32,9 +34,30 @@ def spanning_stars(a, b):
     return out[:, 0], out[:, 1]
 
 
-def _contract(batch: pa.RecordBatch) -> pa.RecordBatch:
-    root, member = spanning_stars(batch.column(0).to_numpy(), batch.column(1).to_numpy())
-    return pa.RecordBatch.from_arrays([pa.array(root), pa.array(member)], names=["a", "b"])
+#: Edges that a task contracts at once.
+CONTRACTED = 500_000
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges -> a spanning forest of stars of each ``CONTRACTED`` of them."""
+    import numpy as np
+
+    held: list = []
+    size = 0
+
+    def stars() -> pa.RecordBatch:
+        root, member = spanning_stars(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        return pa.RecordBatch.from_arrays([pa.array(root), pa.array(member)], names=["a", "b"])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            size += batch.num_rows
+            if size >= CONTRACTED:
+                yield stars()
+                held, size = [], 0
+    if held:
+        yield stars()
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -45,11 +68,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``edges(a long, b long)`` -> ``(node, component)``, the component being its smallest node.
 
     Each round is two aggregations with map-side combination and two joins; hub nodes are split by the
-    adaptive skew join. Edges contract inside batches first, so long chains shorten before the first
-    shuffle. Rounds are written to the shared folder, so lineage stays one round deep. Nodes without an
-    edge are absent; self loops and repeated edges are harmless.
+    adaptive skew join. Edges contract inside tasks first, then again in as few tasks as hold what is left, so
+    long chains shorten before the first shuffle. Rounds are written to the shared folder, so lineage stays
+    one round deep. Nodes without an edge are absent; self loops and repeated edges are harmless.
     """
-    edges = materialize(map_arrow(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b"), _contract, "a long, b long").distinct(), "cc")
+    plain = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
+    edges = materialize(plain.mapInArrow(_contract, "a long, b long").distinct(), "cc")
+    few = max(1, -(-edges.count() // CONTRACTED))
+    edges = materialize(edges.coalesce(few).mapInArrow(_contract, "a long, b long").distinct(), "cc")
     mark = _mark(edges)
     if mark[0] == 0:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
