@@ -17,13 +17,14 @@ are answered by an exact scan in blocks.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize
+from .common import map_arrow, materialize, utf8_buffers
 
 TABLES, TOP = 32, 20
 #: Vectors of a bucket on average, and buckets that a query visits in each table of 50,000 vectors.
@@ -82,11 +83,20 @@ def probe_count(n: int, probes: int = PROBES) -> int:
     return max(1, round(probes * (n / 50_000) ** GROWTH))
 
 
+@functools.lru_cache(maxsize=256)
+def _turn(width: int, turn: int, axes: int):
+    """The turn as a matrix, its first ``axes`` columns: for vectors of some hundred numbers a product is faster than the transform."""
+    import numpy as np
+
+    return np.ascontiguousarray(rotated(np.eye(width), turn)[:, :axes])
+
+
 def _signed(x, turn: int, bits: int):
     """Values along the first 2 ** (bits - 1) signed axes of a turn: axis i, then its opposite."""
     import numpy as np
 
-    y = rotated(x, turn)[:, : 1 << (bits - 1)]
+    axes = 1 << (bits - 1)
+    y = x @ _turn(x.shape[1], turn, axes) if x.shape[1] <= 512 else rotated(x, turn)[:, :axes]
     return np.stack([y, -y], axis=2).reshape(len(y), -1)
 
 
@@ -101,6 +111,9 @@ def codes(x, table: int, bits: list[int], probes: int):
     best, cost = np.zeros((len(x), 1), np.int64), np.zeros((len(x), 1))
     for k, b in enumerate(bits):
         y = _signed(x, table * len(bits) + k, b)
+        if probes == 1:
+            best = (best << b) + y.argmax(axis=1)[:, None]
+            continue
         near = np.argsort(-y, axis=1, kind="stable")[:, : min(probes, NEAR_AXES)]
         lost = np.take_along_axis(y, near, axis=1)
         lost = (lost[:, :1] - lost) ** 2
@@ -112,12 +125,31 @@ def codes(x, table: int, bits: list[int], probes: int):
 
 
 def _matrix(column: pa.Array):
+    """A list column as float64 rows."""
     import numpy as np
 
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def _packed(column: pa.Array) -> pa.Array:
+    """A list column as binary, which travels faster: the numbers as they are."""
+    import numpy as np
+
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    size = flat.nbytes // max(1, len(column))
+    offsets = np.arange(len(column) + 1, dtype=np.int32) * size
+    return pa.BinaryArray.from_buffers(pa.binary(), len(column), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat))])
+
+
+def _unpacked(column: pa.ChunkedArray, kind: str):
+    """Rows of a binary column, as they were, nothing copied."""
+    import numpy as np
+
+    raw, offsets = utf8_buffers(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column)
+    return np.frombuffer(raw.tobytes(), np.float32 if kind == "array<float>" else np.float64).reshape(len(offsets) - 1, -1)
+
+
 def valid_vectors(vectors: DataFrame) -> tuple[DataFrame, int, float, float]:
     """``vectors(vec_id, embedding)`` that take part, their width, smallest and largest length.
 
@@ -181,7 +213,7 @@ def _unit(x, high: float, lift: bool, query: bool):
 
 
 def _hashed(rows: DataFrame, high: float, lift: bool, tables: int, bits: list[int], shift: int, probes: int, query: bool) -> DataFrame:
-    """A row for each vector, table and code prefix: ``(did, embedding, tab, prefix, codes)``."""
+    """A row for each vector, table and code prefix: ``(did, vec binary, tab, prefix, codes)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -190,6 +222,7 @@ def _hashed(rows: DataFrame, high: float, lift: bool, tables: int, bits: list[in
             if not batch.num_rows:
                 continue
             x = _unit(_matrix(batch.column(1)), high, lift, query)
+            vec = _packed(batch.column(1))
             for t in range(tables):
                 found, _ = codes(x, t, bits, probes)
                 found.sort(axis=1)  # equal prefixes are neighbours
@@ -199,14 +232,32 @@ def _hashed(rows: DataFrame, high: float, lift: bool, tables: int, bits: list[in
                 head = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (prefix[1:] != prefix[:-1])]))
                 take = pa.array(row[head])
                 lists = pa.ListArray.from_arrays(pa.array(np.append(head, len(flat)).astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(np.full(len(head), t, np.int32)), pa.array(prefix[head]), lists], names=["did", "embedding", "tab", "prefix", "codes"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), vec.take(take), pa.array(np.full(len(head), t, np.int32)), pa.array(prefix[head]), lists], names=["did", "vec", "tab", "prefix", "codes"])
+
+    return rows.select("did", "embedding").mapInArrow(run, "did long, vec binary, tab int, prefix long, codes array<long>")
+
+
+def _best(row, score, col, top: int):
+    """Places of the ``top`` largest scores of each row and of those that tie with the last but for rounding; rows ascend."""
+    import numpy as np
 
-    kind = rows.schema["embedding"].dataType.simpleString()
-    return rows.select("did", "embedding").mapInArrow(run, f"did long, embedding {kind}, tab int, prefix long, codes array<long>")
+    bits = score.view(np.int32).astype(np.int64)
+    falling = np.where(bits < 0, bits & 0x7FFFFFFF, ~bits & 0xFFFFFFFF)
+    falling = np.where(bits < 0, falling + 0x80000000, falling - 0x80000000)  # orders as the scores fall
+    order = np.argsort((row << 32) | falling)
+    row, score = row[order], score[order]
+    head = np.searchsorted(row, row)
+    last = np.minimum(head + top, np.searchsorted(row, row, side="right")) - 1
+    bar = score[last]
+    return order[(np.arange(len(row)) <= last) | (score >= bar - 1e-4 * (1 + np.abs(bar)))]
 
 
-def _meet(top: int):
-    """Cogrouped queries and index rows of one code prefix -> the best ``top`` of each query among those in its buckets."""
+def _meet(top: int, kind: str):
+    """Cogrouped queries and index rows of one code prefix -> the best ``top`` of each query among those in its buckets.
+
+    Products in single precision sift; what they let through is scored in double precision on the original
+    vectors.
+    """
 
     def run(asked: pa.Table, index: pa.Table) -> pa.Table:
         import numpy as np
@@ -217,8 +268,10 @@ def _meet(top: int):
         held = index.column("codes").combine_chunks().flatten().to_numpy()
         order = np.argsort(held, kind="stable")
         held = held[order]
-        vid, v = index.column("did").to_numpy()[order], _matrix(index.column("embedding"))[order]
-        qid, q = asked.column("did").to_numpy(), _matrix(asked.column("embedding"))
+        vid, v = index.column("did").to_numpy()[order], _unpacked(index.column("vec"), kind)[order]
+        qid, q = asked.column("did").to_numpy(), _unpacked(asked.column("vec"), kind)
+        scale = np.float32(1 / max(1e-30, float(np.abs(v).max())))
+        v32, q32 = v.astype(np.float32) * scale, (q / np.linalg.norm(q.astype(np.float64), axis=1, keepdims=True)).astype(np.float32)
         lists = asked.column("codes").combine_chunks()
         wanted = lists.flatten().to_numpy()
         owner = np.repeat(np.arange(len(qid)), np.diff(lists.offsets.to_numpy()))
@@ -234,15 +287,18 @@ def _meet(top: int):
             part = slice(cut[a], cut[b])
             count = n[part]
             row = np.repeat(owner[part], count)
-            col = np.repeat(low[part] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(len(row)) if len(row) else row
-            score = np.empty(len(row))
-            for j in range(0, len(row), 1 << 16):
-                score[j : j + (1 << 16)] = (q[row[j : j + (1 << 16)]] * v[col[j : j + (1 << 16)]]).sum(axis=1)
+            a = b
+            if not len(row):
+                continue
+            col = np.repeat(low[part] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(len(row))
+            rough = np.concatenate([np.einsum("ij,ij->i", q32[row[j : j + (1 << 15)]], v32[col[j : j + (1 << 15)]]) for j in range(0, len(row), 1 << 15)])
+            keep = _best(row, rough, col, top)
+            row, col = row[keep], col[keep]
+            score = (q[row].astype(np.float64) * v[col].astype(np.float64)).sum(axis=1)
             rank = np.lexsort([vid[col], -score, row])
             row, col, score = row[rank], col[rank], score[rank]
             keep = np.arange(len(row)) - np.searchsorted(row, row) < top
             out.append((qid[row[keep]], vid[col[keep]], score[keep]))
-            a = b
         return _found([np.concatenate(x) for x in zip(*out, strict=True)] if out else none)
 
     return run
@@ -311,17 +367,17 @@ def search(vectors: DataFrame, queries_where, top: int = TOP, tables: int = TABL
     own = lambda c: F.pmod(F.xxhash64("did"), F.coalesce(c, F.lit(1))).cast("int")
     left = asked.join(sizes, ["tab", "prefix"], "left").withColumn("qp", own(F.col("query_parts"))).withColumn("ip", each(F.col("index_parts")))
     right = index.join(sizes, ["tab", "prefix"], "left").withColumn("ip", own(F.col("index_parts"))).withColumn("qp", each(F.col("query_parts")))
-    columns = ["tab", "prefix", "ip", "qp", "did", "embedding", "codes"]
+    columns = ["tab", "prefix", "ip", "qp", "did", "vec", "codes"]
     keys = columns[:4]
-    met = left.select(columns).groupBy(*keys).cogroup(right.select(columns).groupBy(*keys)).applyInArrow(_meet(top + 1), FOUND)
-    best = materialize(met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), "met")
+    met = left.select(columns).groupBy(*keys).cogroup(right.select(columns).groupBy(*keys)).applyInArrow(_meet(top + 1, distinct.schema["embedding"].dataType.simpleString()), FOUND)
+    best = materialize(_ranked(met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), "query_id", top + 1).drop("rank"), "met")
     ids = distinct.select(F.col("did").alias("vec_id"), "ids")
     enough = best.join(ids.select("vec_id", F.size("ids").alias("k")), "vec_id").groupBy("query_id").agg(F.sum("k").alias("k")).where(F.col("k") > top)
     short = materialize(queries.join(enough, F.col("did") == F.col("query_id"), "left_anti"), "short")
     if not short.isEmpty():
-        best = best.join(short.select(F.col("did").alias("query_id")), "query_id", "left_anti").unionByName(exact_search(distinct, short, top + 1))
+        best = best.join(short.select(F.col("did").alias("query_id")), "query_id", "left_anti").unionByName(_ranked(exact_search(distinct, short, top + 1), "query_id", top + 1).drop("rank"))
     # as many distinct vectors as rows are asked for, then as many of their rows, for each distinct query; then its own rows
-    nearest = _ranked(best, "query_id", top + 1).join(ids, "vec_id").select("query_id", F.explode("ids").alias("vec_id"), "score")
+    nearest = best.join(ids, "vec_id").select("query_id", F.explode("ids").alias("vec_id"), "score")
     nearest = _ranked(nearest, "query_id", top + 1).select(F.col("query_id").alias("did"), "vec_id", "score")
     found = members.join(nearest, "did").where("query_id <> vec_id")
     return _ranked(found, "query_id", top).select("query_id", "rank", "vec_id", "score")

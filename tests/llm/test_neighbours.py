@@ -130,3 +130,14 @@ def test_queries_that_meet_too_few_are_scanned(spark):
     x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32).astype(float)
     got, want = searched(frame(spark, np.arange(60), x), tables=1, probes=0), brute(np.arange(60), x)
     assert {q: [v for v, _ in got[q]] for q in got} == {q: [v for v, _ in want[q]] for q in want}
+
+
+def test_sifting_keeps_the_best_and_ties():
+    r = np.random.default_rng(10)
+    row = np.repeat(np.arange(30), r.integers(0, 60, 30))
+    score = np.round(r.normal(size=len(row)), 1).astype(np.float32)
+    kept = set(nb._best(row, score, None, 5).tolist())
+    for q in range(30):
+        own = np.flatnonzero(row == q)
+        bar = np.sort(score[own])[::-1][:5]
+        assert {i for i in own.tolist() if len(bar) and score[i] >= bar[-1]} == {i for i in own.tolist() if i in kept}
