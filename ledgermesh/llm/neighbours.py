@@ -34,7 +34,7 @@ GROWTH = 0.39
 #: Axes of one turn that probes choose among.
 NEAR_AXES = 48
 #: Index rows and queries that meet in one group on average, and at most.
-PART_ROWS, PART_QUERIES = 16_000, 4_000
+PART_ROWS, PART_QUERIES = 64_000, 4_000
 #: Rows and queries of one block of the exact scan.
 SCAN_ROWS, SCAN_BLOCK = 50_000, 2_000
 FOUND = "query_id long, vec_id long, score double"
