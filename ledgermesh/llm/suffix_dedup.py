@@ -40,7 +40,7 @@ SEGMENT_BYTES = 1 << 19
 SHARD_BYTES = 1 << 19
 #: An anchor is split if it has more surroundings than this and than one in 2 ** 20 of all anchors, so that no more
 #: than 2 ** 20 hot anchors (8 MB) are sent to the tasks.
-HOT = 1024
+HOT = 4096
 #: Places of the anchor that the strings of a part have, when an anchor is split, and when a part is split again.
 SPLITS = (8, 1)
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)
