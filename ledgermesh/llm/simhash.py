@@ -224,7 +224,7 @@ RUN_ALL, LEADERS, LEADER_BITS = 16, 16, 14
 #: Rows of a block.
 BLOCK_ROWS = 2048
 #: Partners of a row in a block, nearest first, up to which each later round compares it; the last one compares all.
-ROUNDS = (16, 256, None)
+ROUNDS = (4, 64, None)
 #: 64-bit words of a wide fingerprint at least: with 512 bits, pairs below a similarity of about 0.68 never reach
 #: the comparison of texts.
 WIDE_WORDS = 8
@@ -454,12 +454,24 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release_memory()
 
 
-def _apart(low: int, high: int | None, limit: int, similarity: float):
-    """Two blocks of a run, rows (key, id, flip, component, n, fp, left) -> pairs (a, b) in different components.
+def _first_slice(x, y, bits: int, count: int):
+    """The first slice in which two wide fingerprints come within two bits, pair by pair."""
+    import numpy as np
+
+    out = np.empty(len(x), np.int64)
+    for i in range(0, len(x), 20_000):
+        differ = np.unpackbits(np.ascontiguousarray(x[i : i + 20_000] ^ y[i : i + 20_000]).view(np.uint8), axis=1, bitorder="little")
+        near = differ[:, : bits * count].reshape(len(differ), count, bits).sum(axis=2) <= 2
+        out[i : i + 20_000] = near.argmax(axis=1)
+    return out
 
-    ``left`` says which of the two blocks a row is of (both, if they are one). Of each left row's partners, in
-    order of the whole fingerprints' distance, those from ``low`` up to ``high``. A row (id, id) says that
-    partners in other components follow.
+
+def _apart(high: int | None, limit: int, similarity: float, bits: int, count: int):
+    """Two blocks of a run, rows (key, id, flip, component, n, fp, side) -> pairs (a, b) in different components.
+
+    ``side`` says which of the two blocks a row is of (both, if they are one). Of each left row's partners, in
+    order of the whole fingerprints' distance, those up to ``high``. A row (id, id) says that
+    partners in other components follow. A pair that meets in several slices belongs to the first of them.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -478,15 +490,16 @@ def _apart(low: int, high: int | None, limit: int, similarity: float):
                 d += np.bitwise_count(fps[mine, w][:, None] ^ fps[right, w][None, :])
             fits = np.minimum(n[mine][:, None], n[right][None, :]) >= similarity * np.maximum(n[mine][:, None], n[right][None, :])
             x, y = np.nonzero((d <= limit) & fits & (ids[mine][:, None] != ids[right][None, :]))
-            ok = _meets_here(key[0], flip[mine[x]], flip[right[y]])
+            ok = _meets_here(key[0], flip[mine[x]], flip[right[y]]) & (comp[mine[x]] != comp[right[y]])
+            x, y = x[ok], y[ok]
+            ok = _first_slice(fps[mine[x]], fps[right[y]], bits, count) == key[0] >> 48
             x, y = x[ok], y[ok]
             order = np.lexsort((ids[right[y]], d[x, y], x))
             x, y = x[order], y[order]
             rank = np.arange(len(x)) - np.searchsorted(x, x)
             x, y = mine[x], right[y]
-            other = comp[x] != comp[y]
-            late = other & (rank >= high) if high else np.zeros(len(x), bool)
-            now = other & (rank >= low) & ~late
+            late = rank >= high if high else np.zeros(len(x), bool)
+            now = ~late
             out.append((np.minimum(ids[x], ids[y])[now], np.maximum(ids[x], ids[y])[now]))
             if late.any():
                 out.append((ids[x[late][:1]], ids[x[late][:1]]))
@@ -496,7 +509,7 @@ def _apart(low: int, high: int | None, limit: int, similarity: float):
     return run
 
 
-def _with_skipped(links: DataFrame, skipped: DataFrame, tested: DataFrame, wide: DataFrame, rows: DataFrame, shingle_words: int, similarity: float, limit: int) -> DataFrame:
+def _with_skipped(links: DataFrame, skipped: DataFrame, tested: DataFrame, wide: DataFrame, rows: DataFrame, shingle_words: int, similarity: float, limit: int, bits: int, count: int) -> DataFrame:
     """``links(a, b)`` and those among the further pairs of long runs that join further components.
 
     ``skipped(key, id, flip)`` has the rows of long runs, ``tested(a, b)`` the pairs whose texts were compared
@@ -504,7 +517,6 @@ def _with_skipped(links: DataFrame, skipped: DataFrame, tested: DataFrame, wide:
     task of their own. Each round compares the nearest partners that are still in different components, and
     the last one all of them, so no pair that met under a key is left out.
     """
-    low = 0
     for high in ROUNDS:
         if skipped.isEmpty():
             break
@@ -521,13 +533,12 @@ def _with_skipped(links: DataFrame, skipped: DataFrame, tested: DataFrame, wide:
         # a row meets each block once: (own, other) as left or right, (own, own) as both
         other = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         dealt = other.select("key", "id", "flip", "component", "n", "fp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") < F.col("other"), 0).when(F.col("own") > F.col("other"), 1).otherwise(2).alias("side"))
-        found = materialize(dealt.groupBy("key", "i", "j").applyInArrow(_apart(low, high, limit, similarity), "a long, b long").distinct(), "apart")
+        found = materialize(dealt.groupBy("key", "i", "j").applyInArrow(_apart(high, limit, similarity, bits, count), "a long, b long").distinct(), "apart")
         pairs = materialize(found.where("a <> b").join(tested, ["a", "b"], "left_anti"), "apart-new")
         links = materialize(links.unionByName(_verified(pairs, rows, shingle_words, similarity)), "links")
         if found.where("a = b").isEmpty():
             break
         tested = tested.unionByName(pairs)
-        low = high
     return links
 
 
@@ -588,7 +599,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle_words: int
     copies = fps.join(same.select("fp", "id"), "fp").where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
     near = materialize(first.unionByName(_verified(rest, rows, shingle_words, similarity)), "links")
     skipped = met.where("flip >= 0").select(F.col("a").alias("key"), F.col("b").alias("id"), "flip")
-    found = _with_skipped(near, skipped, pairs.select("a", "b"), same, rows, shingle_words, similarity, limit).unionByName(copies)
+    found = _with_skipped(near, skipped, pairs.select("a", "b"), same, rows, shingle_words, similarity, limit, bits, count).unionByName(copies)
     return connected_components(found).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
 
 
