@@ -177,7 +177,8 @@ def scan(files: DataFrame, templates: dict[str, str] | None = None, threshold: f
     rows = files.select(F.col("path").cast("string").alias("path"), F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
     base = F.lower(F.regexp_extract("path", r"([^/.\-]*)[^/]*$", 1))
     is_file = F.coalesce(base.isin(*LICENSE_FILES), F.lit(False))
-    marked = rows.where(_marked(F.col("text"))).withColumn("whole", is_file)
+    # few texts speak of a licence; they are looked at several times, the others once
+    marked = materialize(rows.where(_marked(F.col("text"))).withColumn("whole", is_file), "license-marked")
     units = F.when(F.col("whole"), F.array(F.trim("text"))).otherwise(F.array().cast("array<string>"))
     said = marked.select("path", "whole", F.explode(F.array_distinct(F.concat(headers(F.col("text")), units))).alias("said")).select("path", "whole", F.md5("said").alias("unit"), "said")
     found = said.select("path", "whole", "unit").distinct()
