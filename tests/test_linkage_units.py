@@ -80,6 +80,28 @@ def test_similarities():
     assert abs(s.jaro_winkler("MARTHA", "MARHTA") - 0.961111) < 1e-5 and s.jaro_winkler("", "x") == 0
 
 
+def test_jaro_winkler_equals_sql():
+    import random
+
+    import duckdb
+
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefgh ") for _ in range(r.randint(0, 30)))
+    rows = [("zorb old gear private limited", "zorb dba old gear"), ("", ""), ("", "a"), ("a", "a")]
+    for _ in range(3000):
+        a = word()
+        rows.append((a, "".join(r.choice("abcdefgh ") if r.random() < 0.2 else c for c in a)[: r.randint(0, 30)]))
+        rows.append((a, word()))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (i INT, a VARCHAR, b VARCHAR)")
+    con.execute("INSERT INTO t SELECT unnest(?), unnest(?), unnest(?)", [list(range(len(rows))), [a for a, _ in rows], [b for _, b in rows]])
+    want = [x for (x,) in con.execute("SELECT jaro_winkler_similarity(a, b) FROM t ORDER BY i").fetchall()]
+    got = [similarity.jaro_winkler(a, b, both_empty=0.0) for a, b in rows]
+    assert max(abs(x - y) for x, y in zip(got, want, strict=True)) < 1e-12
+    assert [(x >= 0.9, x < 0.7) for x in got] == [(x >= 0.9, x < 0.7) for x in want]
+    assert similarity.jaro_winkler("", "") == 1.0
+
+
 def brute_partial(a, b):
     short, long = sorted((a, b), key=len)
     m = len(short)
