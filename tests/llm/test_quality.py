@@ -84,3 +84,44 @@ def test_very_long_text(spark):
     df = spark.createDataFrame([*docs, (901, "word " * 600_000)], "doc_id long, text string")
     got = quality.quality_scores(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).where("doc_id = 901").collect()
     assert len(got) == 1 and 0 <= got[0].score <= 1
+
+
+def test_all_pairs_of_all_labelled_documents_count(spark):
+    docs, labels = corpus(600)
+    df, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = quality.train(df.repartition(7), lab)
+    assert model == quality.train(df.repartition(2), lab)
+    known = [(d, q) for d, q, _ in labels if zlib.crc32(str(d).encode()) % 3 != 1]
+    x, y = np.array([quality.features(docs[d][1]) for d, _ in known]), np.array([q for _, q in known])
+    z = (x - model.mean) / model.scale
+    w = np.array(model.weights)
+    # the gradient of the loss over every pair vanishes, to the width of bins and of the features' steps
+    d = z[y == 1][:, None, :] - z[y == 0][None, :, :]
+    p = 1 / (1 + np.exp(-(d @ w)))
+    grad = ((p - 1)[:, :, None] * d).mean((0, 1)) + 1e-3 * w
+    assert np.abs(grad).max() < 1e-5
+    assert model.cut == pytest.approx(quality.weighted_cut(z @ w, y, int((y == 0).sum()), int((y == 1).sum())), abs=1e-9)
+
+
+def test_cut_of_equal_scores_and_unequal_weights(spark):
+    r = np.random.default_rng(1)
+    k = len(quality.FEATURES)
+    x = np.zeros((300, k))
+    x[:, 0] = r.integers(0, 9, 300) / 4 - 1
+    y = (r.random(300) < 0.7).astype(int)
+    rows = spark.createDataFrame([(int(b), a.tolist()) for a, b in zip(x, y, strict=True)], "quality int, x array<double>")
+    one = [1.0] + [0.0] * (k - 1)
+    b, g = int((y == 0).sum()), int((y == 1).sum())
+    for counts in ((b, g), (30, 400), (400, 30), (1, 0)):
+        order = np.lexsort((y, x[:, 0]))
+        want = quality.weighted_cut(x[order, 0], y[order], *counts)
+        assert quality._cut(rows, [0.0] * k, [1.0] * k, one, *counts, b, g) == want
+
+
+def test_contradictory_labels_are_left_out(spark):
+    docs, labels = corpus(200)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    schema = "doc_id long, quality int, toxic int"
+    some = [x for x in labels if x[0] % 7]
+    both = some + [(d, v, 0) for d, _, _ in labels if d % 7 == 0 for v in (0, 1)]
+    assert quality.train(df, spark.createDataFrame(both, schema)) == quality.train(df, spark.createDataFrame(some, schema))
