@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline as cp
-from ledgermesh.llm import simhash
+from ledgermesh.llm import quality, simhash
 from ledgermesh.llm.components import spanning_stars
 from pyspark.sql import functions as F
 
@@ -222,3 +222,18 @@ def test_stages_on_empty_tables_and_extra_columns(spark, tmp_path):
         assert wide.columns == more.columns
         assert sorted(map(str, wide.select(full.columns).collect())) == sorted(map(str, plain.collect()))
         assert {tuple(r) for r in wide.select(names).collect()} <= {("clash",) * len(names)}
+
+
+def test_quality_stage_learns_from_all_labels(spark, tmp_path, monkeypatch):
+    n = 27_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")).write.parquet(f"{tmp_path}/labels.parquet")
+    learned = []
+
+    def fit(rows, *rest):
+        learned.append(rows.count())
+        return quality.Model((0.0,) * 12, (0.0,) * 12, (1.0,) * 12, 0.0)
+
+    monkeypatch.setattr(quality, "fit", fit)
+    assert cp.quality_filter(spark, docs, str(tmp_path)).count() == n
+    assert learned == [docs.where(~quality.held_out(F.col("doc_id"))).count()] and learned[0] > 16_000
