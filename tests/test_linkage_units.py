@@ -1,6 +1,6 @@
 from ledgermesh.constants import BITS
 from ledgermesh.functions import address, keys, phonetic, similarity, text
-from ledgermesh.operators import blocking, decide, evaluate, rules, validate
+from ledgermesh.operators import blocking, decide, evaluate, features, rules, validate
 from ledgermesh.sources import tables
 from ledgermesh.streaming.arrivals import stream_matches
 from pyspark.sql import functions as F
@@ -118,6 +118,25 @@ def test_partial_ratio_is_the_best_window():
             assert abs(similarity.partial_ratio(a, b) - brute_partial(a, b)) < 1e-9, (a, b)
 
 
+def test_batch_scores_equal_the_plain_functions():
+    import random
+
+    r = random.Random(6)
+    text = lambda: "".join(r.choice("abcdé日 ") for _ in range(r.choice([0, 1, 3, 9, 20, 63, 64, 65, 90])))
+    a, b = ([text() for _ in range(400)] for _ in range(2))
+    for many, one in ((similarity.partial_ratios, similarity.partial_ratio), (similarity.indel_ratios, similarity.indel_ratio), (similarity.jaro_winklers, similarity.jaro_winkler)):
+        for x, y in ((a, b), (a, [t[::-1] for t in a]), (a, [t[2:] + "b" for t in a])):
+            assert list(many(x, y)) == [one(p, q) for p, q in zip(x, y, strict=True)]
+
+
+def test_scoring_is_dealt_to_all_tasks(spark):
+    pairs = spark.createDataFrame([(f"S1-{i % 9}", f"S2-{i}", 1) for i in range(60)], "s1_id string, cand_id string, mask int")
+    side = lambda ids: spark.createDataFrame([(i, f"name {i}", "1 road", "1", "2") for i in ids], "entity_id string, name_norm string, address_norm string, hnum string, postcode string")
+    sides = side([f"S1-{i}" for i in range(9)]), side([f"S2-{i}" for i in range(60)]).withColumn("source", F.lit(2))
+    out = features.build_features(pairs.withColumn("source", F.lit(2)), sides[0], sides[1].drop("source"))
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString() and out.count() == 60
+
+
 def test_f05_example(spark):
     ref = spark.createDataFrame([("S1-1",), ("S1-2",), ("S1-3",)], "entity_id string")
     truth = spark.createDataFrame([("S1-1", "S2-47, S3-812"), ("S1-2", ""), ("S1-3", None)], "source1_entity_id string, matched_entity_ids string")
