@@ -17,3 +17,12 @@ def test_out_of_fold_scores_and_saved_models(spark, tmp_path):
     assert mean(models) == mean(loaded)
     with pytest.raises(ValueError):
         model.mean_of(models, data, ["b", "a"])
+
+
+def test_folds_read_training_rows_written_once(spark, monkeypatch):
+    data = spark.range(200).select(F.concat(F.lit("S1-"), F.col("id") % 40).alias("s1_id"), F.concat(F.lit("S2-"), "id").alias("cand_id"), ((F.col("id") % 10) / 10.0).alias("a"), (F.col("id") % 10 >= 7).alias("y"))
+    read = []
+    fit = model.fit
+    monkeypatch.setattr(model, "fit", lambda rows, *a, **k: read.append(rows.inputFiles()) or fit(rows, *a, **k))
+    scored, _ = model.out_of_fold(data, ["a"], folds=2, trees=1, depth=1)
+    assert scored.count() == 200 and len(read) == 2 and all("/tables/training-" in f for files in read for f in files) and read[0]
