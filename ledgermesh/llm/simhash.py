@@ -218,13 +218,13 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, radius: int = RADIU
 #: other six bits of the word tell which bit of the slice was flipped for the key.
 FIRST_WORD, FIRST_WORD_BITS = 58, 19
 #: Rows of a run that are compared all with all. In a longer one each row is first compared with the nearest of a
-#: few leaders, rows far from all leaders before them; once it is known which components are still apart, their rows
-#: are compared all with all, in blocks dealt to many tasks.
+#: few leaders, rows far from all leaders before them; once it is known which components are still apart, the
+#: documents of long runs are joined by the prefixes of their shingles.
 RUN_ALL, LEADERS, LEADER_BITS = 16, 16, 14
-#: Rows of a block.
-BLOCK_ROWS = 2048
-#: Partners of a row in a block, nearest first, up to which each later round compares it; the last one compares all.
-ROUNDS = (4, 64, None)
+#: Documents that share a rare shingle at most.
+RARE = 32
+#: Rows of a block and their frequent shingles, about.
+BLOCK_ROWS, BLOCK_SHINGLES = 2048, 2_000_000
 #: 64-bit words of a wide fingerprint at least: with 512 bits, pairs below a similarity of about 0.68 never reach
 #: the comparison of texts.
 WIDE_WORDS = 8
@@ -454,92 +454,125 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release_memory()
 
 
-def _first_slice(x, y, bits: int, count: int):
-    """The first slice in which two wide fingerprints come within two bits, pair by pair."""
-    import numpy as np
+def _prefixes(similarity: float):
+    """Rows (id, n, component, list of (count, shingle) in order) -> (shingle, id, pos, n, component, parts), a row for each shingle of the prefix.
 
-    out = np.empty(len(x), np.int64)
-    for i in range(0, len(x), 20_000):
-        differ = np.unpackbits(np.ascontiguousarray(x[i : i + 20_000] ^ y[i : i + 20_000]).view(np.uint8), axis=1, bitorder="little")
-        near = differ[:, : bits * count].reshape(len(differ), count, bits).sum(axis=2) <= 2
-        out[i : i + 20_000] = near.argmax(axis=1)
-    return out
+    A document's order begins with shingles that no other component has, which ``list`` leaves out; ``pos`` is the
+    place in all of it. ``parts`` are the shingles of a document with which it can be similar by frequent ones
+    alone, for its frequent shingles; it is null for rare ones.
+    """
 
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        import numpy as np
 
-def _apart(high: int | None, limit: int, similarity: float, bits: int, count: int):
-    """Two blocks of a run, rows (key, id, flip, component, n, fp, side) -> pairs (a, b) in different components.
+        ids, n, comp = (batch.column(i).to_numpy() for i in range(3))
+        lists = batch.column(3)
+        offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        counts, shingles = (x.to_numpy() for x in lists.flatten().flatten())
+        out: list[list] = [[] for _ in range(6)]
+        for i in range(batch.num_rows):
+            c, h = counts[offsets[i] : offsets[i + 1]], shingles[offsets[i] : offsets[i + 1]]
+            first = int(n[i]) - len(h)
+            least = _least(similarity * int(n[i]))
+            k = min(len(h), int(n[i]) - least + 1 - first)  # a similar one shares its first common shingle up to here
+            if k <= 0:
+                continue
+            rare = int(np.searchsorted(c, RARE, side="right"))
+            if len(h) - rare < least:
+                k = min(k, rare)  # not similar to any without a common rare shingle
+            parts = h[rare:]
+            for column, values in zip(out, (h[:k], [ids[i]] * k, range(first, first + k), [n[i]] * k, [comp[i]] * k, [None if j < rare else parts for j in range(k)]), strict=True):
+                column.extend(values)
+        types = (pa.int64(),) * 5 + (pa.list_(pa.int64()),)
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=["h", "id", "pos", "n", "component", "parts"])
 
-    ``side`` says which of the two blocks a row is of (both, if they are one). Of each left row's partners, in
-    order of the whole fingerprints' distance, those up to ``high``. A row (id, id) says that
-    partners in other components follow. A pair that meets in several slices belongs to the first of them.
+    return run
+
+
+def _least(x: float) -> int:
+    """The least whole number that is not below x, but for rounding."""
+    import math
+
+    return math.ceil(x - 1e-6)
+
+
+def _alike(similarity: float):
+    """Two blocks of the documents that share a frequent shingle, rows (id, n, component, parts, side) -> pairs of components to join.
+
+    ``side`` says which of the two blocks a row is of (both, if they are one). Shingles that two documents have in
+    common are counted over ``parts``: all of them, or enough of them to join the two.
     """
 
     def run(table: pa.Table) -> pa.Table:
         import numpy as np
 
-        key = table.column("key").to_numpy()
-        ids, flip, comp, n, side = (table.column(c).to_numpy() for c in ("id", "flip", "component", "n", "side"))
-        fps = table.column("fp").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
+        n, comp, side = (table.column(c).to_numpy() for c in ("n", "component", "side"))
+        parts = table.column("parts").combine_chunks()
+        size = np.diff(parts.offsets.to_numpy())
+        at = np.unique(parts.flatten().to_numpy(), return_inverse=True)[1]
+        row = np.repeat(np.arange(len(n)), size)
+        order = np.argsort(at, kind="stable")
+        at, row = at[order], row[order]
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        out = []
-        flip = flip.astype(np.uint64)
+        both = np.zeros((len(left), len(right)), np.float32)
+        for v in range(0, int(at[-1]) + 1 if len(at) else 0, 2048):
+            own = slice(*np.searchsorted(at, [v, v + 2048]))
+            has = np.zeros((len(n), 2048), np.float32)
+            has[row[own], at[own] - v] = 1
+            both += has[left] @ has[right].T
+        found = []
         for i in range(0, len(left), 256):
             mine = left[i : i + 256]
-            d = np.zeros((len(mine), len(right)), np.int16)
-            for w in range(fps.shape[1]):
-                d += np.bitwise_count(fps[mine, w][:, None] ^ fps[right, w][None, :])
-            fits = np.minimum(n[mine][:, None], n[right][None, :]) >= similarity * np.maximum(n[mine][:, None], n[right][None, :])
-            x, y = np.nonzero((d <= limit) & fits & (ids[mine][:, None] != ids[right][None, :]))
-            ok = _meets_here(key[0], flip[mine[x]], flip[right[y]]) & (comp[mine[x]] != comp[right[y]])
-            x, y = x[ok], y[ok]
-            ok = _first_slice(fps[mine[x]], fps[right[y]], bits, count) == key[0] >> 48
-            x, y = x[ok], y[ok]
-            order = np.lexsort((ids[right[y]], d[x, y], x))
-            x, y = x[order], y[order]
-            rank = np.arange(len(x)) - np.searchsorted(x, x)
-            x, y = mine[x], right[y]
-            late = rank >= high if high else np.zeros(len(x), bool)
-            now = ~late
-            out.append((np.minimum(ids[x], ids[y])[now], np.maximum(ids[x], ids[y])[now]))
-            if late.any():
-                out.append((ids[x[late][:1]], ids[x[late][:1]]))
-        a, b = (np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
+            common = both[i : i + 256].astype(np.float64)
+            x, y = np.nonzero((common >= similarity * (n[mine][:, None] + n[right][None, :] - common)) & (comp[mine][:, None] != comp[right][None, :]))
+            p, q = comp[mine[x]], comp[right[y]]
+            found.append(np.unique(np.stack([np.minimum(p, q), np.maximum(p, q)]), axis=1))
+        a, b = spanning_stars(*np.concatenate(found, axis=1)) if found else (np.zeros(0, np.int64),) * 2
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
-def _with_skipped(links: DataFrame, skipped: DataFrame, tested: DataFrame, wide: DataFrame, rows: DataFrame, shingle_words: int, similarity: float, limit: int, bits: int, count: int) -> DataFrame:
-    """``links(a, b)`` and those among the further pairs of long runs that join further components.
+def _further_links(ids: DataFrame, links: DataFrame, rows: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+    """Links that join different components of ``links(a, b)`` among the documents ``ids(id)``; none of that similarity is left out.
 
-    ``skipped(key, id, flip)`` has the rows of long runs, ``tested(a, b)`` the pairs whose texts were compared
-    or joined already. Runs within one component are left; of the others, each two blocks of rows meet in a
-    task of their own. Each round compares the nearest partners that are still in different components, and
-    the last one all of them, so no pair that met under a key is left out.
+    An exact join by prefixes. Shingles are ordered: first those that only one component has, then the rarer
+    ones; a pair of that similarity shares its first common shingle near the head of both orders. Where that one is
+    in at most ``RARE`` of the documents, the pairs that share it are compared by their texts, so a document has
+    that many for each shingle of its prefix at most. Else all that the two have in common are frequent shingles:
+    only documents that mostly consist of such can be, and they are compared in blocks, of which only a spanning
+    forest of components leaves a task.
     """
-    for high in ROUNDS:
-        if skipped.isEmpty():
-            break
-        comp = connected_components(links).select(F.col("node").alias("id"), "component")
-        placed = materialize(skipped.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id")), "skipped")
-        # rows flipped alike have no pair here, nor have rows of one component
-        kinds = placed.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.min("flip").alias("f"), F.max("flip").alias("g"), F.count("*").alias("rows"))
-        open_ = kinds.where("p < q AND (f < g OR f = 0)").select("key", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("blocks"))
-        placed = materialize(placed.join(open_, "key").select("key", "id", "flip", "component", "blocks"), "skipped-open")
-        skipped = placed.select("key", "id", "flip")
-        if placed.isEmpty():
-            break
-        own = placed.join(wide, "id").select("key", "id", "flip", "component", "n", "fp", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("own"))
-        # a row meets each block once: (own, other) as left or right, (own, own) as both
-        other = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = other.select("key", "id", "flip", "component", "n", "fp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") < F.col("other"), 0).when(F.col("own") > F.col("other"), 1).otherwise(2).alias("side"))
-        found = materialize(dealt.groupBy("key", "i", "j").applyInArrow(_apart(high, limit, similarity, bits, count), "a long, b long").distinct(), "apart")
-        pairs = materialize(found.where("a <> b").join(tested, ["a", "b"], "left_anti"), "apart-new")
-        links = materialize(links.unionByName(_verified(pairs, rows, shingle_words, similarity)), "links")
-        if found.where("a = b").isEmpty():
-            break
-        tested = tested.unionByName(pairs)
-    return links
+    comp = connected_components(links).select(F.col("node").alias("id"), "component")
+    own = ids.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    texts = rows.withColumnRenamed("doc_id", "id").join(own, "id").select("id", "component", "text")
+
+    def shingles(batch: pa.RecordBatch) -> pa.RecordBatch:
+        import numpy as np
+
+        sets = [shingle_hashes((t or "").encode(), shingle_words).view(np.int64) for t in batch.column(2).to_pylist()]
+        n = np.array([len(h) for h in sets], np.int64)
+        held = [np.repeat(x, n) for x in (batch.column(0).to_numpy(), batch.column(1).to_numpy(), n)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(sets), *held)], names=["h", "id", "component", "n"])
+
+    held = materialize(map_arrow(texts, shingles, "h long, id long, component long, n long"), "shingles")
+    open_ = held.groupBy("h").agg(F.count("*").alias("c"), F.min("component").alias("p"), F.max("component").alias("q")).where("p < q").select("h", "c")
+    listed = held.join(open_, "h").groupBy("id", "n", "component").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("list"))
+    heads = materialize(map_arrow(listed, _prefixes(similarity), "h long, id long, pos long, n long, component long, parts array<long>"), "prefixes")
+    few = heads.where("parts IS NULL").drop("parts")
+    a, b = few.alias("a"), few.alias("b")
+    enough = F.least(F.expr("a.n - a.pos"), F.expr("b.n - b.pos")) >= F.expr("a.n + b.n") * (similarity / (1 + similarity)) - 1e-6
+    pairs = a.join(b, F.expr("a.h = b.h AND a.id < b.id AND a.component <> b.component") & enough).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    rare = _verified(materialize(pairs.distinct(), "rare-pairs"), rows, shingle_words, similarity)
+    many = heads.where("parts IS NOT NULL")
+    kinds = many.groupBy("h").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count("*").alias("rows"), F.sum(F.size("parts")).alias("parts"))
+    blocks = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("parts") / BLOCK_SHINGLES)).cast("int")
+    placed = many.join(kinds.where("p < q").select("h", blocks.alias("blocks")), "h").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # a row meets each block once: (own, other) as left or right, (own, own) as both
+    other = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("own") < F.col("other"), 0).when(F.col("own") > F.col("other"), 1).otherwise(2)
+    dealt = other.select("h", "id", "n", "component", "parts", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"))
+    return rare.unionByName(dealt.groupBy("h", "i", "j").applyInArrow(_alike(similarity), "a long, b long"))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
@@ -570,10 +603,10 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle_words: int
 
     Links are pairs whose sets of word shingles have that Jaccard similarity, found by ball hashing on
     slices of a wide SimHash and verified on the texts; a group's id is its smallest doc_id. Each document
-    is first compared with its nearest candidate, then with those that this has not joined to it, at last with
-    all it meets in long runs and is still apart from. A family whose members are similar to one of a few
-    leaders costs comparisons in proportion to its members; documents that share a key with many, but are not
-    joined to them, are compared with each by their wide fingerprints, in blocks dealt to many tasks. Equal
+    is first compared with its nearest candidate, then with those that this has not joined to it. Documents that
+    meet in long runs are compared with a few leaders there and then joined by the prefixes of their shingles,
+    which leaves no pair out: pairs of texts are in proportion to the documents, and only documents that mostly
+    consist of shingles that many share are compared with each other, in blocks dealt to many tasks. Equal
     wide fingerprints (all blank texts, for one) count as copies. Null texts count as empty; documents in no
     group and null ids are absent; other columns are ignored; an empty table gives no rows.
     """
@@ -586,9 +619,10 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle_words: int
     # emission multiplies rows: deal them out by number, not by their few bytes
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // 20_000)
     keys = same.select("id", "fp").repartition(parts, "id").mapInArrow(_slice_variants(bits, count), "key long, id long, word long")
-    met = materialize(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_candidates, "a long, b long, flip int").distinct(), "met")
-    limit = _most_bits(words * 64, similarity)
-    pairs = materialize(_within(met.where("flip < 0").select("a", "b"), same, limit, similarity), "near")
+    found = keys.repartition("key").sortWithinPartitions("key").mapInArrow(_candidates, "a long, b long, flip int")
+    # a row of a long run counts once, as (id, id)
+    met = materialize(found.select(F.when(F.col("flip") < 0, F.col("a")).otherwise(F.col("b")).alias("a"), "b").distinct(), "met")
+    pairs = materialize(_within(met.where("a <> b"), same, _most_bits(words * 64, similarity), similarity), "near")
     nearest = pairs.groupBy("b").agg(F.min(F.struct("d", "a")).alias("m")).select("m.a", "b")
     first = materialize(_verified(nearest, rows, shingle_words, similarity), "links")
     joined = materialize(connected_components(first), "groups")
@@ -598,8 +632,8 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle_words: int
     rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     copies = fps.join(same.select("fp", "id"), "fp").where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
     near = materialize(first.unionByName(_verified(rest, rows, shingle_words, similarity)), "links")
-    skipped = met.where("flip >= 0").select(F.col("a").alias("key"), F.col("b").alias("id"), "flip")
-    found = _with_skipped(near, skipped, pairs.select("a", "b"), same, rows, shingle_words, similarity, limit, bits, count).unionByName(copies)
+    further = _further_links(met.where("a = b").select(F.col("a").alias("id")), near, rows, shingle_words, similarity)
+    found = near.unionByName(materialize(further, "further-links")).unionByName(copies)
     return connected_components(found).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
 
 

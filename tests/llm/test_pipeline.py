@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline as cp
+import numpy as np
 from ledgermesh.llm import quality, simhash
 from ledgermesh.llm.components import spanning_stars
 from pyspark.sql import functions as F
@@ -237,3 +238,54 @@ def test_quality_stage_learns_from_all_labels(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(quality, "fit", fit)
     assert cp.quality_filter(spark, docs, str(tmp_path)).count() == n
     assert learned == [docs.where(~quality.held_out(F.col("doc_id"))).count()] and learned[0] > 16_000
+
+
+def near_but_apart(n, seed=23):
+    r = random.Random(seed)
+    words = [f"w{i}" for i in range(260)]
+    return [(i, " ".join([*words[(a := r.randint(0, 12)) : a + 240], *(f"o{i}x{k}" for k in range(r.randint(34, 48)))])) for i in range(n)]
+
+
+def test_texts_compared_grow_with_the_documents_not_with_their_square(spark, monkeypatch):
+    verified, compared = simhash._verified, []
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "_verified", counted)
+    for n in (150, 600):
+        compared.clear()
+        docs = near_but_apart(n)
+        assert max(jaccard(docs[i][1], docs[j][1]) for i in range(30) for j in range(i)) < 0.8
+        assert simhash.similar_groups(spark.createDataFrame(docs, "doc_id long, text string")).isEmpty()
+        assert sum(compared) < 30 * n
+
+
+def test_further_links_are_those_of_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    r = random.Random(29)
+    words = [f"w{i}" for i in range(60)]
+    docs = [(i, " ".join([*words[(a := r.randint(0, 20)) : a + r.randint(20, 40)], *(f"o{r.randint(0, 40)}" for _ in range(r.randint(0, 4)))])) for i in range(200)]
+    docs += [(200, None), (201, "one"), (202, "One"), (203, "one two")]
+    comp = {d: d for d, _ in docs}
+
+    def find(x):
+        while comp[x] != x:
+            x = comp[x]
+        return x
+
+    near = [(b, a) for a, t in docs for b, u in docs[:a] if t and u and jaccard(t, u) >= 0.8]
+    for i, j in near:
+        x, y = find(i), find(j)
+        comp[max(x, y)] = min(x, y)
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    ids = rows.selectExpr("doc_id AS id")
+    for rare, block, known in ((2, 7, []), (32, 2048, near[::9]), (10**6, 2048, [])):
+        monkeypatch.setattr(simhash, "RARE", rare)
+        monkeypatch.setattr(simhash, "BLOCK_ROWS", block)
+        links = spark.createDataFrame(known, "a long, b long")
+        found = [*known, *((x.a, x.b) for x in simhash._further_links(ids, links, rows, 5, 0.8).collect())]
+        root, member = spanning_stars(*(np.array(x) for x in zip(*found, strict=True)))
+        assert dict(zip(member.tolist(), root.tolist(), strict=True)) == {d: find(d) for d in comp if find(d) != d}
