@@ -9,6 +9,7 @@ to their group once, as 16-bit numbers where the vocabulary allows it.
 
 from __future__ import annotations
 
+import codecs
 import functools
 import sys
 import unicodedata
@@ -50,6 +51,8 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: whether words of letters, with a stop or without, may hold a special token
+        self.plain_special = any(s.strip(".,").isalpha() or not s.strip(".,") for s in self.special)
         self.model = self.tokenizer.model
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -58,43 +61,41 @@ class WordIds:
         self.odd = regex.compile("[\x1c-\x1f]").search
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in printable]
-        self.shown = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+        shown = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+        self.shown = "".join(shown[b] for b in range(256))
 
     def whole(self, text: str) -> bytes:
         return _pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def word(self, word: str) -> bytes:
-        if any(s in word.lower() for s in self.special):  # special tokens in a text are what the tokenizer makes of them
-            return self.whole(word)
+        letters = word.isalpha() or word[-1] in ".," and word[:-1].isalpha()
+        if (self.plain_special or not letters) and any(s in word.lower() for s in self.special):
+            return self.whole(word)  # special tokens in a text are what the tokenizer makes of them
         if not word.isascii():
             if max(word) >= _SIMPLE:
                 return self.whole(word)
-            word = "".join(map(str.lower, unicodedata.normalize("NFC", word)))
-        else:
-            word = word.lower()
+            word = unicodedata.normalize("NFC", word)
+        word = word.lower()
+        if word.isalpha():
+            return _pack([t.id for t in self.model.tokenize(self.spelled(word))])
         if word[-1] in ".," and word[:-1].isalpha():  # the usual case: a word and a stop
             stem = word[:-1]
             return (self.words.get(stem) or self.older.get(stem) or self.word(stem)) + self.stops[word[-1]]
-        ids = []
-        for part in (word,) if word.isalpha() else self.split(word):
-            part = part if part.isascii() and part.isprintable() else "".join(map(self.shown.__getitem__, part.encode()))
-            ids += [t.id for t in self.model.tokenize(part)]
-        return _pack(ids)
+        return _pack([t.id for part in self.split(word) for t in self.model.tokenize(self.spelled(part))])
+
+    def spelled(self, part: str) -> str:
+        """The part as the tokenizer's vocabulary spells its bytes."""
+        return part if part.isascii() and part.isprintable() else codecs.charmap_decode(part.encode(), "strict", self.shown)[0]
 
     def ids(self, text: str) -> bytes:
         if self.odd(text):  # Python splits at these, the tokenizer does not
             return self.whole(text)
         if len(self.words) > CACHE_WORDS:
             self.words, self.older = {}, self.words
-        words, parts = self.words, text.split()
-        try:
-            return b"".join(map(words.__getitem__, parts))
-        except KeyError:
-            older = self.older
-            for w in parts:
-                if w not in words:
-                    words[w] = older.get(w) or self.word(w)
-            return b"".join(map(words.__getitem__, parts))
+        words, older, parts = self.words, self.older, text.split()
+        for w in set(parts).difference(words):
+            words[w] = older.get(w) or self.word(w)
+        return b"".join(map(words.__getitem__, parts))
 
 
 def _pack(ids: list[int]) -> bytes:

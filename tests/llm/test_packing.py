@@ -50,6 +50,20 @@ def test_special_tokens_are_those_of_the_tokenizer():
     assert np.frombuffer(coder.ids('<|endoftext|>'), '<u4').tolist() == [49407]
 
 
+def test_words_of_letters_take_the_short_way(tok):
+    coder = packing.WordIds(P.path(packing.TOKENIZER))
+    coder.special = None  # not looked through for them
+    for t in ("word", "Word.", "ÉTÉ,", "naïve"):
+        assert np.frombuffer(coder.ids(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
+def test_each_character_beside_letters_and_stops(tok):
+    coder = packing.WordIds(P.path(packing.TOKENIZER))
+    for c in map(chr, range(1, 0x400)):
+        t = f"{c} {c}. a{c}, A{c}b {c}{c} x.{c} {c}'S"
+        assert np.frombuffer(coder.ids(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
 def test_every_id_once_and_little_padding(spark, tok):
     rows = [(i, t) for i, t in enumerate(texts())]
     rows += [rows[-1], (None, "no id"), (7, "same id")]
