@@ -455,11 +455,12 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(similarity: float):
-    """Rows (id, n, component, list of (count, shingle) in order) -> (shingle, id, pos, n, component, parts), a row for each shingle of the prefix.
+    """Rows (id, n, component, list of (count, holders, shingle) in order) -> (key, id, pos, n, component, parts).
 
-    A document's order begins with shingles that no other component has, which ``list`` leaves out; ``pos`` is the
-    place in all of it. ``parts`` are the shingles of a document with which it can be similar by frequent ones
-    alone, for its frequent shingles; it is null for rare ones.
+    A document's order begins with shingles that no other component has, which ``list`` leaves out. Each rare
+    shingle of its prefix is a key, with its place in the whole order. A document that can be similar to others by
+    frequent shingles alone has them once, as ``parts`` without a key; its keys are then the sets of holders of
+    those in the prefix (many shingles have one), with the number of ``parts``, negative, as ``pos``.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -468,23 +469,25 @@ def _prefixes(similarity: float):
         ids, n, comp = (batch.column(i).to_numpy() for i in range(3))
         lists = batch.column(3)
         offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        counts, shingles = (x.to_numpy() for x in lists.flatten().flatten())
+        counts, holders, shingles = (x.to_numpy() for x in lists.flatten().flatten())
         out: list[list] = [[] for _ in range(6)]
         for i in range(batch.num_rows):
-            c, h = counts[offsets[i] : offsets[i + 1]], shingles[offsets[i] : offsets[i + 1]]
+            c, s, h = (x[offsets[i] : offsets[i + 1]] for x in (counts, holders, shingles))
             first = int(n[i]) - len(h)
             least = _least(similarity * int(n[i]))
             k = min(len(h), int(n[i]) - least + 1 - first)  # a similar one shares its first common shingle up to here
             if k <= 0:
                 continue
             rare = int(np.searchsorted(c, RARE, side="right"))
-            if len(h) - rare < least:
-                k = min(k, rare)  # not similar to any without a common rare shingle
-            parts = h[rare:]
-            for column, values in zip(out, (h[:k], [ids[i]] * k, range(first, first + k), [n[i]] * k, [comp[i]] * k, [None if j < rare else parts for j in range(k)]), strict=True):
-                column.extend(values)
+            few = min(k, rare)
+            rows = [(int(x), first + j, None) for j, x in enumerate(h[:few])]
+            if k > rare and len(h) - rare >= least:
+                rows += [(None, None, h[rare:]), *((x, rare - len(h), None) for x in np.unique(s[rare:k]).tolist())]
+            for key, pos, parts in rows:
+                for column, value in zip(out, (key, ids[i], pos, n[i], comp[i], parts), strict=True):
+                    column.append(value)
         types = (pa.int64(),) * 5 + (pa.list_(pa.int64()),)
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=["h", "id", "pos", "n", "component", "parts"])
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=["key", "id", "pos", "n", "component", "parts"])
 
     return run
 
@@ -556,23 +559,24 @@ def _further_links(ids: DataFrame, links: DataFrame, rows: DataFrame, shingle_wo
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(sets), *held)], names=["h", "id", "component", "n"])
 
     held = materialize(map_arrow(texts, shingles, "h long, id long, component long, n long"), "shingles")
-    open_ = held.groupBy("h").agg(F.count("*").alias("c"), F.min("component").alias("p"), F.max("component").alias("q")).where("p < q").select("h", "c")
-    listed = held.join(open_, "h").groupBy("id", "n", "component").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("list"))
-    heads = materialize(map_arrow(listed, _prefixes(similarity), "h long, id long, pos long, n long, component long, parts array<long>"), "prefixes")
-    few = heads.where("parts IS NULL").drop("parts")
+    open_ = held.groupBy("h").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("id")).alias("s"), F.min("component").alias("p"), F.max("component").alias("q")).where("p < q").select("h", "c", "s")
+    listed = held.join(open_, "h").groupBy("id", "n", "component").agg(F.sort_array(F.collect_list(F.struct("c", "s", "h"))).alias("list"))
+    heads = materialize(map_arrow(listed, _prefixes(similarity), "key long, id long, pos long, n long, component long, parts array<long>"), "prefixes")
+    few = heads.where("pos >= 0").drop("parts")
     a, b = few.alias("a"), few.alias("b")
     enough = F.least(F.expr("a.n - a.pos"), F.expr("b.n - b.pos")) >= F.expr("a.n + b.n") * (similarity / (1 + similarity)) - 1e-6
-    pairs = a.join(b, F.expr("a.h = b.h AND a.id < b.id AND a.component <> b.component") & enough).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    pairs = a.join(b, F.expr("a.key = b.key AND a.id < b.id AND a.component <> b.component") & enough).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
     rare = _verified(materialize(pairs.distinct(), "rare-pairs"), rows, shingle_words, similarity)
-    many = heads.where("parts IS NOT NULL")
-    kinds = many.groupBy("h").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count("*").alias("rows"), F.sum(F.size("parts")).alias("parts"))
+    many = heads.where("pos < 0").drop("parts")
+    kinds = many.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count("*").alias("rows"), F.sum(-F.col("pos")).alias("parts"))
     blocks = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("parts") / BLOCK_SHINGLES)).cast("int")
-    placed = many.join(kinds.where("p < q").select("h", blocks.alias("blocks")), "h").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    placed = many.join(kinds.where("p < q").select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # a row meets each block once: (own, other) as left or right, (own, own) as both
     other = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("own") < F.col("other"), 0).when(F.col("own") > F.col("other"), 1).otherwise(2)
-    dealt = other.select("h", "id", "n", "component", "parts", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"))
-    return rare.unionByName(dealt.groupBy("h", "i", "j").applyInArrow(_alike(similarity), "a long, b long"))
+    sets = heads.where("key IS NULL").select("id", "parts")
+    dealt = other.join(sets, "id").select("key", "id", "n", "component", "parts", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"))
+    return rare.unionByName(dealt.groupBy("key", "i", "j").applyInArrow(_alike(similarity), "a long, b long"))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, shingle_words: int, similarity: float) -> DataFrame:

@@ -289,3 +289,17 @@ def test_further_links_are_those_of_brute_force(spark, monkeypatch):
         found = [*known, *((x.a, x.b) for x in simhash._further_links(ids, links, rows, 5, 0.8).collect())]
         root, member = spanning_stars(*(np.array(x) for x in zip(*found, strict=True)))
         assert dict(zip(member.tolist(), root.tolist(), strict=True)) == {d: find(d) for d in comp if find(d) != d}
+
+
+def test_frequent_shingles_of_a_document_travel_once():
+    import pyarrow as pa
+
+    n = 5000
+    shingle = pa.struct([("c", pa.int64()), ("s", pa.int64()), ("h", pa.int64())])
+    lists = [[{"c": 40, "s": 7, "h": h} for h in range(n)], [{"c": 40, "s": h % 9, "h": h} for h in range(n)], [{"c": 2, "s": h, "h": h} for h in range(3)]]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([n, n, 4]), pa.array([1, 2, 3]), pa.array(lists, pa.list_(shingle))], names=["id", "n", "component", "list"])
+    rows = simhash._prefixes(0.8)(batch).to_pylist()
+    assert [(r["id"], len(r["parts"])) for r in rows if r["parts"] is not None] == [(1, n), (2, n)]
+    assert [r["key"] for r in rows if r["id"] == 1] == [None, 7]
+    assert sorted(r["key"] for r in rows if r["id"] == 2 and r["key"] is not None) == list(range(9))
+    assert [(r["key"], r["pos"]) for r in rows if r["id"] == 3] == []
