@@ -129,6 +129,32 @@ def test_batch_scores_equal_the_plain_functions():
             assert list(many(x, y)) == [one(p, q) for p, q in zip(x, y, strict=True)]
 
 
+def test_shared_scores_equal_the_batch_forms():
+    import random
+
+    r = random.Random(7)
+    wide = "".join(chr(200 + i) for i in range(900))
+    text = lambda: "".join(r.choice(alphabet) for _ in range(r.choice([0, 1, 3, 9, 20, 40, 63, 64, 65, 90])))
+    for alphabet in ("abcdé 1", "ab ", "日b\t c", wide):
+        a = [text() for _ in range(300)]
+        b = [x[r.randrange(len(x) + 1) :] + text() if i % 2 else " ".join(reversed(x.split(" "))) for i, x in enumerate(a)]
+        got = similarity.pair_scores(a + a, b + b, tuple(similarity.KINDS))
+        for kind, many in similarity.KINDS.items():
+            assert got[kind].tolist() == list(many(a, b)) * 2, kind
+    assert [len(v) for v in similarity.pair_scores([], [], ("ratio", "partial")).values()] == [0, 0]
+
+
+def test_all_scores_of_a_pair_take_one_call(spark):
+    rows = spark.createDataFrame([("ann lee inc", "lee ann", "ann lee", "lee ann", "1 road", "2 road"), ("x", "y", "x", "y", "1 road", "")], "n1 string, n2 string, c1 string, c2 string, a1 string, a2 string")
+    out = features.scored_features(rows)
+    assert out.columns == [*rows.columns, *("n_ratio n_tset n_tsort n_partial n_jw core_ratio core_tset core_partial a_tset a_ratio a_partial".split())]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("score(") == 1
+    one, two = out.orderBy("n1").collect()
+    assert (one.n_tset, one.n_tsort, one.core_tset) == (100.0, similarity.token_sort_ratio("ann lee inc", "lee ann"), 100.0)
+    assert (one.a_tset, one.a_ratio, one.a_partial) == tuple(f("1 road", "2 road") for f in (similarity.token_set_ratio, similarity.indel_ratio, similarity.partial_ratio))
+    assert (two.a_tset, two.a_ratio, two.a_partial, two.n_jw) == (None, None, None, 0.0)
+
+
 def test_scoring_is_dealt_to_all_tasks(spark):
     pairs = spark.createDataFrame([(f"S1-{i % 9}", f"S2-{i}", 1) for i in range(60)], "s1_id string, cand_id string, mask int")
     side = lambda ids: spark.createDataFrame([(i, f"name {i}", "1 road", "1", "2") for i in ids], "entity_id string, name_norm string, address_norm string, hnum string, postcode string")
