@@ -19,6 +19,23 @@ def test_out_of_fold_scores_and_saved_models(spark, tmp_path):
         model.mean_of(models, data, ["b", "a"])
 
 
+def test_folds_are_read_apart_and_train_on_the_others(spark, monkeypatch):
+    from ledgermesh.sources.staging import materialize
+
+    data = spark.range(200).select(F.concat(F.lit("S1-"), F.col("id") % 40).alias("s1_id"), F.concat(F.lit("S2-"), "id").alias("cand_id"), ((F.col("id") % 10) / 10.0).alias("a"), (F.col("id") % 10 >= 7).alias("y"))
+    trained, scored_rows, fit, apply = [], [], model.fit, model.apply
+    monkeypatch.setattr(model, "fit", lambda rows, *a, **k: trained.append(rows) or fit(rows, *a, **k))
+    monkeypatch.setattr(model, "apply", lambda m, rows, *a: scored_rows.append(rows) or apply(m, rows, *a))
+    written = materialize(model.with_fold(data, 2), "learned", by="fold")
+    scored, _ = model.out_of_fold(written, ["a"], folds=2, negative_share=1.0, trees=1, depth=1)
+    assert scored.count() == scored.distinct().count() == 200
+    for k, (t, s) in enumerate(zip(trained, scored_rows, strict=True)):
+        seen, own = ({r.s1_id for r in x.select("s1_id").collect()} for x in (t, s))
+        assert seen and own and not seen & own and len(seen | own) == 40
+        assert "features" in t.columns
+        assert "PartitionFilters: [isnotnull(fold" in s._jdf.queryExecution().executedPlan().toString(), k
+
+
 def test_folds_read_training_rows_written_once(spark, monkeypatch):
     data = spark.range(200).select(F.concat(F.lit("S1-"), F.col("id") % 40).alias("s1_id"), F.concat(F.lit("S2-"), "id").alias("cand_id"), ((F.col("id") % 10) / 10.0).alias("a"), (F.col("id") % 10 >= 7).alias("y"))
     read = []
